@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, pii, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, decontaminate, line_dedup, pii, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,5 +65,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.concat("base", "terms")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_bpe, op5_simhash, op6_decontaminate, op7_line_dedup, op8_suffix_dedup, op9_pii)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.passages(table(spark, sf_dir, "documents"))
+    n_dup = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_words", n_dup.alias("n_dup"), F.size("spans").cast("long").alias("n_passages"), spans.alias("spans"), (n_dup > 0).alias("duplicated"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_bpe, op5_simhash, op6_decontaminate, op7_line_dedup, op8_suffix_dedup, op9_pii, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
