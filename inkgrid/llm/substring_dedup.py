@@ -195,7 +195,7 @@ def _compare(width: int, least: int):
     """Verified spans (t, a, b), b inclusive; rows come sorted by (v, around)."""
     full = 2 * width - 1
 
-    def group(around: list[bytes], members: list[tuple[int, int, bool]]) -> Iterator[tuple[int, int, int]]:
+    def group(around: list[bytes], members: list[tuple[int, list[int]]]) -> Iterator[tuple[int, int, int]]:
         rows = np.frombuffer(b"".join(around), np.uint16).reshape(-1, full)
         text = np.array([m[0] for m in members])
         for block in _blocks(rows, width):
@@ -208,29 +208,33 @@ def _compare(width: int, least: int):
                     if len(x):
                         a, b = near(rows[x], rows[y], width, least)
                         for m, p, q in {(int(m), int(p), int(q)) for m, p, q in zip(x[a < b], a[a < b], b[a < b], strict=True)}:
-                            yield members[m][0], members[m][1] + p - width + 1, members[m][1] + q - width + 1
+                            for c in members[m][1]:
+                                yield members[m][0], c + p - width + 1, c + q - width + 1
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         out: list[tuple[int, int, int]] = []
-        value, around, members = None, [], []
+        value, around, members, settled = None, [], [], False
         for batch in batches:
             for v, t, c, row in zip(*(batch[n].to_pylist() for n in ("v", "t", "c", "around")), strict=True):
                 if v != value:
                     if len(around) > 1:
                         out += group(around, members)
                     value, around, members = v, [], []
-                if around and around[-1] == row:  # equal throughout: settled, but one stands for them
-                    first = members[-1]
-                    if first[0] != t:
-                        tokens = np.flatnonzero(np.frombuffer(row, np.uint16))
-                        a, b = int(tokens[0]) - width + 1, int(tokens[-1]) - width + 1
-                        out.append((t, c + a, c + b))
-                        if not first[2]:
-                            out.append((first[0], first[1] + a, first[1] + b))
-                            members[-1] = (*first[:2], True)
+                if around and around[-1] == row:  # equal throughout: settled, but one text stands for them
+                    first, places = members[-1]
+                    if first == t and not settled:
+                        places.append(c)
+                        continue
+                    tokens = np.flatnonzero(np.frombuffer(row, np.uint16))
+                    a, b = int(tokens[0]) - width + 1, int(tokens[-1]) - width + 1
+                    out.append((t, c + a, c + b))
+                    if not settled:
+                        out += [(first, x + a, x + b) for x in places]
+                        settled = True
                 else:
                     around.append(row)
-                    members.append((t, c, False))
+                    members.append((t, [c]))
+                    settled = False
                 if len(out) > 1 << 14:
                     yield _columns(out)
                     out = []
