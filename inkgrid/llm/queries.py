@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, pii, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from . import bpe, decontaminate, embed_dedup, line_dedup, pii, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_dedup.dedup(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.dedup(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -72,5 +77,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", n_dup.alias("n_dup"), F.size("spans").cast("long").alias("n_passages"), spans.alias("spans"), (n_dup > 0).alias("duplicated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_bpe, op5_simhash, op6_decontaminate, op7_line_dedup, op8_suffix_dedup, op9_pii, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_bpe, op4_embed_dedup, op5_simhash, op6_decontaminate, op7_line_dedup, op8_suffix_dedup, op9_pii, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
