@@ -380,7 +380,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for keys, texts in _texts(batch):
                 ids, ends = coder.encode(texts)
-                yield {"id": keys, "ids": pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids.astype(np.int32)))}
+                yield {"id": keys, "ids": _lists(ids, ends)}
 
     return map_arrow(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")), run, "id long, ids array<int>")
 
@@ -396,8 +396,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_arrow(encoded.select("id", "ids"), run, "id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """Rows (id, n_tokens, ids_sha256, decoded_sha256): every text encoded and decoded
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS, keep_ids: bool = False) -> DataFrame:
+    """Rows (id, n_tokens, ids_sha256, decoded_sha256, and ids if asked): every text encoded and decoded
     again within a worker, so that no ids are shuffled.
 
     A null text counts as empty (no tokens, hashes of nothing); repeated rows repeat; an
@@ -417,9 +417,15 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     data, at = pool.join(ids)
                     view, at = memoryview(data), np.concatenate([[0], at]).tolist()
                     hashes.append([_sha(view[at[a] : max(at[a], at[b] - tail)], tail) for a, b in cuts])
-                yield {"id": keys, "n_tokens": ends - begins, "ids_sha256": hashes[0], "decoded_sha256": hashes[1]}
+                out = {"id": keys, "n_tokens": ends - begins, "ids_sha256": hashes[0], "decoded_sha256": hashes[1]}
+                yield out | ({"ids": _lists(ids, ends)} if keep_ids else {})
 
-    return map_arrow(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")), run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return map_arrow(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")), run, schema)
+
+
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids.astype(np.int32)))
 
 
 def _sha(data: memoryview, plain: int) -> str:

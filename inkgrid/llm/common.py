@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python worker expands at a time.
 SLICE_BYTES = 2 << 20
@@ -75,15 +77,12 @@ def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for functions that take and give dicts of columns.
 
     Incoming columns are pyarrow arrays; outgoing ones may be arrays or lists.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out = to_arrow_schema(_parse_datatype_string(schema))
+    out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = (dict(zip(b.schema.names, b.columns, strict=True)) for b in batches)

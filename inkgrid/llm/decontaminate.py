@@ -12,7 +12,6 @@ The windows go to the documents in blocks of bounded size, each broadcast to a p
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -96,24 +95,24 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int) -> I
         yield block
 
 
-def _numbered(batches: Iterator[dict], number: dict[bytes, int]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _numbered(batches: Iterator[dict], number: dict[bytes, int]) -> Iterator[tuple[pa.Array, pa.Array, list[np.ndarray]]]:
     get = number.get
     for batch in batches:
         for a in range(0, len(batch["id"]), 512):
             texts = batch["text"].slice(a, 512).to_pylist()
             for i, j in slices(texts):
-                yield batch["id"].slice(a + i, j - i), [np.array([get(w, -1) for w in words(t)], np.int64) for t in texts[i:j]]
+                yield batch["id"].slice(a + i, j - i), batch["t"].slice(a + i, j - i), [np.array([get(w, -1) for w in words(t)], np.int64) for t in texts[i:j]]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows (id, n_words, spans array of (begin, end) in words, items): merged covered spans.
+    """Rows (id, t, n_words, spans array of (begin, end) in words, items): merged covered spans.
 
     Null and empty texts have no words; an item without words has no window; documents
-    that repeat are each reported; empty tables give no rows, or rows without hits.
+    that repeat are each reported, or once where a benchmark takes several passes; empty tables give no rows, or rows without hits.
     Items are named by their ids as strings; a null item id is left out of ``items``.
     """
-    slim = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
-    schema = "id long, n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
+    slim = docs.select(col(id_col).cast("long").alias("id"), F.xxhash64(col(text_col)).alias("t"), col(text_col).alias("text"))
+    schema = "id long, t long, n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
     passes = []
     for block in _blocks(benchmark, item_col, item_text_col, block_chars):
         passes.append(_pass(slim, Windows(block, window, shingle), schema))
@@ -124,18 +123,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     every = passes[0]
     for more in passes[1:]:
         every = every.union(more)
-    # the same row in each pass: rows of one id and length belong together by their turn
     return _merge(every)
 
 
 def _merge(every: DataFrame) -> DataFrame:
-    joined = every.groupBy("id", "n_words").agg(F.flatten(F.collect_set("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    joined = every.groupBy("id", "t", "n_words").agg(F.flatten(F.collect_set("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"id": b["id"], "n_words": b["n_words"], "spans": [_union([(x["begin"], x["end"]) for x in s]) for s in b["s"].to_pylist()], "items": b["items"]}
+            yield {"id": b["id"], "t": b["t"], "n_words": b["n_words"], "spans": [_union([(x["begin"], x["end"]) for x in s]) for s in b["s"].to_pylist()], "items": b["items"]}
 
-    return map_arrow(joined, run, "id long, n_words long, spans array<struct<begin:long,end:long>>, items array<string>")
+    return map_arrow(joined, run, "id long, t long, n_words long, spans array<struct<begin:long,end:long>>, items array<string>")
 
 
 def _union(spans: list[tuple[int, int]]) -> list[dict]:
@@ -156,7 +154,7 @@ def _rarity(slim: DataFrame, windows: Windows) -> dict[int, int]:
         number, tokens = shared.value
         held: Counter = Counter()
         sizes = sorted({len(t) for t in tokens})
-        for _, texts in _numbered(batches, number):
+        for _, _, texts in _numbered(batches, number):
             for found in texts:
                 for size in sizes:
                     ok = found[: max(0, len(found) - size + 1)] >= 0
@@ -175,12 +173,14 @@ def _pass(slim: DataFrame, windows: Windows, schema: str) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         w = shared.value
-        for ids, texts in _numbered(batches, w.number):
+        for ids, keys, texts in _numbered(batches, w.number):
             found = [w.matches(t) for t in texts]
-            yield {"id": ids, "n_words": [len(t) for t in texts], "spans": [_union(s) for s, _ in found], "items": [sorted(x for x in i if x is not None) for _, i in found]}
+            yield {"id": ids, "t": keys, "n_words": [len(t) for t in texts], "spans": [_union(s) for s, _ in found], "items": [sorted(x for x in i if x is not None) for _, i in found]}
 
     return map_arrow(slim, run, schema)
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, with all columns."""
+    bad = hits(docs, benchmark, id_col, text_col, **named).where(F.size("spans") > 0).select(F.col("id").alias("__ink_i"), F.col("t").alias("__ink_t"))
+    return docs.join(bad, col(id_col).cast("long").eqNullSafe(F.col("__ink_i")) & (F.xxhash64(col(text_col)) == F.col("__ink_t")), "left_anti")

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import col, map_arrow, materialize
 
@@ -30,8 +31,9 @@ MIN_WORDS = 5
 NO_ID = -(2**63)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(col(text_col)).alias("t"), col(text_col).alias("text"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    rest = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(0)
+    return docs.select(rest.alias("carry"), F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(col(text_col)).alias("t"), col(text_col).alias("text"))
 
 
 def _split(batches: Iterator[dict]) -> Iterator[dict]:
@@ -94,7 +96,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Rows (d, t, i, n): runs of ``n`` lines from line ``i`` of document (d, t) that are
     later copies.  d is the id and t a hash of the text."""
     here = F.struct("d", "t", "i")
-    lines = map_arrow(_keyed(docs, id_col, text_col), _split, "d long, t long, i long, w long, h1 long, h2 long")
+    lines = map_arrow(_keyed(docs, id_col, text_col).drop("carry"), _split, "d long, t long, i long, w long, h1 long, h2 long")
     lines = materialize(lines)
     firsts = lines.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(here).alias("r")).where("c > 1").drop("c")
     active = materialize(lines.join(firsts, ["h1", "h2"]).select("d", "t", "i", "w", "r"))
@@ -140,11 +142,12 @@ def _remove(batches: Iterator[dict]) -> Iterator[dict]:
                 removed.append(int(gone.sum()))
                 lines.append(len(rows))
                 kept.append("\n".join(r for r, g in zip(rows, gone.tolist(), strict=False) if not g) if removed[-1] else text)
-            yield {"d": batch["d"].slice(a, 256), "t": batch["t"].slice(a, 256), "text": pa.array(kept, pa.string()), "n_lines": lines, "n_removed": removed, "spans": spans}
+            yield {"carry": batch["carry"].slice(a, 256), "d": batch["d"].slice(a, 256), "t": batch["t"].slice(a, 256), "text": pa.array(kept, pa.string()), "n_lines": lines, "n_removed": removed, "spans": spans}
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, carry: list[str] | None = None) -> DataFrame:
     """Rows (id, text, n_lines, n_removed, spans): texts without the lines of later copies.
+    Columns named in ``carry`` come along in a struct.
 
     Documents are ordered by id, then by a hash of the text; of equal runs the first in
     this order stays.  Lines are what line feeds separate.  A null text has one empty
@@ -154,7 +157,26 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     """
     runs = repeated_lines(docs, id_col, text_col, min_words)
     held = runs.groupBy(F.col("d").alias("d2"), F.col("t").alias("t2")).agg(F.collect_list(F.struct("i", "n")).alias("runs"))
-    keyed = _keyed(docs, id_col, text_col)
-    both = keyed.join(held, (keyed["d"] == held["d2"]) & (keyed["t"] == held["t2"]), "left").select("d", "t", "text", "runs")
-    out = map_arrow(both, _remove, "d long, t long, text string, n_lines long, n_removed long, spans array<struct<begin:long,end:long>>")
-    return out.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("id"), "t", "text", "n_lines", "n_removed", "spans")
+    keyed = _keyed(docs, id_col, text_col, carry)
+    both = keyed.join(held, (keyed["d"] == held["d2"]) & (keyed["t"] == held["t2"]), "left").select("carry", "d", "t", "text", "runs")
+    schema = StructType(both.select("carry").schema.fields + StructType.fromDDL("d long, t long, text string, n_lines long, n_removed long, spans array<struct<begin:long,end:long>>").fields)
+    out = map_arrow(both, _remove, schema)
+    return out.select("carry", F.when(F.col("d") != NO_ID, F.col("d")).alias("id"), "t", "text", "n_lines", "n_removed", "spans")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the lines of later copies taken out of the texts, all columns kept.
+
+    A document goes if nothing but white space is left of it; one that had no more than
+    that before stays.  A column that holds the text's length follows the text.
+    """
+    rest = [c for c in docs.columns if c != text_col]
+    found = dedup(docs, id_col, text_col, min_words, carry=rest)
+    gone = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
+    back = []
+    for c in docs.columns:
+        old = F.col("text") if c == text_col else F.col(f"carry.c{rest.index(c)}")
+        if c == length_col:
+            old = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(old)
+        back.append(old.alias(c))
+    return found.where(~gone).select(*back)

@@ -48,12 +48,13 @@ def _fingerprints(batches: Iterator[dict]) -> Iterator[dict]:
         n = len(batch["id"])
         for a in range(0, n, 256):
             part = batch["text"].slice(a, 256).to_pylist()
-            yield {"id": batch["id"].slice(a, 256), "fp": np.array([fingerprint(t) for t in part], np.uint64).view(np.int64)}
+            yield {"id": batch["id"].slice(a, 256), "t": batch["t"].slice(a, 256), "fp": np.array([fingerprint(t) for t in part], np.uint64).view(np.int64)}
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp): the fingerprint's 64 bits as a signed long."""
-    return map_arrow(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")), _fingerprints, "id long, fp long")
+    """Rows (id, t, fp): a hash of the text, and the fingerprint's 64 bits as a signed long."""
+    slim = docs.select(col(id_col).cast("long").alias("id"), F.xxhash64(col(text_col)).alias("t"), col(text_col).alias("text"))
+    return map_arrow(slim, _fingerprints, "id long, t long, fp long")
 
 
 def _variants(batches: Iterator[dict]) -> Iterator[dict]:
@@ -130,7 +131,7 @@ def _links(batches: Iterator[dict]) -> Iterator[dict]:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp, component): the smallest id reachable by links of two bits or fewer.
+    """Rows (id, t, fp, root, component): a fingerprint that names the component, and the smallest id reachable by links of two bits or fewer.
 
     Null and empty texts have fingerprint zero and link like any other; rows of equal
     text share a fingerprint and so a component; a null id is kept and never chosen as
@@ -145,7 +146,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     stars = components(pairs)
     whole = firsts.join(stars, firsts["fp"] == stars["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = whole.groupBy("root").agg(F.min("first").alias("component"))
-    found = whole.join(least, "root").select(F.col("fp").alias("f"), "component")
-    return prints.join(found, prints["fp"] == F.col("f")).select("id", "fp", "component")
+    found = whole.join(least, "root").select(F.col("fp").alias("f"), "root", "component")
+    return prints.join(found, prints["fp"] == F.col("f")).select("id", "t", "fp", "root", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one of the smallest id, then
+    of the smallest hash of its text; ids come before a null id.  Of rows that repeat it,
+    one stays.  All columns are kept."""
+    found = dedup(docs, id_col, text_col)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "t")).alias("k")).select(F.col("k.id").alias("__ink_i"), F.col("k.t").alias("__ink_t"))
+    key = F.xxhash64(col(text_col))
+    kept = docs.withColumn("__ink_k", key).join(first, col(id_col).cast("long").eqNullSafe(F.col("__ink_i")) & (F.col("__ink_k") == F.col("__ink_t")), "left_semi")
+    return kept.dropDuplicates([id_col, "__ink_k"]).select(*[col(c) for c in docs.columns])
 
 

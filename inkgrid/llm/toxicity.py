@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -224,6 +224,19 @@ def apply(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z @ weights[2, :-1] + weights[2, -1], -30, 30)))
 
 
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
+    """A function from a text column to scores, fitted on the labelled rows of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        model, weights = shared.value
+        found = texts.tolist()
+        return pd.Series(np.concatenate([apply(model.features(found[i:j]), weights) for i, j in slices(found)]) if found else np.empty(0))
+
+    return scored
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Rows (id, score) for every row of ``docs``.
 
@@ -233,15 +246,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     classes every score is the rate of toxic labels (zero without any).  An empty table
     gives no rows.  Only ids' remainders decide what is learnt; scores read texts alone.
     """
-    model, weights = train(docs, labels, id_col, text_col, label_col)
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights))
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        mine, w = shared.value
-        for batch in batches:
-            for a in range(0, len(batch["id"]), 512):
-                texts = batch["text"].slice(a, 512).to_pylist()
-                for i, j in slices(texts):
-                    yield {"id": batch["id"].slice(a + i, j - i), "score": pa.array(apply(mine.features(texts[i:j]), w))}
-
-    return map_arrow(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")), run, "id long, score double")
+    scored = scorer(docs, labels, id_col, text_col, label_col)
+    return docs.select(col(id_col).cast("long").alias("id"), scored(col(text_col)).alias("score"))
