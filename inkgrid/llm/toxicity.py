@@ -197,7 +197,7 @@ def features(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: st
     return map_arrow(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"), kept.alias("keep")), run, "id long, keep int, x array<double>")
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> np.ndarray:
     """Logistic regression by Newton's steps: centre, scale and weights in three rows."""
     width = x.shape[1] + 1
     out = np.zeros((3, width))
@@ -209,9 +209,10 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     out[0, :-1], out[1, :-1] = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.column_stack([(x - out[0, :-1]) / out[1, :-1], np.ones(len(y))])
     w = np.zeros(width)
+    hold = np.array([ridge] * (width - 1) + [1e-6])  # few labels shall not make it sure
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * len(y) * np.eye(width) / 100, z.T @ (y - p) - ridge * len(y) * w / 100)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(hold), z.T @ (y - p) - hold * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
