@@ -78,4 +78,30 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_bpe, op4_embed_dedup, op5_simhash, op6_decontaminate, op7_line_dedup, op8_suffix_dedup, op9_pii, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+_COSINE = """WITH RECURSIVE v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+ok AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a, ok b WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach(id, too) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN link l ON l.a = r.too),
+root AS (SELECT id, min(too) AS component_id FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN root ON id = e.vec_id LEFT JOIN n ON a = e.vec_id"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_WINDOWS = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT item, array_to_string(w[k:k + 9], ' ') AS s, least(10, len(w)) AS n FROM b, unnest(range(1, greatest(2, len(w) - 8))) t(k) WHERE len(w) > 0),
+dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM iw), unnest(range(1, len(w) - n + 2)) t(k) WHERE len(w) >= n),
+hit AS (SELECT DISTINCT doc_id, k, dw.n, item FROM dw JOIN iw ON iw.s = dw.s AND iw.n = dw.n),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS l FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+#: The shortest sufficient runs from and up to each line; those seen before cover the copies.
+_LINES = """WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+c AS (SELECT doc_id, l, list_transform(l, lambda x: len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))) AS w FROM d),
+p AS (SELECT doc_id, l, w, i, (SELECT min(j) FROM unnest(range(i, len(l) + 1)) t(j) WHERE list_sum(w[i:j]) >= 5) AS e, (SELECT max(j) FROM unnest(range(1, i + 1)) t(j) WHERE list_sum(w[j:i]) >= 5) AS b FROM c, unnest(range(1, len(l) + 1)) t(i)),
+r AS (SELECT doc_id, i AS a, e AS z, l[i:e] AS k FROM p WHERE e IS NOT NULL UNION SELECT doc_id, b, i, l[b:i] FROM p WHERE b IS NOT NULL),
+f AS (SELECT k, min((doc_id, a)) AS first FROM r GROUP BY k),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM r JOIN f USING (k) WHERE (doc_id, a) > first),
+n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (NOT EXISTS (SELECT 1 FROM g h WHERE h.doc_id = g.doc_id AND h.i = g.i - 1)) AS n_runs, list(i) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(array_to_string(CASE WHEN gone IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(gone, i)) END, chr(10))) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op4_embed_dedup": _COSINE, "op6_decontaminate": _WINDOWS, "op7_line_dedup": _LINES}
