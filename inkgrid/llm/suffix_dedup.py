@@ -21,8 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, map_arrow, materialize, slices
@@ -31,8 +30,7 @@ LENGTH = 200
 GRAM = 64
 #: Bytes that the quicksort compares before tries take over.
 SHALLOW = 16
-#: Anchors of one gram that are sorted in one task; windows of larger groups are
-#: counted by a distributed aggregate of their own.
+#: Anchors of one gram that are sorted in one task; larger groups are made small first.
 HOT = 20_000
 #: Members that are sorted at a time.
 CHUNK = 20_000
@@ -204,12 +202,12 @@ def deep_shallow(strings: list[bytes], matrix: np.ndarray, group: np.ndarray, sk
         key = key[by]
         new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (key[1:] != key[:-1])])
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        segment[active] = seg * 0 + active[first]
+        segment[active] = active[first]
         sizes = np.bincount(first, minlength=len(new))[first]
         active = active[sizes > 1]
     # segments that still tie: distinct strings through a blind trie, equal ones together
-    cuts = np.flatnonzero(np.diff(segment[active], prepend=-1)) if len(active) else np.empty(0, np.int64)
-    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(active)], strict=True):
+    cuts = [*np.flatnonzero(np.diff(segment[active], prepend=-1)).tolist(), len(active)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
         places = active[i:j]
         same: dict[bytes, list[int]] = {}
         for m in order[places].tolist():
@@ -227,9 +225,9 @@ def deep_shallow(strings: list[bytes], matrix: np.ndarray, group: np.ndarray, sk
     return order, lcp
 
 
-def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchor the least and most bytes before it from which an equal window of
-    another anchor of its group begins; -1 where none does."""
+def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], length: int, gram: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor the least and most bytes before it (from ``lo`` to ``hi``) from which
+    an equal window of another anchor of its group begins; -1 where none does."""
     n, most = len(left), length - gram
     back = [x[::-1] for x in left]
     r_matrix = np.frombuffer(b"".join(x.ljust(length, b"\0") for x in right), np.uint8).reshape(n, length)
@@ -244,7 +242,7 @@ def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], l
         r_class[r_order] = np.cumsum(r_lcp < length - before)
         l_class[l_order] = np.cumsum(l_lcp < before)
         key = r_class * (n + 1) + l_class
-        key[(r_size < length - before) | (l_size < before)] = -1
+        key[(r_size < length - before) | (l_size < before) | (before < lo) | (before > hi)] = -1
         ranked = np.sort(key)
         double = ranked[1:][(ranked[1:] == ranked[:-1]) & (ranked[1:] >= 0)]
         if not len(double):
@@ -261,13 +259,13 @@ def _sorted_groups(length: int, gram: int):
 
     def spans(rows: dict[str, list]) -> dict:
         group = np.unique(np.array(rows["h"], np.int64), return_inverse=True)[1]
-        least, longest = repeated_windows(group, rows["left"], rows["right"], length, gram)
+        least, longest = repeated_windows(group, rows["left"], rows["right"], length, gram, np.array(rows["lo"]), np.array(rows["hi"]))
         on = np.flatnonzero(least >= 0)
         p = np.array(rows["p"], np.int64)[on]
         return {"t": np.array(rows["t"], np.int64)[on], "a": (p - longest[on]).astype(np.int32), "b": (p - least[on] + length).astype(np.int32)}
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        names = ("h", "t", "p", "left", "right")
+        names = ("h", "t", "p", "left", "right", "lo", "hi")
         held: dict[str, list] = {n: [] for n in names}
         for batch in batches:
             for a in range(0, len(batch["h"]), 4096):
@@ -284,18 +282,48 @@ def _sorted_groups(length: int, gram: int):
     return run
 
 
-def _hot_windows(length: int, gram: int):
-    """Every window of anchors of hot grams, by a hash of its bytes."""
+def _part(left: Column, right: Column, before: Column, after: Column) -> Column:
+    """The bytes from ``before`` in front of an anchor to ``after`` behind its place."""
+    front = F.when(F.length(left) > before, F.substring(left, F.length(left) - before + 1, before)).otherwise(left)
+    return F.concat(front, F.substring(right, F.lit(1), after))
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            for t, p, left, right in zip(*(batch[n].to_pylist() for n in ("t", "p", "left", "right")), strict=True):
-                whole, n = left + right, len(left)
-                places = [k for k in range(min(n, length - gram) + 1) if len(right) >= length - k]
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[n - k : n - k + length]) for k in places), np.int64).reshape(-1, 2)
-                yield {"w1": digests[:, 0], "w2": digests[:, 1], "k": places, "t": [t] * len(places), "a": [p - k for k in places]}
 
-    return run
+def _hash(*values: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(k), *values) for k in (1, 2)]
+
+
+def _refined(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Groups of hot anchors made small, and spans that are settled on the way.
+
+    ``rows(h, lo, hi, t, p, left, right)``: windows that begin ``lo`` to ``hi`` bytes
+    before the anchor are in question.  Members that are equal wherever these windows
+    reach settle each other, by a pre-aggregated count, and one goes on for all.  A group
+    that is still hot is halved: windows of each half of the range have more bytes in
+    common than the gram, and the group is divided by a hash of those.
+    """
+    small, settled = None, []
+    while True:
+        reach = _part(F.col("left"), F.col("right"), F.col("hi"), length - F.col("lo"))
+        k1, k2 = _hash(reach)
+        rows = materialize(rows.withColumns({"k1": k1, "k2": k2}))
+        classes = rows.groupBy("h", "lo", "hi", "k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("t", "p")).alias("first"))
+        known = rows.join(classes, ["h", "lo", "hi", "k1", "k2"])
+        least, most = F.greatest(F.col("lo"), length - F.length("right")), F.least(F.col("hi"), F.length("left"))
+        settled.append(known.where((F.col("n") > 1) & (least <= most)).select("t", (F.col("p") - most).cast("int").alias("a"), (F.col("p") - least + length).cast("int").alias("b")))
+        rest = materialize(known.where(F.struct("t", "p") == F.col("first")).select("h", "lo", "hi", "t", "p", "left", "right"))
+        sizes = rest.groupBy("h", "lo", "hi").agg(F.count("*").alias("n")).where("n > 1")
+        one = rest.join(sizes, ["h", "lo", "hi"])
+        done = one.where(F.col("n") <= hot).drop("n")
+        small = done if small is None else small.unionByName(done)
+        large = materialize(one.where((F.col("n") > hot) & (F.col("lo") < F.col("hi"))).drop("n"))
+        if not large.limit(1).count():
+            return small, settled
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi"))))
+        cut = large.withColumn("half", halves).select("h", "half.lo", "half.hi", "t", "p", "left", "right")
+        cut = cut.where((F.length("left") >= F.col("lo")) & (F.length("right") >= length - F.col("hi")))
+        shared = _part(F.col("left"), F.col("right"), F.col("lo"), length - F.col("hi"))
+        rows = cut.withColumn("h", _hash(F.col("h"), F.col("lo"), shared)[0])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -318,18 +346,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # one row of each text brings the bytes
     texts = keyed.join(places.join(firsts.select("t", "id"), "t"), ["t", "id"]).select("t", "text", "at")
     around = map_arrow(texts, _contexts(length, gram), "h long, t long, p int, left binary, right binary")
+    around = around.withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)})
     is_hot = again.where(F.col("c") > hot).select("h").distinct()
-    if again.where(F.col("c") > hot).limit(1).count():
+    settled: list[DataFrame] = []
+    if is_hot.limit(1).count():
         around = materialize(around)
-        big = around.join(is_hot, "h", "left_semi")
-        windows = materialize(map_arrow(big, _hot_windows(length, gram), "w1 long, w2 long, k int, t long, a int"))
-        twice = windows.groupBy("w1", "w2", "k").agg(F.count("*").alias("c")).where("c > 1")
-        more = windows.join(twice, ["w1", "w2", "k"]).select("t", "a", (F.col("a") + length).alias("b"))
-        around = around.join(is_hot, "h", "left_anti")
-    else:
-        more = None
+        small, settled = _refined(around.join(is_hot, "h", "left_semi"), length, hot)
+        around = around.join(is_hot, "h", "left_anti").unionByName(small)
     spans = map_arrow(around.repartition("h").sortWithinPartitions("h"), _sorted_groups(length, gram), "t long, a int, b int")
-    spans = spans.union(more) if more is not None else spans
+    for more in settled:
+        spans = spans.union(more)
     return materialize(spans.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))), firsts.where("n > 1").select("t")
 
 
