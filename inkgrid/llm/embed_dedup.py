@@ -43,6 +43,14 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: finite(x)) & F.exists(vector, lambda x: x != 0)
 
 
+def _comparable(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Valid vectors of the most common width, and that width."""
+    good = rows.where(_valid(F.col("vector")))
+    widths = good.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
+    width = widths[0]["w"] if widths else 0
+    return good.where(F.size("vector") == width), width
+
+
 def _unit(rows) -> np.ndarray:
     x = np.array([np.asarray(r, np.float64) for r in rows])
     x = x / np.abs(x).max(1, keepdims=True)  # tiny and huge vectors keep their direction
@@ -186,9 +194,7 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """
     spark = vectors.sparkSession
     rows = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("vector"))
-    widths = rows.where(_valid(F.col("vector"))).groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
-    width = widths[0]["w"] if widths else 0
-    good = rows.where(_valid(F.col("vector")) & (F.size("vector") == width))
+    good, width = _comparable(rows)
     nodes = materialize(good.groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("n")).select(F.col("node").alias("id"), "vector", "n"))
     total = nodes.count()
     k = max(1, min(CENTRES, -(-total // SHARD)))
@@ -225,7 +231,7 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 def true_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, modulus: int = 20, block: int = 4096) -> DataFrame:
     """Rows (id, n_true) for ids divisible by ``modulus``, by comparing them with all rows
     in blocks; the recall of ``dedup`` is measured against this."""
-    rows = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("vector")).where(_valid(F.col("vector")))
+    rows, _ = _comparable(vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("vector")))
     queries, out = rows.where(F.col("id") % modulus == 0), None
     held: list = []
 
