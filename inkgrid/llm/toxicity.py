@@ -42,7 +42,7 @@ DEPTH = 12
 DISCOUNT = 2.0
 #: Words of the stretches that are compared besides the whole text.
 STRETCHES = (3, 10, 30)
-#: Most labelled rows that the logistic function is fitted on.
+#: Labelled rows that the logistic function is fitted on, if there are more.
 FIT_ROWS = 20_000
 #: Most labels that are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
@@ -178,7 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         n[c][at] = tables[f"n{c}"].to_numpy()
         k[c][at] = tables[f"k{c}"].to_numpy()
     model = Model(n, k)
-    seen = features(rows.where("fold = 3"), model, "i", "text", keep="toxic").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
+    # about as many rows as are wanted, drawn by a hash of the id before they are scored
+    known = labels.where(F.crc32(col(id_col).cast("string")) % 4 == 3).count()
+    share = int(min(1.0, FIT_ROWS / max(1, known)) * (1 << 30))
+    drawn = rows.where((F.col("fold") == 3) & (F.xxhash64("i").bitwiseAND(F.lit((1 << 30) - 1)) < share))
+    seen = features(drawn, model, "i", "text", keep="toxic").toArrow()
     x = np.array(seen["x"].to_pylist(), np.float64).reshape(-1, len(STRETCHES) + 2)
     return model, fit(x, seen["keep"].to_numpy().astype(np.float64))
 
