@@ -36,13 +36,13 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     All columns of ``docs`` are kept; if one of them has such a name, the new one
     replaces it.  A null text counts as no bytes, a null id sorts first, repeated rows
     get slots of their own, and an empty table gives no rows.  The driver holds
-    ``n_shards * ranges_per_shard * samples_per_range`` sampled keys at most.
+    about ``n_shards * ranges_per_shard * samples_per_range`` sampled keys.
     """
     n_ranges = n_shards * ranges_per_shard
     keys = {"__ink_k": F.xxhash64(col(text_col)), "__ink_i": F.coalesce(col(id_col).cast("long"), F.lit(-(2**63))), "__ink_size": text_bytes(col(text_col)) + OVERHEAD}
     slim = materialize(docs.select(*[e.alias(n) for n, e in keys.items()]))
     total = slim.agg(F.sum("__ink_size")).first()[0] or 0
-    cuts = _quantiles(_sample(slim, n_ranges * samples_per_range, seed), n_ranges)
+    cuts = _quantiles(_sample(slim, total, n_ranges * samples_per_range, seed), n_ranges)
     target = max(1, total // n_ranges)
     for turn in range(1, 4):
         sizes = _sizes(slim, cuts)
@@ -50,7 +50,7 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
         if not over:
             break
         inside = slim.where(_range_of(cuts)("__ink_k", "__ink_i").isin(list(over)))
-        found = _sample(inside, n_ranges * samples_per_range, seed + turn)
+        found = _sample(inside, sum(over.values()), n_ranges * samples_per_range, seed + turn)
         share: dict[int, list] = {}
         for row in found:
             share.setdefault(bisect_right(cuts, row[:2]), []).append(row)
@@ -78,11 +78,12 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     return out.select(*[col(c) for c in docs.columns if c not in new], F.col("__ink_size").alias("shard_size"), F.col("__ink_shard").alias("shard"), (F.col("__ink_row") - _item(firsts, "__ink_shard")).alias("shard_slot"))
 
 
-def _sample(slim: DataFrame, m: int, seed: int) -> list[tuple[int, int, float]]:
-    """Keys with their share of the bytes: the ``m`` highest priorities size / uniform."""
+def _sample(slim: DataFrame, total: int, m: int, seed: int) -> list[tuple[int, int, float]]:
+    """Keys with the bytes that they stand for: those whose priority, size / uniform,
+    reaches the ``m``-th part of all bytes; about ``m`` of them, whatever the table's size."""
     u = (F.xxhash64(F.lit(seed), "__ink_i", "__ink_k").bitwiseAND(F.lit((1 << 52) - 1)) + 1) / float(1 << 52)
-    got = slim.select("__ink_k", "__ink_i", "__ink_size", (F.col("__ink_size") / u).alias("p")).orderBy(F.desc("p")).limit(m).collect()
-    least = min((r["p"] for r in got), default=0) if len(got) == m else 0
+    least = total / m
+    got = slim.where(F.col("__ink_size") / u >= least).collect()
     return sorted((r["__ink_k"], r["__ink_i"], max(float(r["__ink_size"]), least)) for r in got)
 
 
