@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, map_arrow, slices
+from .common import col, map_arrow, materialize, slices
 
 #: Splits a text into words: fixed by the vocabulary's training.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -365,7 +365,16 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def share_coder(docs: DataFrame, path: str, text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> Broadcast:
     """Count words, compile the frequent ones, and broadcast tables of bounded size."""
     vocabulary = Vocabulary(path)
-    top = count_words(docs, text_col).where(F.length("word") <= LONG_WORD).orderBy(F.desc("n"), "word").limit(lexicon_words).select("word").collect()
+    counts = materialize(count_words(docs, text_col).where((F.length("word") <= LONG_WORD) & (F.col("n") > 1)).withColumn("level", F.floor(F.log2("n") * 16).cast("int")))
+    # whole levels of frequency from the top, as far as the lexicon goes: never more rows
+    # than that are sent to the driver, from however many partitions
+    least, room = None, lexicon_words
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("n")).collect(), reverse=True):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["level"]
+    top = counts.where(F.col("level") >= least).select("word").collect() if least is not None else []
     words = sorted({r["word"].encode() for r in top})
     lexicon = compile_lexicon(words, vocabulary.merge(words))
     return docs.sparkSession.sparkContext.broadcast({"key": hashlib.sha256(lexicon).hexdigest() + path, "vocabulary": vocabulary, "lexicon": lexicon})
