@@ -101,8 +101,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contex
     near = lambda s: _terms(F.concat_ws(" ", F.substring(F.col("text"), F.greatest(s["start"] - context, F.lit(0)) + 1, F.least(s["start"], F.lit(context))), F.substring(F.col("text"), s["end"] + 1, F.lit(context))))
     base = keyed.withColumn("base", base_spans(F.col("text")))
     base = materialize(base.select("id", "t", "base", F.transform("base", lambda s: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("e"), near(s).alias("words"))).alias("near")))
-    pairs = base.select("t", F.explode("near").alias("n")).select("t", "n.e", F.explode("n.words").alias("term")).groupBy("t", "e", "term").agg(F.count("*").alias("copies"))
-    company = materialize(pairs.groupBy("term", "e").agg(F.count("*").alias("texts"), F.sum("copies").alias("near")).where(F.col("texts") >= min_texts))
+    # a row counts once for each pair, and once for each term in company of any entity
+    both = F.array_distinct(F.flatten(F.transform("near", lambda n: F.transform(n["words"], lambda w: F.struct(n["e"].alias("e"), w.alias("term"))))))
+    pairs = base.select("t", F.explode(both).alias("p")).groupBy("t", "p.e", "p.term").agg(F.count("*").alias("copies"))
+    anywhere = base.select(F.explode(F.array_distinct(F.flatten(F.transform("near", lambda n: n["words"])))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    company = pairs.groupBy("term", "e").agg(F.count("*").alias("texts"), F.sum("copies").alias("near")).where(F.col("texts") >= min_texts)
+    # a term that keeps company with other entities too often can't reveal this one
+    company = materialize(company.join(anywhere, "term").where(F.col("near") >= min_reveal * F.col("n_near")).drop("n_near"))
     none = F.array().cast(f"array<{_SPAN}>")
     if not company.limit(1).count():
         return base.select("id", "t", "base", none.alias("terms"))
