@@ -305,17 +305,21 @@ def _refined(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, list[Da
     while True:
         reach = _part(F.col("left"), F.col("right"), F.col("hi"), length - F.col("lo"))
         k1, k2 = _hash(reach)
-        rows = materialize(rows.withColumns({"k1": k1, "k2": k2}))
-        classes = rows.groupBy("h", "lo", "hi", "k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("t", "p")).alias("first"))
-        known = rows.join(classes, ["h", "lo", "hi", "k1", "k2"])
-        least, most = F.greatest(F.col("lo"), length - F.length("right")), F.least(F.col("hi"), F.length("left"))
-        settled.append(known.where((F.col("n") > 1) & (least <= most)).select("t", (F.col("p") - most).cast("int").alias("a"), (F.col("p") - least + length).cast("int").alias("b")))
-        rest = materialize(known.where(F.struct("t", "p") == F.col("first")).select("h", "lo", "hi", "t", "p", "left", "right"))
-        sizes = rest.groupBy("h", "lo", "hi").agg(F.count("*").alias("n")).where("n > 1")
-        one = rest.join(sizes, ["h", "lo", "hi"])
-        done = one.where(F.col("n") <= hot).drop("n")
+        sizes = {"n_left": F.length("left"), "n_right": F.length("right")}
+        rows = materialize(rows.withColumns({"k1": k1, "k2": k2, **sizes}))
+        keys = ["h", "lo", "hi", "k1", "k2"]
+        # one member of each class brings the bytes; the others only their places
+        best = F.min(F.struct("t", "p", "left", "right")).alias("v")
+        classes = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n"), best))
+        known = rows.select(*keys, "t", "p", *sizes).join(classes.where("n > 1").select(*keys), keys)
+        least, most = F.greatest(F.col("lo"), length - F.col("n_right")), F.least(F.col("hi"), F.col("n_left"))
+        settled.append(known.where(least <= most).select("t", (F.col("p") - most).cast("int").alias("a"), (F.col("p") - least + length).cast("int").alias("b")))
+        rest = classes.select("h", "lo", "hi", "v.*")
+        # no more groups than members over the bound, so these keys can be broadcast
+        big = F.broadcast(materialize(rest.groupBy("h", "lo", "hi").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h", "lo", "hi")))
+        done = rest.join(big, ["h", "lo", "hi"], "left_anti")
         small = done if small is None else small.unionByName(done)
-        large = materialize(one.where((F.col("n") > hot) & (F.col("lo") < F.col("hi"))).drop("n"))
+        large = materialize(rest.join(big, ["h", "lo", "hi"], "left_semi").where("lo < hi"))
         if not large.limit(1).count():
             return small, settled
         middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
