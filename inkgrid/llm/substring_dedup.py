@@ -17,6 +17,7 @@ longer half have in common.
 from __future__ import annotations
 
 import itertools
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,8 +33,8 @@ SHINGLE = 5
 #: Words of a passage.
 WORDS = 50
 SIMILARITY = 0.8
-#: Hash functions.
-HASHES = 3
+#: Hash functions, and how many of them must bring a stretch together with others.
+HASHES, VOTES = 3, 2
 #: Different windows of a group that are all compared; larger groups are cut first.
 ALL_PAIRS = 128
 #: Places that words may have moved by insertions and deletions.
@@ -125,13 +126,40 @@ def _windows(width: int, shingle: int, hashes: int):
                 t = batch["t"].slice(a, 512).to_numpy()
                 for i, j in slices(texts, 1 << 20):
                     h, size, _ = shingle_hashes(texts[i:j], shingle)
-                    for _, rows in compact_windows(h, size, width, hashes):
-                        yield {"v": rows[:, 1], "t": t[i:j][rows[:, 0]], "c": rows[:, 2].astype(np.int32), "l": rows[:, 3].astype(np.int32), "r": rows[:, 4].astype(np.int32)}
+                    for k, rows in compact_windows(h, size, width, hashes):
+                        yield {"k": np.full(len(rows), k, np.int32), "v": rows[:, 1], "t": t[i:j][rows[:, 0]], "c": rows[:, 2].astype(np.int32), "l": rows[:, 3].astype(np.int32), "r": rows[:, 4].astype(np.int32)}
 
     return run
 
 
-def _contexts(width: int, shingle: int):
+def supported(found: list[dict], width: int, votes: int) -> list[dict]:
+    """Windows of a text that share a stretch of ``width`` shingles with windows of so
+    many hash functions in all: a sweep over the windows' beginnings and ends."""
+    if votes < 2:
+        return found
+    # a stretch is named by where it begins: a window holds those from l to r - width + 1
+    spans = sorted(((x["l"], x["r"] - width + 2, x["k"]) for x in found))
+    events = sorted([(a, 1, k) for a, _, k in spans] + [(b, -1, k) for _, b, k in spans])
+    counts: defaultdict = defaultdict(int)
+    rich: list[tuple[int, int]] = []
+    begun, kinds = 0, 0
+    for at, step, k in events:
+        if kinds >= votes and at > begun:
+            rich.append((begun, at))
+        kinds -= counts[k] > 0
+        counts[k] += step
+        kinds += counts[k] > 0
+        begun = at
+    begins, ends = [a for a, _ in rich], [b for _, b in rich]
+    out = []
+    for x in found:
+        i = bisect_right(ends, x["l"])
+        if i < len(rich) and begins[i] < x["r"] - width + 2:
+            out.append(x)
+    return out
+
+
+def _contexts(width: int, shingle: int, votes: int):
     """The shingles of each window around c as two-byte hashes, zero where it ends."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -144,7 +172,7 @@ def _contexts(width: int, shingle: int):
                 for i, (t, found) in enumerate(zip(batch["t"].slice(a, 32).to_pylist(), batch["at"].slice(a, 32).to_pylist(), strict=True)):
                     mine = short[begins[i] : begins[i] + size[i]]
                     out: dict[str, list] = {"v": [], "t": [], "c": [], "around": []}
-                    for x in found:
+                    for x in supported(found, width, votes):
                         c, low, high = x["c"], max(x["l"], x["c"] - width + 1), min(x["r"], x["c"] + width - 1)
                         row = np.zeros(2 * width - 1, np.uint16)
                         row[low - c + width - 1 : high - c + width] = mine[low : high + 1]
@@ -191,34 +219,95 @@ def _blocks(rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
                 yield order[i:j]
 
 
+#: Pairs that are compared at a time.
+PAIRS = 1 << 14
+
+
+class _Batch:
+    """Windows of many groups whose pairs are compared together."""
+
+    def __init__(self, width: int, least: int):
+        self.width, self.least, self.full = width, least, 2 * width - 1
+        self.every: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: list[bytes] = []
+        self.members: list[tuple[int, list[int]]] = []
+        self.x: list[np.ndarray] = []
+        self.y: list[np.ndarray] = []
+        self.pairs = 0
+        self.low = self.high = np.empty(0, np.int64)
+
+    def add(self, around: list[bytes], members: list[tuple[int, list[int]]]) -> None:
+        """A group of different windows; spans come when enough pairs have gathered."""
+        base, n = len(self.rows), len(around)
+        self.rows += around
+        self.members += members
+        if n <= ALL_PAIRS:
+            if n not in self.every:
+                self.every[n] = np.nonzero(~np.eye(n, dtype=bool))
+            x, y = self.every[n]
+            self._pair(base + x, base + y)
+            return
+        rows = np.frombuffer(b"".join(around), np.uint16).reshape(-1, self.full)
+        for block in _blocks(rows, self.width):
+            for i in range(0, len(block), 128):
+                for j in range(0, len(block), 512):
+                    x, y = np.meshgrid(block[i : i + 128], block[j : j + 512], indexing="ij")
+                    self._pair(base + x.ravel(), base + y.ravel())
+                    if self.pairs > 4 * PAIRS:
+                        self.compare()
+
+    def _pair(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.x.append(x)
+        self.y.append(y)
+        self.pairs += len(x)
+
+    def compare(self) -> None:
+        """Note the verified spans of each member so far; all hold c, so they are one."""
+        more = len(self.rows) - len(self.low)
+        self.low = np.concatenate([self.low, np.full(more, self.full)])
+        self.high = np.concatenate([self.high, np.full(more, -1)])
+        if self.pairs:
+            rows = np.frombuffer(b"".join(self.rows), np.uint16).reshape(-1, self.full)
+            text = np.array([t for t, _ in self.members])
+            x, y = np.concatenate(self.x), np.concatenate(self.y)
+            on = text[x] != text[y]
+            x, y = x[on], y[on]
+            for i in range(0, len(x), PAIRS):
+                p, q = x[i : i + PAIRS], y[i : i + PAIRS]
+                a, b = near(rows[p], rows[q], self.width, self.least)
+                hit = a < b
+                np.minimum.at(self.low, p[hit], a[hit])
+                np.maximum.at(self.high, p[hit], b[hit])
+        self.x, self.y, self.pairs = [], [], 0
+
+    def spans(self) -> dict | None:
+        self.compare()
+        out = []
+        for m in np.flatnonzero(self.high >= 0).tolist():
+            t, places = self.members[m]
+            a, b = int(self.low[m]) - self.width + 1, int(self.high[m]) - self.width + 1
+            out += [(t, c + a, c + b) for c in places]
+        self.clear()
+        return _columns(out) if out else None
+
+
 def _compare(width: int, least: int):
     """Verified spans (t, a, b), b inclusive; rows come sorted by (v, around)."""
-    full = 2 * width - 1
-
-    def group(around: list[bytes], members: list[tuple[int, list[int]]]) -> Iterator[tuple[int, int, int]]:
-        rows = np.frombuffer(b"".join(around), np.uint16).reshape(-1, full)
-        text = np.array([m[0] for m in members])
-        for block in _blocks(rows, width):
-            for i in range(0, len(block), 32):
-                for j in range(0, len(block), 512):
-                    x, y = np.meshgrid(block[i : i + 32], block[j : j + 512], indexing="ij")
-                    x, y = x.ravel(), y.ravel()
-                    ok = text[x] != text[y]
-                    x, y = x[ok], y[ok]
-                    if len(x):
-                        a, b = near(rows[x], rows[y], width, least)
-                        for m, p, q in {(int(m), int(p), int(q)) for m, p, q in zip(x[a < b], a[a < b], b[a < b], strict=True)}:
-                            for c in members[m][1]:
-                                yield members[m][0], c + p - width + 1, c + q - width + 1
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        held = _Batch(width, least)
         out: list[tuple[int, int, int]] = []
         value, around, members, settled = None, [], [], False
         for batch in batches:
             for v, t, c, row in zip(*(batch[n].to_pylist() for n in ("v", "t", "c", "around")), strict=True):
                 if v != value:
                     if len(around) > 1:
-                        out += group(around, members)
+                        held.add(around, members)
+                        if held.pairs > PAIRS and (made := held.spans()):
+                            yield made
                     value, around, members = v, [], []
                 if around and around[-1] == row:  # equal throughout: settled, but one text stands for them
                     first, places = members[-1]
@@ -239,7 +328,9 @@ def _compare(width: int, least: int):
                     yield _columns(out)
                     out = []
         if len(around) > 1:
-            out += group(around, members)
+            held.add(around, members)
+        if made := held.spans():
+            yield made
         if out:
             yield _columns(out)
 
@@ -291,12 +382,12 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     least = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
     keyed = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     firsts = materialize(keyed.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    found = map_arrow(keyed.select("t", "text"), _windows(width, shingle, hashes), "v long, t long, c int, l int, r int").repartition("v")
-    once = found.dropDuplicates(["v", "t", "c"])
-    shared = found.groupBy("v").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("v")
-    places = once.join(shared, "v").groupBy("t").agg(F.collect_list(F.struct("v", "c", "l", "r")).alias("at"))
+    found = map_arrow(keyed.select("t", "text"), _windows(width, shingle, hashes), "k int, v long, t long, c int, l int, r int").repartition("v")
+    once = found.distinct()  # by all columns, so that both uses share one exchange
+    shared = once.groupBy("v").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("v")
+    places = once.join(shared, "v").groupBy("t").agg(F.collect_list(F.struct("k", "v", "c", "l", "r")).alias("at"))
     texts = keyed.join(places.join(firsts.select("t", "id"), "t"), ["t", "id"]).select("t", "text", "at")
-    around = map_arrow(texts, _contexts(width, shingle), "v long, t long, c int, around binary")
+    around = map_arrow(texts, _contexts(width, shingle, min(hashes, VOTES)), "v long, t long, c int, around binary")
     spans = map_arrow(around.repartition("v").sortWithinPartitions("v", "around", "t", "c"), _compare(width, least), "t long, a int, b int")
     spans = spans.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     marks = materialize(spans.join(firsts.where("n > 1").select("t", F.lit(True).alias("many")), "t", "full_outer"))
