@@ -383,7 +383,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     keyed = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     firsts = materialize(keyed.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     found = map_arrow(keyed.select("t", "text"), _windows(width, shingle, hashes), "k int, v long, t long, c int, l int, r int").repartition("v")
-    once = found.distinct()  # by all columns, so that both uses share one exchange
+    once = found.distinct()  # by all columns; even so Spark makes the windows once for each use
     shared = once.groupBy("v").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("v")
     places = once.join(shared, "v").groupBy("t").agg(F.collect_list(F.struct("k", "v", "c", "l", "r")).alias("at"))
     texts = keyed.join(places.join(firsts.select("t", "id"), "t"), ["t", "id"]).select("t", "text", "at")
