@@ -17,7 +17,6 @@ longer half have in common.
 from __future__ import annotations
 
 import itertools
-from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,8 +32,8 @@ SHINGLE = 5
 #: Words of a passage.
 WORDS = 50
 SIMILARITY = 0.8
-#: Hash functions, and how many of them must bring a stretch together with others.
-HASHES, VOTES = 3, 2
+#: Hash functions; one that a pair shares brings it to verification.
+HASHES = 3
 #: Different windows of a group that are all compared; larger groups are cut first.
 ALL_PAIRS = 128
 #: Places that words may have moved by insertions and deletions.
@@ -132,34 +131,7 @@ def _windows(width: int, shingle: int, hashes: int):
     return run
 
 
-def supported(found: list[dict], width: int, votes: int) -> list[dict]:
-    """Windows of a text that share a stretch of ``width`` shingles with windows of so
-    many hash functions in all: a sweep over the windows' beginnings and ends."""
-    if votes < 2:
-        return found
-    # a stretch is named by where it begins: a window holds those from l to r - width + 1
-    spans = sorted(((x["l"], x["r"] - width + 2, x["k"]) for x in found))
-    events = sorted([(a, 1, k) for a, _, k in spans] + [(b, -1, k) for _, b, k in spans])
-    counts: defaultdict = defaultdict(int)
-    rich: list[tuple[int, int]] = []
-    begun, kinds = 0, 0
-    for at, step, k in events:
-        if kinds >= votes and at > begun:
-            rich.append((begun, at))
-        kinds -= counts[k] > 0
-        counts[k] += step
-        kinds += counts[k] > 0
-        begun = at
-    begins, ends = [a for a, _ in rich], [b for _, b in rich]
-    out = []
-    for x in found:
-        i = bisect_right(ends, x["l"])
-        if i < len(rich) and begins[i] < x["r"] - width + 2:
-            out.append(x)
-    return out
-
-
-def _contexts(width: int, shingle: int, votes: int):
+def _contexts(width: int, shingle: int):
     """The shingles of each window around c as two-byte hashes, zero where it ends."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -172,7 +144,7 @@ def _contexts(width: int, shingle: int, votes: int):
                 for i, (t, found) in enumerate(zip(batch["t"].slice(a, 32).to_pylist(), batch["at"].slice(a, 32).to_pylist(), strict=True)):
                     mine = short[begins[i] : begins[i] + size[i]]
                     out: dict[str, list] = {"v": [], "t": [], "c": [], "around": []}
-                    for x in supported(found, width, votes):
+                    for x in found:
                         c, low, high = x["c"], max(x["l"], x["c"] - width + 1), min(x["r"], x["c"] + width - 1)
                         row = np.zeros(2 * width - 1, np.uint16)
                         row[low - c + width - 1 : high - c + width] = mine[low : high + 1]
@@ -387,7 +359,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     shared = once.groupBy("v").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("v")
     places = once.join(shared, "v").groupBy("t").agg(F.collect_list(F.struct("k", "v", "c", "l", "r")).alias("at"))
     texts = keyed.join(places.join(firsts.select("t", "id"), "t"), ["t", "id"]).select("t", "text", "at")
-    around = map_arrow(texts, _contexts(width, shingle, min(hashes, VOTES)), "v long, t long, c int, around binary")
+    around = map_arrow(texts, _contexts(width, shingle), "v long, t long, c int, around binary")
     spans = map_arrow(around.repartition("v").sortWithinPartitions("v", "around", "t", "c"), _compare(width, least), "t long, a int, b int")
     spans = spans.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     marks = materialize(spans.join(firsts.where("n > 1").select("t", F.lit(True).alias("many")), "t", "full_outer"))
