@@ -5,20 +5,20 @@ has the place of its least hash as its signature; the stretches that share a pla
 those within a compact window (l, c, r), a node of the Cartesian tree over the hashes.
 Only windows that hold a whole passage matter, about 2 n / width of n shingles.  Equal
 signatures under any of several hash functions bring windows together; their intervals
-are laid over each other at c and verified: two passages are near-duplicates if of
-``width`` shingles so many agree that the Jaccard similarity reaches ``similarity``.
+are laid over each other at c and verified: two passages are near-duplicates if the
+Jaccard similarity of their shingles reaches ``similarity``, wherever in them these stand.
 
 Windows that are equal throughout are settled in one pass over their sorted order,
-whatever their number; different ones are compared with each other in blocks, in large
-groups only where ten shingles beside c agree, which near-duplicates with c in their
-longer half have in common.
+whatever their number; each different one is compared with the others of its group until
+its span is as wide as the shingles that it shares with any of them allow.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -34,10 +34,9 @@ WORDS = 50
 SIMILARITY = 0.8
 #: Hash functions; one that a pair shares brings it to verification.
 HASHES = 3
-#: Different windows of a group that are all compared; larger groups are cut first.
-ALL_PAIRS = 128
-#: Places that words may have moved by insertions and deletions.
-SHIFTS = (0, -1, 1, -2, 2)
+#: Passages of up to so many times the width are verified as a whole wherever c stands in
+#: them; of longer ones the parts within that reach of c.
+REACH = 2
 NO_ID = -(2**63)
 
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
@@ -131,23 +130,23 @@ def _windows(width: int, shingle: int, hashes: int):
     return run
 
 
-def _contexts(width: int, shingle: int):
-    """The shingles of each window around c as two-byte hashes, zero where it ends."""
+def _contexts(reach: int, shingle: int):
+    """The shingles of each window around c as four-byte hashes, zero where it ends."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             for a in range(0, len(batch["t"]), 32):
                 texts = batch["text"].slice(a, 32).to_pylist()
                 h, size, _ = shingle_hashes(texts, shingle)
-                short = (h >> np.uint64(40)).astype(np.uint16) | np.uint16(1)
+                short = (h >> np.uint64(24)).astype(np.uint32) | np.uint32(1)
                 begins = np.cumsum(size) - size
                 for i, (t, found) in enumerate(zip(batch["t"].slice(a, 32).to_pylist(), batch["at"].slice(a, 32).to_pylist(), strict=True)):
                     mine = short[begins[i] : begins[i] + size[i]]
                     out: dict[str, list] = {"v": [], "t": [], "c": [], "around": []}
                     for x in found:
-                        c, low, high = x["c"], max(x["l"], x["c"] - width + 1), min(x["r"], x["c"] + width - 1)
-                        row = np.zeros(2 * width - 1, np.uint16)
-                        row[low - c + width - 1 : high - c + width] = mine[low : high + 1]
+                        c, low, high = x["c"], max(x["l"], x["c"] - reach + 1), min(x["r"], x["c"] + reach - 1)
+                        row = np.zeros(2 * reach - 1, np.uint32)
+                        row[low - c + reach - 1 : high - c + reach] = mine[low : high + 1]
                         out["v"].append(x["v"])
                         out["t"].append(t)
                         out["c"].append(c)
@@ -157,120 +156,234 @@ def _contexts(width: int, shingle: int):
     return run
 
 
-def near(x: np.ndarray, y: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+def own_names(rows: np.ndarray) -> np.ndarray:
+    """Rows in which shingles that repeat are told apart by how often they have occurred on
+    the way from the middle, so that stretches over the middle match them one to one."""
+    ordered = np.sort(rows, 1)
+    twice = ((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] > 0)).any(1)
+    if not twice.any():
+        return rows
+    rows = rows.copy()
+    middle = rows.shape[1] // 2
+    for i in np.flatnonzero(twice).tolist():
+        row = rows[i].tolist()
+        right, left = Counter(), Counter()
+        for j in range(middle, len(row)):
+            if v := row[j]:
+                if k := right[v]:
+                    rows[i, j] = (v + k * 0x9E3779B1) % (1 << 32) | 1
+                right[v] += 1
+        for j in range(middle - 1, -1, -1):
+            if v := row[j]:
+                if k := left[v] + (v in right):
+                    rows[i, j] = (v + k * 0x85EBCA77) % (1 << 32) | 1
+                left[v] += 1
+    return rows
+
+
+def _bound(flags: np.ndarray, there: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and last shingle of stretches that may pass if flagged shingles are common."""
+    sums = np.zeros((len(flags), flags.shape[1] + 1), np.int16)
+    np.cumsum(flags, 1, out=sums[:, 1:])
+    long = _longer(flags, there, sums, width, similarity)
+    return _ends(long.any(2), long.any(1))
+
+
+def _full(there: np.ndarray, width: int) -> np.ndarray:
+    """Whether all ``width`` shingles from each of the places before the middle are there."""
+    begins = _begins(there.shape[1], width)
+    sums = np.zeros((len(there), there.shape[1] + 1), np.int16)
+    np.cumsum(there, 1, out=sums[:, 1:])
+    return sums[:, begins + width] - sums[:, begins] == width
+
+
+def _begins(full: int, width: int) -> np.ndarray:
+    """Where stretches of ``width`` over the middle begin."""
+    return np.arange(full // 2 + 1 - width, full // 2 + 1)
+
+
+def _ends(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first beginning (up to the middle) and the last end (from it on), or none."""
+    n = begin.shape[1]
+    first = np.where(begin.any(1), begin.argmax(1), 2 * n - 1)
+    return first, np.where(end.any(1), 2 * n - 2 - end[:, ::-1].argmax(1), -1)
+
+
+@cache
+def _needed(reach: int, width: int, similarity: float) -> np.ndarray:
+    """Common shingles that a stretch from a (up to the middle) to b (from it on) must
+    have, if the other one is as long as it must be; more than there are if too short."""
+    m = np.arange(2 * reach)
+    size = np.arange(reach - 1, 2 * reach - 1)[None, :] - np.arange(reach)[:, None] + 1
+    enough = (1 + similarity) * m >= similarity * (size[:, :, None] + np.maximum(m, width)) - 1e-9
+    return np.where((size >= width) & enough.any(2), enough.argmax(2), 2 * reach).astype(np.int16)
+
+
+def _longer(flags: np.ndarray, there: np.ndarray, sums: np.ndarray, width: int, similarity: float) -> np.ndarray:
+    """Whether a..b has enough common shingles, and is ``width`` long or begins and ends
+    in common ones."""
+    reach = flags.shape[1] // 2 + 1
+    enough = sums[:, None, reach:] - sums[:, :reach, None] >= _needed(reach, width, similarity)
+    a = _begins(flags.shape[1], width)
+    b = a + width - reach
+    exact = enough[:, a, b] & _full(there, width)
+    enough &= flags[:, :reach, None] & flags[:, None, reach - 1 :]
+    enough[:, a, b] = exact
+    return enough
+
+
+def near(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of rows of windows laid over each other at c: first and last shingle of x
-    in passages that agree in ``least`` of ``width`` shingles; first > last if none."""
+    in stretches over c whose shingles reach the similarity (common ones by all) with those
+    of a stretch of y over its c, wherever in it they stand; first > last if none.
+
+    Stretches have ``width`` shingles, or more; longer ones of x begin and end in common
+    ones.  Rows are as ``own_names`` gives them.
+    """
     n, full = x.shape
-    same = np.zeros(x.shape, bool)
-    for s in SHIFTS:
-        a, b = max(0, s), full + min(0, s)
-        same[:, a:b] |= x[:, a:b] == y[:, a - s : b - s]
-    same &= x > 0
-    sums, there = np.zeros((n, full + 1), np.int32), np.zeros((n, full + 1), np.int32)
-    np.cumsum(same, 1, out=sums[:, 1:])
-    np.cumsum(x > 0, 1, out=there[:, 1:])
-    ok = (sums[:, width:] - sums[:, :-width] >= least) & (there[:, width:] - there[:, :-width] == width)
-    some = ok.any(1)
-    first = np.where(some, ok.argmax(1), 1)
-    last = np.where(some, ok.shape[1] - 1 - ok[:, ::-1].argmax(1) + width - 1, 0)
+    same = (x[:, :, None] == y[:, None, :]) & (x > 0)[:, :, None]
+    flags = same.any(2)
+    at = np.where(flags, same.argmax(2), -full).astype(np.int16)
+    k = _begins(full, width)
+    sums = np.zeros((n, full + 1, width), np.int16)
+    np.cumsum((at[:, :, None] >= k.astype(np.int16)) & (at[:, :, None] < (k + width).astype(np.int16)), 1, out=sums[:, 1:])
+    least = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
+    ok = ((sums[:, k + width] - sums[:, k] >= least) & _full(y > 0, width)[:, None, :]).any(2) & _full(x > 0, width)
+    # they begin where k says, and end width - 1 further on
+    first = np.where(ok.any(1), k[ok.argmax(1)], full)
+    last = np.where(ok.any(1), k[::-1][ok[:, ::-1].argmax(1)] + width - 1, -1)
+    sums = np.zeros((n, full + 1), np.int16)
+    np.cumsum(flags, 1, out=sums[:, 1:])
+    more = _longer(flags, x > 0, sums, width, similarity)
+    middle = full // 2
+    more &= (np.arange(middle + 1)[None, :, None] < first[:, None, None]) | (np.arange(middle, full)[None, None, :] > last[:, None, None])
+    for i in np.flatnonzero(more.any((1, 2))).tolist():
+        a, b = np.nonzero(more[i])
+        b = b + middle
+        tokens = np.flatnonzero(y[i])
+        low, high = int(tokens[0]), int(tokens[-1])
+        if high - low + 1 < width:
+            continue
+        whose = np.where(same[i].any(0), same[i].argmax(0), -1)[low : high + 1]
+        # what a shingle of y adds to (1 + s) common - s (length of x + length of y)
+        gain = (1 + similarity) * ((whose >= a[:, None]) & (whose <= b[:, None])) - similarity
+        total = np.zeros((len(a), high - low + 2))
+        np.cumsum(gain, 1, out=total[:, 1:])
+        # beginnings up to the middle and ``width`` before the end, ends from the middle on
+        ends = np.arange(max(width - 1, middle - low), high - low + 1)
+        lowest = np.minimum.accumulate(total, 1)
+        begin = np.minimum(ends + 1 - width, middle - low)
+        best = (total[:, ends + 1] - lowest[:, begin]).max(1)
+        hit = best >= similarity * (b - a + 1) - 1e-9
+        if hit.any():
+            first[i], last[i] = min(first[i], a[hit].min()), max(last[i], b[hit].max())
     return first, last
 
 
-def _blocks(rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """Members that need to be compared with each other."""
-    if len(rows) <= ALL_PAIRS:
-        yield np.arange(len(rows))
-        return
-    for begin in (width - 1, width - 10):  # ten shingles from c on, or up to it
-        keys = np.ascontiguousarray(rows[:, begin : begin + 10])
-        _, at = np.unique(keys, axis=0, return_inverse=True)
-        order = np.argsort(at.ravel(), kind="stable")
-        cuts = np.flatnonzero(np.diff(at.ravel()[order], prepend=-1))
-        for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            if j - i > 1:
-                yield order[i:j]
-
-
-#: Pairs that are compared at a time.
-PAIRS = 1 << 14
+#: Pairs that are compared at a time, and windows that are held for it.
+PAIRS, ROWS = 1 << 14, 1 << 13
+#: Places of the table that tells which shingles a window may hold.
+PLACES = 1 << 11
 
 
 class _Batch:
-    """Windows of many groups whose pairs are compared together."""
+    """Windows of many groups whose pairs are compared together.
+
+    A window is compared with the others of its group in turn until its span has reached
+    what it can reach at most, given the shingles that it shares with any of them.  Pairs
+    whose common shingles can't widen the span are passed over; no others are.
+    """
 
-    def __init__(self, width: int, least: int):
-        self.width, self.least, self.full = width, least, 2 * width - 1
-        self.every: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, width: int, reach: int, similarity: float):
+        self.width, self.reach, self.similarity, self.full = width, reach, similarity, 2 * reach - 1
+        self.least = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
         self.clear()
 
     def clear(self) -> None:
         self.rows: list[bytes] = []
-        self.members: list[tuple[int, list[int]]] = []
-        self.x: list[np.ndarray] = []
-        self.y: list[np.ndarray] = []
-        self.pairs = 0
-        self.low = self.high = np.empty(0, np.int64)
-
-    def add(self, around: list[bytes], members: list[tuple[int, list[int]]]) -> None:
-        """A group of different windows; spans come when enough pairs have gathered."""
-        base, n = len(self.rows), len(around)
+        self.members: list[tuple[int, list[int], bool]] = []
+        self.base: list[int] = []
+        self.size: list[int] = []
+
+    def add(self, around: list[bytes], members: list[tuple[int, list[int], bool]]) -> None:
+        """A group of different windows; the flag says that several texts hold one."""
+        n = len(around)
+        self.base += [len(self.rows)] * n
+        self.size += [n] * n
         self.rows += around
         self.members += members
-        if n <= ALL_PAIRS:
-            if n not in self.every:
-                self.every[n] = np.nonzero(~np.eye(n, dtype=bool))
-            x, y = self.every[n]
-            self._pair(base + x, base + y)
-            return
-        rows = np.frombuffer(b"".join(around), np.uint16).reshape(-1, self.full)
-        for block in _blocks(rows, self.width):
-            for i in range(0, len(block), 128):
-                for j in range(0, len(block), 512):
-                    x, y = np.meshgrid(block[i : i + 128], block[j : j + 512], indexing="ij")
-                    self._pair(base + x.ravel(), base + y.ravel())
-                    if self.pairs > 4 * PAIRS:
-                        self.compare()
-
-    def _pair(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.x.append(x)
-        self.y.append(y)
-        self.pairs += len(x)
-
-    def compare(self) -> None:
-        """Note the verified spans of each member so far; all hold c, so they are one."""
-        more = len(self.rows) - len(self.low)
-        self.low = np.concatenate([self.low, np.full(more, self.full)])
-        self.high = np.concatenate([self.high, np.full(more, -1)])
-        if self.pairs:
-            rows = np.frombuffer(b"".join(self.rows), np.uint16).reshape(-1, self.full)
-            text = np.array([t for t, _ in self.members])
-            x, y = np.concatenate(self.x), np.concatenate(self.y)
-            on = text[x] != text[y]
+
+    def compare(self) -> tuple[np.ndarray, np.ndarray]:
+        """The verified span of each member; all hold c, so it is one."""
+        rows = np.frombuffer(b"".join(self.rows), np.uint32).reshape(-1, self.full)
+        base, size = np.array(self.base), np.array(self.size)
+        text, many = np.array([t for t, _, _ in self.members]), np.array([m for _, _, m in self.members])
+        names = np.concatenate([own_names(rows[i : i + ROWS]) for i in range(0, len(rows), ROWS)])
+        low, high = np.full(len(rows), self.full), np.full(len(rows), -1)
+        least, most = self._reach(names, base, text, many)
+        place = np.arange(len(rows)) - base
+        step, active = 1, np.flatnonzero((least <= most) & ~many)
+        while len(active):
+            turns = max(1, PAIRS // len(active))
+            x = np.repeat(active, turns)
+            d = np.tile(np.arange(step, step + turns), len(active))
+            on = d < size[x]
+            x, d = x[on], d[on]
+            y = base[x] + (place[x] + d) % size[x]
+            on = (text[x] != text[y]) | many[y]
             x, y = x[on], y[on]
             for i in range(0, len(x), PAIRS):
                 p, q = x[i : i + PAIRS], y[i : i + PAIRS]
-                a, b = near(rows[p], rows[q], self.width, self.least)
-                hit = a < b
-                np.minimum.at(self.low, p[hit], a[hit])
-                np.maximum.at(self.high, p[hit], b[hit])
-        self.x, self.y, self.pairs = [], [], 0
+                mine, at = np.unique(q, return_inverse=True)
+                held = np.zeros((len(mine), PLACES), bool)
+                held[np.arange(len(mine))[:, None], names[mine] % PLACES] = True
+                may = held[at.ravel()[:, None], names[p] % PLACES] & (names[p] > 0)
+                on = may.sum(1) >= self.least
+                p, q, may = p[on], q[on], may[on]
+                for j in range(0, len(p), 64):
+                    k, m = p[j : j + 64], q[j : j + 64]
+                    a, b = _bound(may[j : j + 64], names[k] > 0, self.width, self.similarity)
+                    on = (a < low[k]) | (b > high[k])
+                    if on.any():
+                        a, b = near(names[k[on]], names[m[on]], self.width, self.similarity)
+                        np.minimum.at(low, k[on], a)
+                        np.maximum.at(high, k[on], b)
+            step += turns
+            active = active[((low[active] > least[active]) | (high[active] < most[active])) & (size[active] > step)]
+        return low, high
+
+    def _reach(self, names: np.ndarray, base: np.ndarray, text: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The widest span of each member that the shingles it shares with others allow."""
+        own = np.where(many, NO_ID + np.arange(len(text)), text)  # stands for other texts too
+        key = ((base.astype(np.uint64) << np.uint64(32))[:, None] | names).ravel()
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] ^ np.uint64(1)))
+        holder = np.repeat(own, self.full)[order]
+        shared = np.minimum.reduceat(holder, cuts) != np.maximum.reduceat(holder, cuts)
+        flags = np.empty(len(key), bool)
+        flags[order] = np.repeat(shared, np.diff(cuts, append=len(key)))
+        flags = flags.reshape(names.shape) & (names > 0)
+        found = [_bound(flags[i : i + 1024], names[i : i + 1024] > 0, self.width, self.similarity) for i in range(0, len(names), 1024)]
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
     def spans(self) -> dict | None:
-        self.compare()
+        if not self.rows:
+            return None
+        low, high = self.compare()
         out = []
-        for m in np.flatnonzero(self.high >= 0).tolist():
-            t, places = self.members[m]
-            a, b = int(self.low[m]) - self.width + 1, int(self.high[m]) - self.width + 1
+        for m in np.flatnonzero(high >= 0).tolist():
+            t, places, _ = self.members[m]
+            a, b = int(low[m]) - self.reach + 1, int(high[m]) - self.reach + 1
             out += [(t, c + a, c + b) for c in places]
         self.clear()
         return _columns(out) if out else None
 
 
-def _compare(width: int, least: int):
+def _compare(width: int, reach: int, similarity: float):
     """Verified spans (t, a, b), b inclusive; rows come sorted by (v, around)."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        held = _Batch(width, least)
+        held = _Batch(width, reach, similarity)
         out: list[tuple[int, int, int]] = []
         value, around, members, settled = None, [], [], False
         for batch in batches:
@@ -278,23 +391,24 @@ def _compare(width: int, least: int):
                 if v != value:
                     if len(around) > 1:
                         held.add(around, members)
-                        if held.pairs > PAIRS and (made := held.spans()):
+                        if len(held.rows) > ROWS and (made := held.spans()):
                             yield made
                     value, around, members = v, [], []
                 if around and around[-1] == row:  # equal throughout: settled, but one text stands for them
-                    first, places = members[-1]
+                    first, places, _ = members[-1]
                     if first == t and not settled:
                         places.append(c)
                         continue
-                    tokens = np.flatnonzero(np.frombuffer(row, np.uint16))
-                    a, b = int(tokens[0]) - width + 1, int(tokens[-1]) - width + 1
+                    tokens = np.flatnonzero(np.frombuffer(row, np.uint32))
+                    a, b = int(tokens[0]) - reach + 1, int(tokens[-1]) - reach + 1
                     out.append((t, c + a, c + b))
                     if not settled:
                         out += [(first, x + a, x + b) for x in places]
                         settled = True
+                        members[-1] = (first, places, True)
                 else:
                     around.append(row)
-                    members.append((t, [c]))
+                    members.append((t, [c], False))
                     settled = False
                 if len(out) > 1 << 14:
                     yield _columns(out)
@@ -351,7 +465,6 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     table gives no rows; other columns are not read.
     """
     width = words - shingle + 1
-    least = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
     keyed = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     firsts = materialize(keyed.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     found = map_arrow(keyed.select("t", "text"), _windows(width, shingle, hashes), "k int, v long, t long, c int, l int, r int").repartition("v")
@@ -359,8 +472,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     shared = once.groupBy("v").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("v")
     places = once.join(shared, "v").groupBy("t").agg(F.collect_list(F.struct("k", "v", "c", "l", "r")).alias("at"))
     texts = keyed.join(places.join(firsts.select("t", "id"), "t"), ["t", "id"]).select("t", "text", "at")
-    around = map_arrow(texts, _contexts(width, shingle), "v long, t long, c int, around binary")
-    spans = map_arrow(around.repartition("v").sortWithinPartitions("v", "around", "t", "c"), _compare(width, least), "t long, a int, b int")
+    around = map_arrow(texts, _contexts(REACH * width, shingle), "v long, t long, c int, around binary")
+    spans = map_arrow(around.repartition("v").sortWithinPartitions("v", "around", "t", "c"), _compare(width, REACH * width, similarity), "t long, a int, b int")
     spans = spans.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     marks = materialize(spans.join(firsts.where("n > 1").select("t", F.lit(True).alias("many")), "t", "full_outer"))
     sizes = map_arrow(keyed.select("id", "t", "text"), _count, "id long, t long, n long")

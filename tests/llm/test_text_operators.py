@@ -401,6 +401,20 @@ def test_passages_recall_at_the_least_similarity(spark):
     assert both >= 0.97 * 300, both
 
 
+def test_passages_with_moved_words(spark):
+    # a copy without words 29-31 (49 of 60 shingles in common), one with its halves exchanged (42 of 50)
+    rng = random.Random(12)
+    say = lambda k: [f"y{rng.randrange(10**9)}" for _ in range(k)]
+    made = []
+    for i in range(60):
+        passage = say(50 if i % 2 else 60)
+        copy = [*passage[25:], *passage[:25]] if i % 2 else [*passage[:28], *passage[31:]]
+        made += [" ".join([*say(60), *part, *say(60)]) for part in (passage, copy)]
+    got = by_id(substring_dedup.passages(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")), "spans")
+    both = [{80, 100} <= covered(got[2 * i]) and {80, 100} <= covered(got[2 * i + 1]) for i in range(60)]
+    assert sum(both[::2]) >= 28 and sum(both[1::2]) >= 28, both
+
+
 def test_compact_windows_hold_every_stretch():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 50, 90).astype(np.uint64)
