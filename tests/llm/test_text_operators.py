@@ -415,6 +415,24 @@ def test_passages_with_moved_words(spark):
     assert sum(both[::2]) >= 28 and sum(both[1::2]) >= 28, both
 
 
+def test_passages_of_large_groups(spark):
+    # c is shingle 6 of 46 and one word is changed such that shingles 9-13 differ; only the
+    # passage's own words are in common, among 200 different surroundings
+    rng = random.Random(13)
+    say = lambda k: [f"z{rng.randrange(10**9)}" for _ in range(k)]
+
+    def least(words):
+        h, size, _ = substring_dedup.shingle_hashes([" ".join(words)], 5)
+        return [c for _, rows in substring_dedup.compact_windows(h, size, 46, 1) for _, _, c, _, _ in rows.tolist()]
+
+    edited = lambda p: [*p[:13], "changed", *p[14:]]
+    while least(passage := say(50)) != [6] or least(edited(passage)) != [6]:
+        pass
+    made = [" ".join([*say(60), *(edited(passage) if i == 0 else passage), *say(60)]) for i in range(200)]
+    got = by_id(substring_dedup.passages(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), hashes=1), "spans")
+    assert all(set(range(60, 110)) <= covered(got[i]) for i in range(200))
+
+
 def test_compact_windows_hold_every_stretch():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 50, 90).astype(np.uint64)
