@@ -232,6 +232,25 @@ def _longer(flags: np.ndarray, there: np.ndarray, sums: np.ndarray, width: int,
     return enough
 
 
+def _passes(a: np.ndarray, b: np.ndarray, whose: np.ndarray, there: np.ndarray, width: int, similarity: float) -> np.ndarray:
+    """Which stretches a..b of x have a stretch of y over its middle that is similar
+    enough; ``whose`` tells which shingle of x each of y is, if any."""
+    tokens = np.flatnonzero(there)
+    low, high = int(tokens[0]), int(tokens[-1])
+    middle = len(there) // 2
+    if high - low + 1 < width:
+        return np.zeros(len(a), bool)
+    own = whose[low : high + 1]
+    # what a shingle of y adds to (1 + s) common - s (length of x + length of y)
+    total = np.zeros((len(a), high - low + 2))
+    np.cumsum((1 + similarity) * ((own >= a[:, None]) & (own <= b[:, None])) - similarity, 1, out=total[:, 1:])
+    # beginnings up to the middle and ``width`` before the end, ends from the middle on
+    ends = np.arange(max(width - 1, middle - low), high - low + 1)
+    lowest = np.minimum.accumulate(total, 1)
+    best = (total[:, ends + 1] - lowest[:, np.minimum(ends + 1 - width, middle - low)]).max(1)
+    return best >= similarity * (b - a + 1) - 1e-9
+
+
 def near(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of rows of windows laid over each other at c: first and last shingle of x
     in stretches over c whose shingles reach the similarity (common ones by all) with those
@@ -260,23 +279,19 @@ def near(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> tuple[n
     for i in np.flatnonzero(more.any((1, 2))).tolist():
         a, b = np.nonzero(more[i])
         b = b + middle
-        tokens = np.flatnonzero(y[i])
-        low, high = int(tokens[0]), int(tokens[-1])
-        if high - low + 1 < width:
-            continue
-        whose = np.where(same[i].any(0), same[i].argmax(0), -1)[low : high + 1]
-        # what a shingle of y adds to (1 + s) common - s (length of x + length of y)
-        gain = (1 + similarity) * ((whose >= a[:, None]) & (whose <= b[:, None])) - similarity
-        total = np.zeros((len(a), high - low + 2))
-        np.cumsum(gain, 1, out=total[:, 1:])
-        # beginnings up to the middle and ``width`` before the end, ends from the middle on
-        ends = np.arange(max(width - 1, middle - low), high - low + 1)
-        lowest = np.minimum.accumulate(total, 1)
-        begin = np.minimum(ends + 1 - width, middle - low)
-        best = (total[:, ends + 1] - lowest[:, begin]).max(1)
-        hit = best >= similarity * (b - a + 1) - 1e-9
-        if hit.any():
-            first[i], last[i] = min(first[i], a[hit].min()), max(last[i], b[hit].max())
+        whose = np.where(same[i].any(0), same[i].argmax(0), -1)
+        for by_begin in (True, False):
+            # the widest first, in growing lots: the first that pass decide
+            on = np.flatnonzero(a < first[i] if by_begin else b > last[i])
+            on = on[np.lexsort((-b[on], a[on]) if by_begin else (a[on], -b[on]))]
+            done, lot = 0, 2
+            while done < len(on):
+                p, q = a[on[done : done + lot]], b[on[done : done + lot]]
+                hit = _passes(p, q, whose, y[i] > 0, width, similarity)
+                if hit.any():
+                    first[i], last[i] = min(first[i], p[hit].min()), max(last[i], q[hit].max())
+                    break
+                done, lot = done + lot, 4 * lot
     return first, last
 
 
