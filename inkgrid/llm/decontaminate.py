@@ -108,7 +108,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """Rows (id, t, n_words, spans array of (begin, end) in words, items): merged covered spans.
 
     Null and empty texts have no words; an item without words has no window; documents
-    that repeat are each reported, or once where a benchmark takes several passes; empty tables give no rows, or rows without hits.
+    that repeat are each reported; empty tables give no rows, or rows without hits.
     Items are named by their ids as strings; a null item id is left out of ``items``.
     """
     slim = docs.select(col(id_col).cast("long").alias("id"), F.xxhash64(col(text_col)).alias("t"), col(text_col).alias("text"))
@@ -123,17 +123,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     every = passes[0]
     for more in passes[1:]:
         every = every.union(more)
-    return _merge(every)
+    return _merge(slim, every)
 
 
-def _merge(every: DataFrame) -> DataFrame:
+def _merge(slim: DataFrame, every: DataFrame) -> DataFrame:
+    """What the passes found for each distinct (id, t), for every row of the documents."""
     joined = every.groupBy("id", "t", "n_words").agg(F.flatten(F.collect_set("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             yield {"id": b["id"], "t": b["t"], "n_words": b["n_words"], "spans": [_union([(x["begin"], x["end"]) for x in s]) for s in b["s"].to_pylist()], "items": b["items"]}
 
-    return map_arrow(joined, run, "id long, t long, n_words long, spans array<struct<begin:long,end:long>>, items array<string>")
+    found = map_arrow(joined, run, "id long, t long, n_words long, spans array<struct<begin:long,end:long>>, items array<string>").withColumnsRenamed({"id": "i2", "t": "t2"})
+    rows = slim.select("id", "t")
+    return rows.join(found, rows["id"].eqNullSafe(F.col("i2")) & (rows["t"] == F.col("t2"))).select("id", "t", "n_words", "spans", "items")
 
 
 def _union(spans: list[tuple[int, int]]) -> list[dict]:

@@ -180,6 +180,15 @@ def brute_hits(text, windows):
     return len(w), len(hit), sorted(items)
 
 
+def test_decontamination_of_repeated_rows(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text), (1, text), (None, text), (None, text), (2, "short"), (2, "short"), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, text), (2, "short of words"), (3, "other words")], "item_id long, text string")
+    found = [sorted((str(r["id"]), r["n_words"], str(r["spans"]), r["items"]) for r in decontaminate.hits(docs, items, block_chars=chars).collect()) for chars in (1 << 20, 5)]
+    assert len(found[0]) == len(rows) and found[0] == found[1]
+
+
 def test_decontamination(spark, docs, texts, none):
     long = texts[0].split()
     rows = [(1, " ".join(texts[1].split()[:14])), (2, texts[40] and texts[40][:90]), (3, "DÉJÀ vu"), (4, ""), (5, None), (10, " ".join(long[-12:]) + " other"), (11, "x"), (12, "the the the the the the the the the the the"), (1, texts[2])]
