@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,9 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 #: Bytes of text that a Python worker expands at a time.
 SLICE_BYTES = 2 << 20
+#: Takes the place of a null id.
+NO_ID = -(2**63)
+#: Different texts with one 64-bit hash, of which the driver may hear; two are expected
+#: among six billion texts.
+MOST_CLASHES = 100_000
 
 
 def col(name: str) -> Column:
@@ -30,11 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and all run
+    on one machine (tests) a temporary folder takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="inkgrid-")
         shared_dir.own = found
     return found
@@ -61,6 +70,62 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, text, t) of ``docs``, and rows (t, id, n) of its different texts with the
+    smallest id and the number of rows that hold them.
+
+    A null text is empty, a null id is ``NO_ID``.  t is a hash of the text; texts that
+    share one, as a second hash tells, get others, so t names one text.
+    """
+    texts = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    two = {"t": F.xxhash64("text"), "u": F.xxhash64(F.lit(1), "text")}
+    held = materialize(texts.withColumns(two).groupBy("t", "u").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    clashes = [r["t"] for r in held.groupBy("t").count().where("count > 1").limit(MOST_CLASHES + 1).collect()]
+    if len(clashes) > MOST_CLASHES:
+        raise RuntimeError("too many texts share a hash")
+    own = F.col("t")
+    if clashes:
+        own = F.when(F.col("t").isin(clashes), F.xxhash64("t", "u", F.lit(2))).otherwise(F.col("t"))
+    return texts.withColumns(two).select("id", "text", own.alias("t")), held.select(own.alias("t"), "id", "n")
+
+
+def announced(v: np.ndarray, t: np.ndarray, p: np.ndarray, across: bool) -> dict:
+    """Rows (key, v, t, p) of a chunk of places p where a text t has the value v.
+
+    A value repeats if two places have it (``across``: places of two texts).  Rows of
+    values that repeat within the chunk are sure of it and get keys of their own, and one
+    row without t tells others; so a hot value sends a row or two for each chunk to where
+    it is looked up.  The others have their value as key, and no v.
+    """
+    order = np.lexsort((p, t, v))
+    v, t, p = v[order], t[order], p[order]
+    if len(v):
+        once = np.concatenate([[True], (v[1:] != v[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1])])
+        v, t, p = v[once], t[once], p[once]
+    cuts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
+    sizes = np.diff(cuts, append=len(v))
+    sure = (np.minimum.reduceat(t, cuts) != np.maximum.reduceat(t, cuts)) if across and len(v) else sizes > 1
+    known, marks = np.repeat(sure, sizes), v[cuts][sure]
+    with np.errstate(over="ignore"):
+        own = (v ^ (t * np.int64(0x5851F42D4C957F2D)) ^ (p * np.int64(0x2545F4914F6CDD1D))) * np.int64(0x369DEA0F31A53F85)
+    none, no_v = np.zeros(len(marks), np.int64), np.concatenate([~known, np.ones(len(marks), bool)])
+    return {
+        "key": np.concatenate([np.where(known, own, v), marks]),
+        "v": pa.array(np.concatenate([v, none]), mask=no_v),
+        "t": pa.array(np.concatenate([t, none]), mask=np.concatenate([np.zeros(len(v), bool), np.ones(len(marks), bool)])),
+        "p": np.concatenate([p, none]),
+    }
+
+
+def repeated(found: DataFrame, across: bool) -> DataFrame:
+    """Rows (v, t, p) whose value repeats, from what ``announced`` has told."""
+    w = Window.partitionBy("key")
+    differ = lambda c: F.min(c).over(w) != F.max(c).over(w)
+    again = differ("t") if across else differ("t") | differ("p")
+    seen = found.withColumn("again", F.col("v").isNotNull() | F.coalesce(again, F.lit(False)) | (F.count_if(F.col("t").isNull()).over(w) > 0))
+    return seen.where("again and t is not null").select(F.coalesce("v", "key").alias("v"), "t", "p")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -139,9 +204,11 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = state
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        # the minima are written first: a join of two tables is dealt anew for each, and a
+        # node with many neighbours can be split
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = materialize(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         now = materialize(small)
     raise RuntimeError(f"components did not settle in {limit} rounds")
