@@ -8,9 +8,10 @@ signatures under any of several hash functions bring windows together; their int
 are laid over each other at c and verified: two passages are near-duplicates if the
 Jaccard similarity of their shingles reaches ``similarity``, wherever in them these stand.
 
-Windows that are equal throughout are settled in one pass over their sorted order,
-whatever their number; each different one is compared with the others of its group until
-its span is as wide as the shingles that it shares with any of them allow.
+Windows that are equal throughout settle each other.  Of the others only what several
+texts of a group hold can be common, so the rest of each window is blanked; windows that
+are then alike have one form, and forms are compared, not windows.  A form is done as
+soon as its span is as wide as its common shingles allow.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, map_arrow, materialize, slices
+from .common import NO_ID, announced, keyed_texts, map_arrow, materialize, repeated, slices
 from .suffix_dedup import _slide
 
 SHINGLE = 5
@@ -36,8 +38,13 @@ SIMILARITY = 0.8
 HASHES = 3
 #: Passages of up to so many times the width are verified as a whole wherever c stands in
 #: them; of longer ones the parts within that reach of c.
-REACH = 2
-NO_ID = -(2**63)
+REACH = 1.5
+#: Windows of a signature that are compared in one task.  In a larger group equal windows
+#: are settled first; if more different ones remain, they are cut into blocks, and each
+#: pair of blocks is compared in a task of its own.
+GROUP = 1 << 14
+#: Windows that a chunk tells of at a time.
+TOLD = 200_000
 
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
 
@@ -64,28 +71,47 @@ def shingle_hashes(texts: list[str | None], shingle: int) -> tuple[np.ndarray, n
     return np.concatenate([*found, np.empty(0, np.uint64)]), np.maximum(words - shingle + 1, 0), words
 
 
-def cartesian_windows(values: list[int], places: list[int], begin: int, end: int) -> list[tuple[int, int, int]]:
-    """(l, c, r), r inclusive, for each place of a sequence that holds all places whose
-    windows are wide; others lie below them in the tree and change nothing.  Of equal
-    hashes the left one stands above."""
-    out, stack = [], []
-    left: list[int] = []
+def _spread(places: list[int], width: int) -> list[int]:
+    """Some of ``places``, first and last among them, such that no stretch of ``width``
+    holds others only."""
+    out = places[:1]
+    for i in range(1, len(places)):
+        if i + 1 == len(places) or places[i + 1] - out[-1] > width:
+            out.append(places[i])
+    return out
+
+
+def cartesian_windows(values: list[int], places: list[int], begin: int, end: int, width: int) -> list[tuple[int, int, int]]:
+    """(l, c, r), r inclusive, of windows of ``width`` or more, from all places that are least
+    in a stretch of that width; others lie below them in the tree and change nothing.
+
+    Places of one hash with nothing less between them are one node; a window is given for
+    as many of them as it takes for every stretch to hold one.
+    """
+    out: list[tuple[int, int, int]] = []
+    stack: list[tuple[int, list[int], int]] = []
+
+    def done(mine: list[int], low: int, high: int) -> None:
+        if high - low + 1 >= width:
+            out.extend((low, c, high) for c in (mine if len(mine) == 1 else _spread(mine, width)))
+
     for v, c in zip(values, places, strict=True):
         low = begin
         while stack and stack[-1][0] > v:
-            _, d = stack.pop()
-            out.append((left.pop(), d, c - 1))
+            _, mine, first = stack.pop()
+            done(mine, first, c - 1)
         if stack:
-            low = stack[-1][1] + 1
-        stack.append((v, c))
-        left.append(low)
-    while stack:
-        _, d = stack.pop()
-        out.append((left.pop(), d, end - 1))
+            if stack[-1][0] == v:
+                stack[-1][1].append(c)
+                continue
+            low = stack[-1][1][-1] + 1
+        stack.append((v, [c], low))
+    for _, mine, first in reversed(stack):
+        done(mine, first, end - 1)
     return out
 
 
-def compact_windows(h: np.ndarray, size: np.ndarray, width: int, hashes: int) -> Iterator[tuple[int, np.ndarray]]:
+def compact_windows(h: np.ndarray, size: np.ndarray, width: int, hashes: int) -> Iterator[np.ndarray]:
     """For each hash function rows (text, value as int64, c, l, r) of windows of ``width``
     shingles or more; c, l and r count from the text's first shingle."""
     ends = np.cumsum(size)
@@ -103,55 +129,62 @@ def compact_windows(h: np.ndarray, size: np.ndarray, width: int, hashes: int) ->
         pad = np.zeros(width - 1, np.uint64)
         at = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), width, np.maximum) == g)
         cuts = np.searchsorted(at, np.concatenate([begins, ends[-1:]]))
-        rows = []
+        values, places, rows = g[at].tolist(), at.tolist(), []
         for i in np.flatnonzero(ok).tolist():
-            mine = at[cuts[i] : cuts[i + 1]]
-            b = int(begins[i])
-            for x, c, y in cartesian_windows(g[mine].tolist(), mine.tolist(), b, int(ends[i])):
-                if y - x + 1 >= width:
-                    rows.append((i, c, c - b, x - b, y - b))
+            b, x, y = int(begins[i]), cuts[i], cuts[i + 1]
+            rows += [(i, c, c - b, first - b, last - b) for first, c, last in cartesian_windows(values[x:y], places[x:y], b, int(ends[i]), width)]
         if rows:
             out = np.array(rows, np.int64)
             out[:, 1] = (g[out[:, 1]] * np.uint64(_SEEDS[k]) ^ np.uint64(k)).view(np.int64)
-            yield k, out
+            yield out
+
 
+def _windows(width: int, reach: int, shingle: int, hashes: int):
+    """Rows of ``announced``; p packs c and how far the window goes to both sides."""
 
-def _windows(width: int, shingle: int, hashes: int):
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def rows() -> dict:
+            return announced(*(np.concatenate([*(x[k] for x in held), np.empty(0, np.int64)]) for k in range(3)), across=True)
+
         for batch in batches:
             for a in range(0, len(batch["t"]), 512):
                 texts = batch["text"].slice(a, 512).to_pylist()
                 t = batch["t"].slice(a, 512).to_numpy()
                 for i, j in slices(texts, 1 << 20):
                     h, size, _ = shingle_hashes(texts[i:j], shingle)
-                    for k, rows in compact_windows(h, size, width, hashes):
-                        yield {"k": np.full(len(rows), k, np.int32), "v": rows[:, 1], "t": t[i:j][rows[:, 0]], "c": rows[:, 2].astype(np.int32), "l": rows[:, 3].astype(np.int32), "r": rows[:, 4].astype(np.int32)}
+                    for found in compact_windows(h, size, width, hashes):
+                        c = found[:, 2]
+                        left, right = np.minimum(c - found[:, 3], reach - 1), np.minimum(found[:, 4] - c, reach - 1)
+                        held.append((found[:, 1], t[i:j][found[:, 0]], c << 24 | left << 12 | right))
+                    if sum(len(x[0]) for x in held) >= TOLD:
+                        yield rows()
+                        held = []
+        yield rows()
 
     return run
 
 
-def _contexts(reach: int, shingle: int):
-    """The shingles of each window around c as four-byte hashes, zero where it ends."""
+def _contexts(shingle: int):
+    """The shingles of each window around c as four-byte hashes, and how many precede c."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            for a in range(0, len(batch["t"]), 32):
-                texts = batch["text"].slice(a, 32).to_pylist()
-                h, size, _ = shingle_hashes(texts, shingle)
-                short = (h >> np.uint64(24)).astype(np.uint32) | np.uint32(1)
-                begins = np.cumsum(size) - size
-                for i, (t, found) in enumerate(zip(batch["t"].slice(a, 32).to_pylist(), batch["at"].slice(a, 32).to_pylist(), strict=True)):
-                    mine = short[begins[i] : begins[i] + size[i]]
-                    out: dict[str, list] = {"v": [], "t": [], "c": [], "around": []}
-                    for x in found:
-                        c, low, high = x["c"], max(x["l"], x["c"] - reach + 1), min(x["r"], x["c"] + reach - 1)
-                        row = np.zeros(2 * reach - 1, np.uint32)
-                        row[low - c + reach - 1 : high - c + reach] = mine[low : high + 1]
-                        out["v"].append(x["v"])
-                        out["t"].append(t)
-                        out["c"].append(c)
-                        out["around"].append(row.tobytes())
-                    yield out
+            for a in range(0, len(batch["t"]), 256):
+                texts, at, keys = batch["text"].slice(a, 256).to_pylist(), batch["at"].slice(a, 256), batch["t"].slice(a, 256).to_numpy()
+                counts = at.value_lengths().to_numpy()
+                v, p = (at.flatten().field(k).to_numpy() for k in (0, 1))
+                stops = np.cumsum(counts)
+                for i, j in slices(texts, 1 << 19):
+                    h, size, _ = shingle_hashes(texts[i:j], shingle)
+                    short = (h >> np.uint64(24)).astype(np.uint32) | np.uint32(1)
+                    mine = slice(int(stops[i] - counts[i]), int(stops[j - 1]))
+                    c, left, right = p[mine] >> 24, p[mine] >> 12 & 0xFFF, p[mine] & 0xFFF
+                    base = np.repeat(np.cumsum(size) - size, counts[i:j]) + c
+                    raw, first, last = short.tobytes(), 4 * (base - left), 4 * (base + right + 1)
+                    around = [raw[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                    yield {"v": v[mine], "t": np.repeat(keys[i:j], counts[i:j]), "c": c.astype(np.int32), "m": left.astype(np.int32), "around": pa.array(around, pa.binary())}
 
     return run
 
@@ -251,35 +284,35 @@ def _passes(a: np.ndarray, b: np.ndarray, whose: np.ndarray, there: np.ndarray,
     return best >= similarity * (b - a + 1) - 1e-9
 
 
-def near(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of rows of windows laid over each other at c: first and last shingle of x
-    in stretches over c whose shingles reach the similarity (common ones by all) with those
-    of a stretch of y over its c, wherever in it they stand; first > last if none.
+def near(at: np.ndarray, x_there: np.ndarray, y_there: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of windows laid over each other at c: first and last shingle of x in
+    stretches over c whose shingles reach the similarity (common ones by all) with those of
+    a stretch of y over its c, wherever in it they stand; first > last if none.
 
-    Stretches have ``width`` shingles, or more; longer ones of x begin and end in common
-    ones.  Rows are as ``own_names`` gives them.
+    ``at`` tells for each shingle of x which one of y it is, or -1.  Stretches have
+    ``width`` shingles, or more; longer ones of x begin and end in common ones.
     """
-    n, full = x.shape
-    same = (x[:, :, None] == y[:, None, :]) & (x > 0)[:, :, None]
-    flags = same.any(2)
-    at = np.where(flags, same.argmax(2), -full).astype(np.int16)
-    k = _begins(full, width)
+    n, full = at.shape
+    flags = at >= 0
+    place = np.where(flags, at, -full)
+    k = _begins(full, width).astype(np.int16)
     sums = np.zeros((n, full + 1, width), np.int16)
-    np.cumsum((at[:, :, None] >= k.astype(np.int16)) & (at[:, :, None] < (k + width).astype(np.int16)), 1, out=sums[:, 1:])
-    least = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
-    ok = ((sums[:, k + width] - sums[:, k] >= least) & _full(y > 0, width)[:, None, :]).any(2) & _full(x > 0, width)
+    np.cumsum((place[:, :, None] >= k) & (place[:, :, None] < k + np.int16(width)), 1, out=sums[:, 1:])
+    least = _least(width, similarity)
+    ok = ((sums[:, k + width] - sums[:, k] >= least) & _full(y_there, width)[:, None, :]).any(2) & _full(x_there, width)
     # they begin where k says, and end width - 1 further on
-    first = np.where(ok.any(1), k[ok.argmax(1)], full)
-    last = np.where(ok.any(1), k[::-1][ok[:, ::-1].argmax(1)] + width - 1, -1)
+    first = np.where(ok.any(1), k[ok.argmax(1)], full).astype(np.int64)
+    last = np.where(ok.any(1), k[::-1][ok[:, ::-1].argmax(1)] + width - 1, -1).astype(np.int64)
     sums = np.zeros((n, full + 1), np.int16)
     np.cumsum(flags, 1, out=sums[:, 1:])
-    more = _longer(flags, x > 0, sums, width, similarity)
+    more = _longer(flags, x_there, sums, width, similarity)
     middle = full // 2
     more &= (np.arange(middle + 1)[None, :, None] < first[:, None, None]) | (np.arange(middle, full)[None, None, :] > last[:, None, None])
     for i in np.flatnonzero(more.any((1, 2))).tolist():
         a, b = np.nonzero(more[i])
         b = b + middle
-        whose = np.where(same[i].any(0), same[i].argmax(0), -1)
+        whose = np.full(full, -1)
+        whose[at[i, flags[i]]] = np.flatnonzero(flags[i])
         for by_begin in (True, False):
             # the widest first, in growing lots: the first that pass decide
             on = np.flatnonzero(a < first[i] if by_begin else b > last[i])
@@ -287,7 +320,7 @@ def near(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> tuple[n
             done, lot = 0, 2
             while done < len(on):
                 p, q = a[on[done : done + lot]], b[on[done : done + lot]]
-                hit = _passes(p, q, whose, y[i] > 0, width, similarity)
+                hit = _passes(p, q, whose, y_there[i], width, similarity)
                 if hit.any():
                     first[i], last[i] = min(first[i], p[hit].min()), max(last[i], q[hit].max())
                     break
@@ -295,136 +328,196 @@ def near(x: np.ndarray, y: np.ndarray, width: int, similarity: float) -> tuple[n
     return first, last
 
 
+def _least(width: int, similarity: float) -> int:
+    """Common shingles of two stretches of ``width`` that are similar enough."""
+    return int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
+
+
+def _quick(at: np.ndarray, there: np.ndarray, a: np.ndarray, b: np.ndarray, width: int, similarity: float) -> np.ndarray:
+    """Whether a..b of x pass with the least stretch of y that holds their common shingles;
+    what does is near, what does not may still be so with another stretch."""
+    full = at.shape[1]
+    middle = full // 2
+    ok = (a <= middle) & (b >= middle) & (b - a + 1 >= width) & (a >= 0) & (b < full)
+    i = np.arange(full, dtype=np.int16)
+    inside = (at >= 0) & (i >= a[:, None]) & (i <= b[:, None])
+    common = inside.sum(1)
+    low = np.minimum(np.where(inside, at, middle).min(1), middle)
+    high = np.maximum(np.where(inside, at, middle).max(1), middle)
+    whole = there[np.arange(len(a)), np.clip(a, 0, full - 1)] & there[np.arange(len(a)), np.clip(b, 0, full - 1)]
+    return ok & whole & ((1 + similarity) * common >= similarity * (b - a + 1 + np.maximum(high - low + 1, width)) - 1e-9)
+
+
 #: Pairs that are compared at a time, and windows that are held for it.
-PAIRS, ROWS = 1 << 14, 1 << 13
-#: Places of the table that tells which shingles a window may hold.
-PLACES = 1 << 11
+PAIRS, ROWS = 1 << 10, 1 << 13
 
 
 class _Batch:
     """Windows of many groups whose pairs are compared together.
 
-    A window is compared with the others of its group in turn until its span has reached
-    what it can reach at most, given the shingles that it shares with any of them.  Pairs
-    whose common shingles can't widen the span are passed over; no others are.
+    Every form is compared with the others of its group in turn, those that have most
+    shingles in common with any first, until its span has reached what it can reach.
+    Pairs whose common shingles can't widen the span are passed over; no others are.
     """
 
     def __init__(self, width: int, reach: int, similarity: float):
         self.width, self.reach, self.similarity, self.full = width, reach, similarity, 2 * reach - 1
-        self.least = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
         self.clear()
 
     def clear(self) -> None:
-        self.rows: list[bytes] = []
+        self.rows: list[tuple[int, bytes]] = []
         self.members: list[tuple[int, list[int], bool]] = []
-        self.base: list[int] = []
-        self.size: list[int] = []
+        self.group: list[int] = []
 
-    def add(self, around: list[bytes], members: list[tuple[int, list[int], bool]]) -> None:
+    def add(self, around: list[tuple[int, bytes]], members: list[tuple[int, list[int], bool]]) -> None:
         """A group of different windows; the flag says that several texts hold one."""
-        n = len(around)
-        self.base += [len(self.rows)] * n
-        self.size += [n] * n
+        self.group += [self.group[-1] + 1 if self.group else 0] * len(around)
         self.rows += around
         self.members += members
 
+    def _names(self) -> np.ndarray:
+        out = np.zeros((len(self.rows), self.full), np.uint32)
+        for i, (m, raw) in enumerate(self.rows):
+            first = self.reach - 1 - m
+            out[i, first : first + len(raw) // 4] = np.frombuffer(raw, np.uint32)
+        return np.concatenate([own_names(out[i : i + ROWS]) for i in range(0, len(out), ROWS)])
+
     def compare(self) -> tuple[np.ndarray, np.ndarray]:
-        """The verified span of each member; all hold c, so it is one."""
-        rows = np.frombuffer(b"".join(self.rows), np.uint32).reshape(-1, self.full)
-        base, size = np.array(self.base), np.array(self.size)
-        text, many = np.array([t for t, _, _ in self.members]), np.array([m for _, _, m in self.members])
-        names = np.concatenate([own_names(rows[i : i + ROWS]) for i in range(0, len(rows), ROWS)])
-        low, high = np.full(len(rows), self.full), np.full(len(rows), -1)
-        least, most = self._reach(names, base, text, many)
-        place = np.arange(len(rows)) - base
-        step, active = 1, np.flatnonzero((least <= most) & ~many)
-        while len(active):
-            turns = max(1, PAIRS // len(active))
-            x = np.repeat(active, turns)
-            d = np.tile(np.arange(step, step + turns), len(active))
-            on = d < size[x]
-            x, d = x[on], d[on]
-            y = base[x] + (place[x] + d) % size[x]
-            on = (text[x] != text[y]) | many[y]
-            x, y = x[on], y[on]
-            for i in range(0, len(x), PAIRS):
-                p, q = x[i : i + PAIRS], y[i : i + PAIRS]
-                mine, at = np.unique(q, return_inverse=True)
-                held = np.zeros((len(mine), PLACES), bool)
-                held[np.arange(len(mine))[:, None], names[mine] % PLACES] = True
-                may = held[at.ravel()[:, None], names[p] % PLACES] & (names[p] > 0)
-                on = may.sum(1) >= self.least
-                p, q, may = p[on], q[on], may[on]
-                for j in range(0, len(p), 64):
-                    k, m = p[j : j + 64], q[j : j + 64]
-                    a, b = _bound(may[j : j + 64], names[k] > 0, self.width, self.similarity)
-                    on = (a < low[k]) | (b > high[k])
-                    if on.any():
-                        a, b = near(names[k[on]], names[m[on]], self.width, self.similarity)
-                        np.minimum.at(low, k[on], a)
-                        np.maximum.at(high, k[on], b)
-            step += turns
-            active = active[((low[active] > least[active]) | (high[active] < most[active])) & (size[active] > step)]
-        return low, high
-
-    def _reach(self, names: np.ndarray, base: np.ndarray, text: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The widest span of each member that the shingles it shares with others allow."""
-        own = np.where(many, NO_ID + np.arange(len(text)), text)  # stands for other texts too
-        key = ((base.astype(np.uint64) << np.uint64(32))[:, None] | names).ravel()
+        """The verified span of each window that one text holds; all hold c, so it is one."""
+        full, names = self.full, self._names()
+        group, many = np.array(self.group), np.array([x for _, _, x in self.members])
+        text = np.array([t for t, _, _ in self.members], np.int64)
+        least_text, most_text = np.where(many, -(2**63), text), np.where(many, 2**63 - 1, text)
+        # number the names that several texts of a group hold; -1 is none, -2 another name
+        key = ((group.astype(np.uint64) << np.uint64(32))[:, None] | names).ravel()
         order = np.argsort(key, kind="stable")
-        cuts = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] ^ np.uint64(1)))
-        holder = np.repeat(own, self.full)[order]
-        shared = np.minimum.reduceat(holder, cuts) != np.maximum.reduceat(holder, cuts)
-        flags = np.empty(len(key), bool)
-        flags[order] = np.repeat(shared, np.diff(cuts, append=len(key)))
-        flags = flags.reshape(names.shape) & (names > 0)
-        found = [_bound(flags[i : i + 1024], names[i : i + 1024] > 0, self.width, self.similarity) for i in range(0, len(names), 1024)]
-        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        owner = order // full
+        shared = (np.minimum.reduceat(least_text[owner], cuts) != np.maximum.reduceat(most_text[owner], cuts)) & (names.ravel()[order[cuts]] > 0)
+        number = np.empty(len(key), np.int32)
+        number[order] = np.repeat(np.where(shared, np.cumsum(shared) - 1, -2), np.diff(cuts, append=len(key)))
+        number = number.reshape(names.shape)
+        number[names == 0] = -1
+        n_names = int(shared.sum())
+        # forms, those of a group together and the richest first
+        rows = np.ascontiguousarray(np.column_stack([group, number]).astype(np.int32))
+        _, first, form = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
+        form = form.ravel()
+        rank = np.lexsort((first, -(number[first] >= 0).sum(1), group[first]))
+        form, first = np.argsort(rank, kind="stable")[form], first[rank]
+        number, there, of = number[first], names[first] > 0, group[first]
+        low_text, high_text = np.full(len(first), 2**63 - 1), np.full(len(first), -(2**63))
+        np.minimum.at(low_text, form, least_text)
+        np.maximum.at(high_text, form, most_text)
+        begin = np.searchsorted(of, np.arange(of[-1] + 1))
+        size = np.diff(begin, append=len(of))
+        found = [_bound(number[i : i + 256] >= 0, there[i : i + 256], self.width, self.similarity) for i in range(0, len(of), 256)]
+        least, most = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        # a text with one form in its group shares the result of all that have it
+        single = np.flatnonzero(~many)
+        pairs = np.unique(np.column_stack([group[single], text[single], form[single]]), axis=0)
+        twice = np.zeros(len(pairs), bool)
+        again = (pairs[1:, :2] == pairs[:-1, :2]).all(1)
+        twice[1:] |= again
+        twice[:-1] |= again
+        alone = np.where(twice, pairs[:, 1], np.where(low_text[pairs[:, 2]] == high_text[pairs[:, 2]], low_text[pairs[:, 2]], 2**63 - 1))
+        cases, case = np.unique(np.column_stack([pairs[:, 2], alone]), axis=0, return_inverse=True)
+        shape, own = cases[:, 0], cases[:, 1]
+        low, high = np.full(len(cases), full), np.full(len(cases), -1)
+        place = np.full(n_names + 2, -1, np.int16)
+        column = np.broadcast_to(np.arange(full, dtype=np.int16), number.shape)
+        active, step = np.flatnonzero(least[shape] <= most[shape]), 0
+        while len(active):
+            partner = begin[of[shape[active]]] + step
+            y = np.unique(partner)
+            held = number[y] >= 0
+            place[number[y][held]] = column[y][held]
+            on = ~((low_text[partner] == high_text[partner]) & (low_text[partner] == own[active]))
+            mine, partner = active[on], partner[on]
+            for i in range(0, len(mine), PAIRS):
+                self._widen(mine[i : i + PAIRS], shape[mine[i : i + PAIRS]], partner[i : i + PAIRS], place, number, there, least, most, low, high)
+            place[number[y][held]] = -1
+            step += 1
+            active = active[((low[active] > least[shape[active]]) | (high[active] < most[shape[active]])) & (size[of[shape[active]]] > step)]
+        out = np.full((2, len(many)), -1)
+        out[0] = full
+        where = np.empty(len(single), np.int64)
+        index = {tuple(p): int(c) for p, c in zip(pairs.tolist(), case.ravel().tolist(), strict=True)}
+        for k, p in enumerate(zip(group[single].tolist(), text[single].tolist(), form[single].tolist(), strict=True)):
+            where[k] = index[p]
+        out[0, single], out[1, single] = low[where], high[where]
+        return out[0], out[1]
+
+    def _widen(self, case, x, y, place, number, there, least, most, low, high) -> None:  # noqa: ANN001, PLR0913
+        """Spans of the cases (forms x) by what they have in common with the forms y."""
+        at = place[number[x]]
+        on = (at >= 0).sum(1) >= _least(self.width, self.similarity)
+        if not on.any():
+            return
+        case, x, y, at = case[on], x[on], y[on], at[on]
+        width, similarity = self.width, self.similarity
+        a, b = least[x], most[x]
+        i = np.arange(self.full)
+        flags = (at >= 0) & (i >= a[:, None]) & (i <= b[:, None])
+        wide = np.where(flags.any(1), flags.argmax(1), self.full), np.where(flags.any(1), self.full - 1 - flags[:, ::-1].argmax(1), -1)
+        for p, q in (wide, (a, a + width - 1), (b - width + 1, b)):
+            hit = _quick(at, there[x], p, q, width, similarity)
+            low[case[hit]] = np.minimum(low[case[hit]], p[hit])
+            high[case[hit]] = np.maximum(high[case[hit]], q[hit])
+        on = (low[case] > a) | (high[case] < b)
+        for i in range(0, int(on.sum()), 64):
+            pick = np.flatnonzero(on)[i : i + 64]
+            p, q = _bound(at[pick] >= 0, there[x[pick]], width, similarity)
+            pick = pick[(p < low[case[pick]]) | (q > high[case[pick]])]
+            if len(pick):
+                p, q = near(at[pick], there[x[pick]], there[y[pick]], width, similarity)
+                low[case[pick]] = np.minimum(low[case[pick]], p)
+                high[case[pick]] = np.maximum(high[case[pick]], q)
 
     def spans(self) -> dict | None:
         if not self.rows:
             return None
         low, high = self.compare()
         out = []
-        for m in np.flatnonzero(high >= 0).tolist():
-            t, places, _ = self.members[m]
-            a, b = int(low[m]) - self.reach + 1, int(high[m]) - self.reach + 1
+        for k in np.flatnonzero(high >= 0).tolist():
+            t, places, _ = self.members[k]
+            a, b = int(low[k]) - self.reach + 1, int(high[k]) - self.reach + 1
             out += [(t, c + a, c + b) for c in places]
         self.clear()
         return _columns(out) if out else None
 
 
 def _compare(width: int, reach: int, similarity: float):
-    """Verified spans (t, a, b), b inclusive; rows come sorted by (v, around)."""
+    """Verified spans (t, a, b), b inclusive; rows come sorted by (key, m, around).  A row
+    without t stands for a window that several texts hold."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         held = _Batch(width, reach, similarity)
         out: list[tuple[int, int, int]] = []
         value, around, members, settled = None, [], [], False
         for batch in batches:
-            for v, t, c, row in zip(*(batch[n].to_pylist() for n in ("v", "t", "c", "around")), strict=True):
+            for v, t, c, m, raw in zip(*(batch[n].to_pylist() for n in ("key", "t", "c", "m", "around")), strict=True):
                 if v != value:
                     if len(around) > 1:
                         held.add(around, members)
                         if len(held.rows) > ROWS and (made := held.spans()):
                             yield made
                     value, around, members = v, [], []
-                if around and around[-1] == row:  # equal throughout: settled, but one text stands for them
+                if around and around[-1] == (m, raw):  # equal throughout: settled, but one text stands for them
                     first, places, _ = members[-1]
-                    if first == t and not settled:
-                        places.append(c)
+                    if t is None or (first == t and not settled):
+                        places += [] if t is None else [c]
                         continue
-                    tokens = np.flatnonzero(np.frombuffer(row, np.uint32))
-                    a, b = int(tokens[0]) - reach + 1, int(tokens[-1]) - reach + 1
-                    out.append((t, c + a, c + b))
+                    n = len(raw) // 4
+                    out.append((t, c - m, c - m + n - 1))
                     if not settled:
-                        out += [(first, x + a, x + b) for x in places]
+                        out += [(first, x - m, x - m + n - 1) for x in places]
                         settled = True
                         members[-1] = (first, places, True)
                 else:
-                    around.append(row)
-                    members.append((t, [c], False))
-                    settled = False
+                    around.append((m, raw))
+                    members.append((0, [], True) if t is None else (t, [c], False))
+                    settled = t is None
                 if len(out) > 1 << 14:
                     yield _columns(out)
                     out = []
@@ -443,6 +536,22 @@ def _columns(rows: list[tuple[int, int, int]]) -> dict:
     return {"t": list(t), "a": list(a), "b": list(b)}
 
 
+def _large_groups(around: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
+    """Rows to compare (key, t, c, m, around) of groups with many windows, and spans of
+    windows that several texts hold, which count once from there on."""
+    around = materialize(around)
+    same = ["v", "m", "around"]
+    classes = materialize(around.groupBy(*same).agg(F.min("t").alias("x"), F.max("t").alias("y")))
+    many = classes.where("x <> y").select(*same)
+    settled = around.join(many, same).select("t", (F.col("c") - F.col("m")).alias("a"), (F.col("c") - F.col("m") + F.length("around") / 4 - 1).cast("int").alias("b"))
+    rows = around.join(many, same, "left_anti").select(*same, "t", "c")
+    rows = rows.unionByName(many.withColumns({"t": F.lit(None).cast("long"), "c": F.lit(0)}))
+    blocks = materialize(classes.groupBy("v").agg(F.ceil(2 * F.count("*") / group).alias("blocks")))
+    rows = rows.join(blocks, "v").withColumn("i", F.pmod(F.xxhash64("m", "around"), F.col("blocks")))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("v", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "t", "c", "m", "around"), settled
+
+
 def _merge(shingle: int, words: int):
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -469,27 +578,40 @@ def _count(batches: Iterator[dict]) -> Iterator[dict]:
         yield {"id": batch["id"], "t": batch["t"], "n": n}
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, shingle: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, shingle: int = SHINGLE, hashes: int = HASHES, group: int = GROUP) -> DataFrame:
     """Rows (id, n_words, spans): stretches of words that lie in passages of ``words``
     words or more with a near-duplicate in another document; ends are exclusive.
 
-    Words are what white space separates, A-Z in lower case.  Null and empty texts have
-    none.  Equal texts are each other's duplicates as a whole if they are long enough;
-    they are windowed once.  Passages that a document repeats within itself alone don't
-    count.  Rows that repeat are documents of equal texts; a null id is kept; an empty
-    table gives no rows; other columns are not read.
+    Words are what white space separates, A-Z in lower case; texts of any length are read
+    whole.  Null and empty texts have none.  Equal texts are each other's duplicates as a
+    whole if they are long enough; in the search they are one text.  Passages that a
+    document repeats within itself alone don't count.  Rows that repeat are documents of
+    equal texts; a null id is kept; an empty table gives no rows; other columns are not
+    read, whatever their names.  ``group`` changes how the work is dealt, not the result.
     """
     width = words - shingle + 1
-    keyed = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    firsts = materialize(keyed.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    found = map_arrow(keyed.select("t", "text"), _windows(width, shingle, hashes), "k int, v long, t long, c int, l int, r int").repartition("v")
-    once = found.distinct()  # by all columns; even so Spark makes the windows once for each use
-    shared = once.groupBy("v").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("v")
-    places = once.join(shared, "v").groupBy("t").agg(F.collect_list(F.struct("k", "v", "c", "l", "r")).alias("at"))
-    texts = keyed.join(places.join(firsts.select("t", "id"), "t"), ["t", "id"]).select("t", "text", "at")
-    around = map_arrow(texts, _contexts(REACH * width, shingle), "v long, t long, c int, around binary")
-    spans = map_arrow(around.repartition("v").sortWithinPartitions("v", "around", "t", "c"), _compare(width, REACH * width, similarity), "t long, a int, b int")
-    spans = spans.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    reach = int(REACH * width)
+    keyed, firsts = keyed_texts(docs, id_col, text_col)
+    found = map_arrow(keyed.select("t", "text"), _windows(width, reach, shingle, hashes), "key long, v long, t long, p long")
+    shared = materialize(repeated(found, across=True))
+    counts = shared.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > group).select("v")
+    large = materialize(counts)
+
+    def contexts(part: DataFrame) -> DataFrame:
+        places = part.groupBy("t").agg(F.collect_set(F.struct("v", "p")).alias("at"))
+        # one row of each text brings the words
+        texts = keyed.join(places.join(firsts.select("t", "id"), "t"), ["t", "id"]).select("t", "text", "at")
+        return map_arrow(texts, _contexts(shingle), "v long, t long, c int, m int, around binary")
+
+    settled = None
+    if large.limit(1).count():
+        more, settled = _large_groups(contexts(shared.join(large, "v", "left_semi")), group)
+        rows = contexts(shared.join(large, "v", "left_anti")).withColumnRenamed("v", "key").unionByName(more)
+    else:
+        rows = contexts(shared).withColumnRenamed("v", "key")
+    spans = map_arrow(rows.repartition("key").sortWithinPartitions("key", "m", "around", "t", "c"), _compare(width, reach, similarity), "t long, a int, b int")
+    spans = spans.union(settled) if settled is not None else spans
+    spans = spans.groupBy("t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     marks = materialize(spans.join(firsts.where("n > 1").select("t", F.lit(True).alias("many")), "t", "full_outer"))
     sizes = map_arrow(keyed.select("id", "t", "text"), _count, "id long, t long, n long")
     out = map_arrow(sizes.join(marks, "t", "left").select("id", "n", "spans", F.coalesce("many", F.lit(False)).alias("many")), _merge(shingle, words), "id long, n_words long, spans array<struct<begin:long,end:long>>")
