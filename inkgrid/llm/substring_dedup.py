@@ -265,32 +265,14 @@ def _longer(flags: np.ndarray, there: np.ndarray, sums: np.ndarray, width: int,
     return enough
 
 
-def _passes(a: np.ndarray, b: np.ndarray, whose: np.ndarray, there: np.ndarray, width: int, similarity: float) -> np.ndarray:
-    """Which stretches a..b of x have a stretch of y over its middle that is similar
-    enough; ``whose`` tells which shingle of x each of y is, if any."""
-    tokens = np.flatnonzero(there)
-    low, high = int(tokens[0]), int(tokens[-1])
-    middle = len(there) // 2
-    if high - low + 1 < width:
-        return np.zeros(len(a), bool)
-    own = whose[low : high + 1]
-    # what a shingle of y adds to (1 + s) common - s (length of x + length of y)
-    total = np.zeros((len(a), high - low + 2))
-    np.cumsum((1 + similarity) * ((own >= a[:, None]) & (own <= b[:, None])) - similarity, 1, out=total[:, 1:])
-    # beginnings up to the middle and ``width`` before the end, ends from the middle on
-    ends = np.arange(max(width - 1, middle - low), high - low + 1)
-    lowest = np.minimum.accumulate(total, 1)
-    best = (total[:, ends + 1] - lowest[:, np.minimum(ends + 1 - width, middle - low)]).max(1)
-    return best >= similarity * (b - a + 1) - 1e-9
-
-
 def near(at: np.ndarray, x_there: np.ndarray, y_there: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of windows laid over each other at c: first and last shingle of x in
     stretches over c whose shingles reach the similarity (common ones by all) with those of
     a stretch of y over its c, wherever in it they stand; first > last if none.
 
     ``at`` tells for each shingle of x which one of y it is, or -1.  Stretches have
-    ``width`` shingles, or more; longer ones of x begin and end in common ones.
+    ``width`` shingles and are held against all such of y, or they are longer, begin and
+    end in common ones and are held against the least of y that has all their common ones.
     """
     n, full = at.shape
     flags = at >= 0
@@ -303,29 +285,20 @@ def near(at: np.ndarray, x_there: np.ndarray, y_there: np.ndarray, width: int, s
     # they begin where k says, and end width - 1 further on
     first = np.where(ok.any(1), k[ok.argmax(1)], full).astype(np.int64)
     last = np.where(ok.any(1), k[::-1][ok[:, ::-1].argmax(1)] + width - 1, -1).astype(np.int64)
+    # c is in every stretch, so what it holds of y is what its halves up to and from c hold
+    middle = full // 2
+    low, high = np.where(flags, at, middle), np.where(flags, at, middle)
+    low = np.concatenate([np.minimum.accumulate(low[:, middle::-1], 1)[:, ::-1], np.minimum.accumulate(low[:, middle:], 1)[:, 1:]], 1)
+    high = np.concatenate([np.maximum.accumulate(high[:, middle::-1], 1)[:, ::-1], np.maximum.accumulate(high[:, middle:], 1)[:, 1:]], 1)
     sums = np.zeros((n, full + 1), np.int16)
     np.cumsum(flags, 1, out=sums[:, 1:])
-    more = _longer(flags, x_there, sums, width, similarity)
-    middle = full // 2
-    more &= (np.arange(middle + 1)[None, :, None] < first[:, None, None]) | (np.arange(middle, full)[None, None, :] > last[:, None, None])
-    for i in np.flatnonzero(more.any((1, 2))).tolist():
-        a, b = np.nonzero(more[i])
-        b = b + middle
-        whose = np.full(full, -1)
-        whose[at[i, flags[i]]] = np.flatnonzero(flags[i])
-        for by_begin in (True, False):
-            # the widest first, in growing lots: the first that pass decide
-            on = np.flatnonzero(a < first[i] if by_begin else b > last[i])
-            on = on[np.lexsort((-b[on], a[on]) if by_begin else (a[on], -b[on]))]
-            done, lot = 0, 2
-            while done < len(on):
-                p, q = a[on[done : done + lot]], b[on[done : done + lot]]
-                hit = _passes(p, q, whose, y_there[i], width, similarity)
-                if hit.any():
-                    first[i], last[i] = min(first[i], p[hit].min()), max(last[i], q[hit].max())
-                    break
-                done, lot = done + lot, 4 * lot
-    return first, last
+    a, b = np.arange(middle + 1), np.arange(middle, full)
+    size_x = (b[None, :] - a[:, None] + 1).astype(np.int16)
+    size_y = np.maximum(high[:, None, b], high[:, a, None]) - np.minimum(low[:, None, b], low[:, a, None]) + np.int16(1)
+    common = sums[:, None, b + 1] - sums[:, a, None]
+    enough = (flags[:, a, None] & flags[:, None, b]) & (size_x >= width) & ((1 + similarity) * common >= similarity * (size_x + np.maximum(size_y, np.int16(width))) - 1e-6)
+    begin, end = _ends(enough.any(2), enough.any(1))
+    return np.minimum(first, begin), np.maximum(last, end)
 
 
 def _least(width: int, similarity: float) -> int:
