@@ -265,40 +265,59 @@ def _longer(flags: np.ndarray, there: np.ndarray, sums: np.ndarray, width: int,
     return enough
 
 
-def near(at: np.ndarray, x_there: np.ndarray, y_there: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def near(at: np.ndarray, x_there: np.ndarray, least: np.ndarray, most: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of windows laid over each other at c: first and last shingle of x in
-    stretches over c whose shingles reach the similarity (common ones by all) with those of
-    a stretch of y over its c, wherever in it they stand; first > last if none.
+    stretches over c that are near y; first > last if none.
 
-    ``at`` tells for each shingle of x which one of y it is, or -1.  Stretches have
-    ``width`` shingles and are held against all such of y, or they are longer, begin and
-    end in common ones and are held against the least of y that has all their common ones.
+    ``at`` tells for each shingle of x which one of y it is, or -1.  Stretches of x have
+    ``width`` shingles, or more if they begin and end in common ones, from ``least`` to
+    ``most``.  Each is held against the least stretch of y that goes over its c, is no
+    shorter than ``width`` and has all shingles that both windows have from it, wherever
+    they stand: their Jaccard similarity must reach ``similarity``.
     """
     n, full = at.shape
-    flags = at >= 0
-    place = np.where(flags, at, -full)
-    k = _begins(full, width).astype(np.int16)
-    sums = np.zeros((n, full + 1, width), np.int16)
-    np.cumsum((place[:, :, None] >= k) & (place[:, :, None] < k + np.int16(width)), 1, out=sums[:, 1:])
-    least = _least(width, similarity)
-    ok = ((sums[:, k + width] - sums[:, k] >= least) & _full(y_there, width)[:, None, :]).any(2) & _full(x_there, width)
-    # they begin where k says, and end width - 1 further on
-    first = np.where(ok.any(1), k[ok.argmax(1)], full).astype(np.int64)
-    last = np.where(ok.any(1), k[::-1][ok[:, ::-1].argmax(1)] + width - 1, -1).astype(np.int64)
+    middle, flags, i = full // 2, at >= 0, np.arange(full)
     # c is in every stretch, so what it holds of y is what its halves up to and from c hold
-    middle = full // 2
-    low, high = np.where(flags, at, middle), np.where(flags, at, middle)
-    low = np.concatenate([np.minimum.accumulate(low[:, middle::-1], 1)[:, ::-1], np.minimum.accumulate(low[:, middle:], 1)[:, 1:]], 1)
-    high = np.concatenate([np.maximum.accumulate(high[:, middle::-1], 1)[:, ::-1], np.maximum.accumulate(high[:, middle:], 1)[:, 1:]], 1)
+    low = np.where(flags, at, np.int16(middle))
+    high = low.copy()
+    for held, extreme in ((low, np.minimum), (high, np.maximum)):
+        held[:, middle:] = extreme.accumulate(held[:, middle:], 1)
+        held[:, middle::-1] = extreme.accumulate(held[:, middle::-1], 1)
     sums = np.zeros((n, full + 1), np.int16)
     np.cumsum(flags, 1, out=sums[:, 1:])
-    a, b = np.arange(middle + 1), np.arange(middle, full)
-    size_x = (b[None, :] - a[:, None] + 1).astype(np.int16)
-    size_y = np.maximum(high[:, None, b], high[:, a, None]) - np.minimum(low[:, None, b], low[:, a, None]) + np.int16(1)
-    common = sums[:, None, b + 1] - sums[:, a, None]
-    enough = (flags[:, a, None] & flags[:, None, b]) & (size_x >= width) & ((1 + similarity) * common >= similarity * (size_x + np.maximum(size_y, np.int16(width))) - 1e-6)
-    begin, end = _ends(enough.any(2), enough.any(1))
-    return np.minimum(first, begin), np.maximum(last, end)
+    factor = np.float32((1 + similarity) / similarity)
+
+    def enough(begin: tuple, end: tuple) -> np.ndarray:
+        """Of stretches whose ends' places, sums and ranges are given."""
+        size = np.maximum(np.maximum(begin[3], end[3]) - np.minimum(begin[2], end[2]), np.int16(width - 1))
+        size += end[0] - begin[0]
+        return (end[1] - begin[1]) * factor >= size + np.float32(2 - 1e-3)
+
+    rows, k = np.arange(n), _begins(full, width)
+    at_end = k + width - 1
+    ok = enough((k.astype(np.int16), sums[:, k], low[:, k], high[:, k]), (at_end.astype(np.int16), sums[:, at_end + 1], low[:, at_end], high[:, at_end])) & _full(x_there, width)
+    # they begin where k says, and end width - 1 further on
+    first = np.where(ok.any(1), k[ok.argmax(1)], full)
+    last = np.where(ok.any(1), k[::-1][ok[:, ::-1].argmax(1)] + width - 1, -1)
+    inside = flags & (i >= least[:, None]) & (i <= most[:, None])
+    a = np.where(inside.any(1), inside.argmax(1), middle)
+    b = np.where(inside.any(1), full - 1 - inside[:, ::-1].argmax(1), middle)
+    long = (a <= middle) & (b >= middle) & (b - a + 1 > width)
+    whole = long & enough((a.astype(np.int16), sums[rows, a], low[rows, a], high[rows, a]), (b.astype(np.int16), sums[rows, b + 1], low[rows, b], high[rows, b]))
+    first, last = np.where(whole, np.minimum(first, a), first), np.where(whole, np.maximum(last, b), last)
+    rest = np.flatnonzero(long & ~whole & ((a < first) | (b > last)) & ((sums[rows, b + 1] - sums[rows, a]) * factor >= 2 * width + 1 - 1e-3))
+    left, right = np.s_[: middle + 1], np.s_[middle:]
+    place = np.arange(full, dtype=np.int16)
+    wide = place[None, right] - place[left, None] >= width
+    for j in range(0, len(rest), 128):
+        mine = rest[j : j + 128]
+        begins = (place[left, None], sums[mine, : middle + 1, None], low[mine, left, None], high[mine, left, None])
+        ends = (place[None, right], sums[mine, None, middle + 1 :], low[mine, None, right], high[mine, None, right])
+        found = enough(begins, ends)
+        found &= wide & inside[mine, left, None] & inside[mine, None, right]
+        begin, end = _ends(found.any(2), found.any(1))
+        first[mine], last[mine] = np.minimum(first[mine], begin), np.maximum(last[mine], end)
+    return first, last
 
 
 def _least(width: int, similarity: float) -> int:
@@ -306,21 +325,6 @@ def _least(width: int, similarity: float) -> int:
     return int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
 
 
-def _quick(at: np.ndarray, there: np.ndarray, a: np.ndarray, b: np.ndarray, width: int, similarity: float) -> np.ndarray:
-    """Whether a..b of x pass with the least stretch of y that holds their common shingles;
-    what does is near, what does not may still be so with another stretch."""
-    full = at.shape[1]
-    middle = full // 2
-    ok = (a <= middle) & (b >= middle) & (b - a + 1 >= width) & (a >= 0) & (b < full)
-    i = np.arange(full, dtype=np.int16)
-    inside = (at >= 0) & (i >= a[:, None]) & (i <= b[:, None])
-    common = inside.sum(1)
-    low = np.minimum(np.where(inside, at, middle).min(1), middle)
-    high = np.maximum(np.where(inside, at, middle).max(1), middle)
-    whole = there[np.arange(len(a)), np.clip(a, 0, full - 1)] & there[np.arange(len(a)), np.clip(b, 0, full - 1)]
-    return ok & whole & ((1 + similarity) * common >= similarity * (b - a + 1 + np.maximum(high - low + 1, width)) - 1e-9)
-
-
 #: Pairs that are compared at a time, and windows that are held for it.
 PAIRS, ROWS = 1 << 10, 1 << 13
 
@@ -408,7 +412,7 @@ class _Batch:
             on = ~((low_text[partner] == high_text[partner]) & (low_text[partner] == own[active]))
             mine, partner = active[on], partner[on]
             for i in range(0, len(mine), PAIRS):
-                self._widen(mine[i : i + PAIRS], shape[mine[i : i + PAIRS]], partner[i : i + PAIRS], place, number, there, least, most, low, high)
+                self._widen(mine[i : i + PAIRS], shape[mine[i : i + PAIRS]], place, number, there, least, most, low, high)
             place[number[y][held]] = -1
             step += 1
             active = active[((low[active] > least[shape[active]]) | (high[active] < most[shape[active]])) & (size[of[shape[active]]] > step)]
@@ -421,31 +425,16 @@ class _Batch:
         out[0, single], out[1, single] = low[where], high[where]
         return out[0], out[1]
 
-    def _widen(self, case, x, y, place, number, there, least, most, low, high) -> None:  # noqa: ANN001, PLR0913
-        """Spans of the cases (forms x) by what they have in common with the forms y."""
+    def _widen(self, case, x, place, number, there, least, most, low, high) -> None:  # noqa: ANN001, PLR0913
+        """Spans of the cases (forms x) by what they have in common with their partners,
+        whose names have their places in ``place``."""
         at = place[number[x]]
         on = (at >= 0).sum(1) >= _least(self.width, self.similarity)
         if not on.any():
             return
-        case, x, y, at = case[on], x[on], y[on], at[on]
-        width, similarity = self.width, self.similarity
-        a, b = least[x], most[x]
-        i = np.arange(self.full)
-        flags = (at >= 0) & (i >= a[:, None]) & (i <= b[:, None])
-        wide = np.where(flags.any(1), flags.argmax(1), self.full), np.where(flags.any(1), self.full - 1 - flags[:, ::-1].argmax(1), -1)
-        for p, q in (wide, (a, a + width - 1), (b - width + 1, b)):
-            hit = _quick(at, there[x], p, q, width, similarity)
-            low[case[hit]] = np.minimum(low[case[hit]], p[hit])
-            high[case[hit]] = np.maximum(high[case[hit]], q[hit])
-        on = (low[case] > a) | (high[case] < b)
-        for i in range(0, int(on.sum()), 64):
-            pick = np.flatnonzero(on)[i : i + 64]
-            p, q = _bound(at[pick] >= 0, there[x[pick]], width, similarity)
-            pick = pick[(p < low[case[pick]]) | (q > high[case[pick]])]
-            if len(pick):
-                p, q = near(at[pick], there[x[pick]], there[y[pick]], width, similarity)
-                low[case[pick]] = np.minimum(low[case[pick]], p)
-                high[case[pick]] = np.maximum(high[case[pick]], q)
+        case, x, at = case[on], x[on], at[on]
+        first, last = near(at, there[x], least[x], most[x], self.width, self.similarity)
+        low[case], high[case] = np.minimum(low[case], first), np.maximum(high[case], last)
 
     def spans(self) -> dict | None:
         if not self.rows:
