@@ -24,11 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import col, map_arrow, materialize
+from .common import NO_ID, col, map_arrow, materialize
 
 MIN_WORDS = 5
-#: Takes the place of a null id in the order of documents.
-NO_ID = -(2**63)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
@@ -98,7 +96,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     here = F.struct("d", "t", "i")
     lines = map_arrow(_keyed(docs, id_col, text_col).drop("carry"), _split, "d long, t long, i long, w long, h1 long, h2 long")
     lines = materialize(lines)
-    firsts = lines.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(here).alias("r")).where("c > 1").drop("c")
+    # written first, as are the others below: a join of two tables is dealt anew for each,
+    # and a line or run that many documents hold can be split
+    firsts = materialize(lines.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(here).alias("r")).where("c > 1").drop("c"))
     active = materialize(lines.join(firsts, ["h1", "h2"]).select("d", "t", "i", "w", "r"))
     order = active.repartition("d", "t").sortWithinPartitions("d", "t", "i").select("d", "t", "i", "w")
     runs = materialize(map_arrow(order, _windows(min_words), "d long, t long, i long, n long"))
@@ -111,12 +111,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         else:
             tail = ranks.select("d", "t", F.col("i").alias("j"), F.col("r").alias("s"))
             named = materialize(own.join(ranks, ["d", "t", "i"]).withColumn("j", F.col("i") + F.col("n") - depth).join(tail, ["d", "t", "j"]).drop("j"))
-            first = named.groupBy("n", "r", "s").agg(F.min(here).alias("first"))
+            first = materialize(named.groupBy("n", "r", "s").agg(F.min(here).alias("first")))
             found.append(named.join(first, ["n", "r", "s"]).where(F.col("first") < here).select("d", "t", "i", "n"))
         if 2 * depth <= longest:  # the ranks at twice the depth
             later = ranks.select("d", "t", (F.col("i") - depth).alias("i"), F.col("r").alias("s"))
-            pairs = ranks.join(later, ["d", "t", "i"])
-            first = pairs.groupBy("r", "s").agg(F.count("*").alias("c"), F.min(here).alias("q")).where("c > 1").drop("c")
+            pairs = materialize(ranks.join(later, ["d", "t", "i"]))
+            first = materialize(pairs.groupBy("r", "s").agg(F.count("*").alias("c"), F.min(here).alias("q")).where("c > 1").drop("c"))
             ranks = materialize(pairs.join(first, ["r", "s"]).select("d", "t", "i", F.col("q").alias("r")))
         depth *= 2
     if not found:

@@ -7,17 +7,18 @@ count plus the mass set free times a shared backoff, which counts both classes t
     P_c(x | p) = (max(n_c(x) - D, 0) + k_c(p) * n(x) / n(p)) / n_c(p)
     k_c(p) = sum of min(n_c(y), D) over the continuations y of p
 
-Counts are continuation counts in the sense of Kneser and Ney: a word counts once for
-every document that holds it, however often it is repeated there.  Rare expressions have
-no count left after discounting, so both classes give them the shared probability and
-they speak for neither.
+Counts are continuation counts: not how often a word occurs, but in how many contexts,
+which are documents here, however often it is repeated in one.  Rare expressions have no
+count left after discounting, so both classes give them the shared probability and they
+speak for neither.
 
 The score compares the length-normalised log-likelihoods of both classes over the whole
-text and over its most toxic stretches of words.  A logistic function fitted on labelled
-rows that the counts have not seen maps these to 0..1.
+text and over its most toxic stretches of words.  A logistic function maps these to 0..1.
 
-Counts come from all labelled rows.  Prefixes are counted exactly, then folded into
-tables of ``SLOTS`` places, which bound what is broadcast at any size of the corpus.
+Counts come from all labelled rows that may be learnt from.  The logistic function is
+fitted on rows scored by counts that leave out their own fold.  Counts are exact tables
+that grow with the corpus; the log-likelihood ratio of each word is worked out once, by
+joins, and only these ratios meet the texts.
 """
 
 from __future__ import annotations
@@ -30,23 +31,30 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, map_arrow, slices
+from .common import col, map_arrow, materialize, slices
 
-#: Places of the count tables; prefixes that share a place share their counts.
-SLOTS = 1 << 20
 #: Letters (bytes) of a word that are spelled one by one; the rest is one step.
 DEPTH = 12
 DISCOUNT = 2.0
 #: Words of the stretches that are compared besides the whole text.
 STRETCHES = (3, 10, 30)
-#: Labelled rows that the logistic function is fitted on, if there are more.
+#: Labelled rows that the logistic function is fitted on, if there are more; rows beyond
+#: twice this number, as repeated ids can bring them, are left out in the order of a hash.
 FIT_ROWS = 20_000
-#: Most labels that are broadcast to the documents; more are joined by a shuffle.
+#: Most labels, and most words with their ratios (12 bytes each, 28 for the fit), that are
+#: broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
+BROADCAST_WORDS = 2_000_000
 COUNTS_HELD = 200_000
+#: Folds that may be learnt from, of the remainders of a row's crc32 by four.
+FOLDS = (0, 1, 3)
+#: Counts of a word: of ordinary and toxic documents by fold.
+COUNTS = [f"n{c}_{f}" for f in FOLDS for c in (0, 1)]
+#: Ratios of a word: by all folds, and without each one.
+RATIOS = ["r", *(f"r_{f}" for f in FOLDS)]
 
 _WORD = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -76,27 +84,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[dict]) -> Iterator[dict]:
-    """In how many documents of each class each word occurs."""
-    held: tuple[defaultdict, defaultdict] = (defaultdict(int), defaultdict(int))
+    """In how many documents of each class and fold each word occurs; words of documents
+    that are not learnt from have no counts."""
+    held: defaultdict = defaultdict(lambda: [0] * len(COUNTS))
 
     def rows() -> dict:
-        every = list(held[0].keys() | held[1].keys())
-        return {"word": every, "n0": [held[0].get(w, 0) for w in every], "n1": [held[1].get(w, 0) for w in every]}
+        counts = np.array(list(held.values()), np.int32).reshape(-1, len(COUNTS))
+        return {"word": list(held)} | {c: counts[:, k] for k, c in enumerate(COUNTS)}
 
     for batch in batches:
-        for text, toxic in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
-            mine = held[toxic]
-            for w in set(words(text.as_py())):
-                mine[w] += 1
-            if len(held[0]) + len(held[1]) > COUNTS_HELD:
+        for text, toxic, fold in zip(batch["text"], batch["toxic"].to_pylist(), batch["fold"].to_pylist(), strict=True):
+            found = set(words(text.as_py()))
+            if toxic is None:
+                for w in found:
+                    held[w]  # noqa: B018  known, without counts
+            else:
+                k = 2 * FOLDS.index(fold) + toxic
+                for w in found:
+                    held[w][k] += 1
+            if len(held) > COUNTS_HELD:
                 yield rows()
-                held[0].clear()
-                held[1].clear()
+                held.clear()
     yield rows()
 
 
 def _expand(batches: Iterator[dict]) -> Iterator[dict]:
-    """Counts of prefixes from counts of words."""
+    """Counts of prefixes x, each with the one before (p), from counts of words."""
     for batch in batches:
         for a in range(0, len(batch["word"]), 20_000):
             found, n = spell(batch["word"].slice(a, 20_000).to_pylist())
@@ -104,101 +117,180 @@ def _expand(batches: Iterator[dict]) -> Iterator[dict]:
             pairs = np.stack([found[:, 1:][on], found[:, :-1][on]], 1)
             keys, at = np.unique(pairs, axis=0, return_inverse=True)
             out = {"x": keys[:, 0].copy().view(np.int64), "p": keys[:, 1].copy().view(np.int64)}
-            for c in ("n0", "n1"):
+            for c in COUNTS:
                 weights = np.broadcast_to(batch[c].slice(a, 20_000).to_numpy()[:, None], on.shape)[on]
                 out[c] = np.bincount(at.ravel(), weights, len(keys)).astype(np.int64)
             yield out
 
 
+def word_hashes(found: list[str]) -> np.ndarray:
+    """Spark's xxhash64 of each word."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in found), np.uint64, len(found)).view(np.int64)
+
+
+def _steps(batches: Iterator[dict]) -> Iterator[dict]:
+    """The prefixes of each word, by its hash."""
+    for batch in batches:
+        for a in range(0, len(batch["word"]), 20_000):
+            part = batch["word"].slice(a, 20_000).to_pylist()
+            found, n = spell(part)
+            on = np.arange(1, DEPTH + 2) < n[:, None]
+            yield {"w": np.repeat(word_hashes(part), n - 1), "x": found[:, 1:][on].view(np.int64)}
+
+
+def step_ratios(exact: DataFrame) -> DataFrame:
+    """Rows (x, r, ...): for each prefix that follows another, the log of its probability in
+    toxic words less that in ordinary ones, by all folds and without each one.
+
+    ``exact(x, p, counts)`` are counts of prefixes.  A step that neither class knows, or
+    whose shared backoff is empty, has no say.
+    """
+    every = [F.lit(1)] * len(FOLDS)
+    uses = [every, *([F.lit(int(g != f)) for g in FOLDS] for f in FOLDS)]
+    n = lambda c, use, at="": sum((F.col(f"{at}n{c}_{f}") * u for f, u in zip(FOLDS, use, strict=True)), F.lit(0)).cast("double")
+    freed = [F.sum(F.least(n(c, use), F.lit(DISCOUNT))).alias(f"k{c}_{i}") for i, use in enumerate(uses) for c in (0, 1)]
+    sums = [F.sum(c).alias(f"p{c}") for c in COUNTS]
+    # what goes on from a prefix is all of it: only the empty one and the ends differ
+    above = materialize(exact.groupBy(F.col("p").alias("at")).agg(*freed, *sums))
+    both = exact.join(above, exact["p"] == above["at"])
+    ratios = []
+    for i, (name, use) in enumerate(zip(RATIOS, uses, strict=True)):
+        shared = (n(0, use) + n(1, use)) / F.greatest(n(0, use, "p") + n(1, use, "p"), F.lit(1.0))
+        p = []
+        for c in (0, 1):
+            total = n(c, use, "p")
+            p.append(F.when(total > 0, (F.greatest(n(c, use) - DISCOUNT, F.lit(0.0)) + F.col(f"k{c}_{i}") * shared) / F.greatest(total, F.lit(1.0))).otherwise(shared))
+        ratios.append(F.when((p[0] > 0) & (p[1] > 0), F.log(p[1] / F.when(p[0] > 0, p[0]).otherwise(1.0))).otherwise(0.0).alias(name))
+    return both.select("x", *ratios)
+
+
+def word_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """Rows (w, r, ...): the hash of each word of ``docs`` and its log-likelihood ratios;
+    words whose ratios are all zero have no row."""
+    marked = labelled(docs, labels, id_col, text_col, label_col)
+    counted = map_arrow(marked.select("text", "toxic", "fold"), _count, ", ".join(["word string", *(f"{c} int" for c in COUNTS)]))
+    counted = materialize(counted.groupBy("word").agg(*[F.sum(c).cast("int").alias(c) for c in COUNTS]))
+    learnt = counted.where(sum((F.col(c) for c in COUNTS), F.lit(0)) > 0)
+    exact = map_arrow(learnt, _expand, ", ".join(["x long, p long", *(f"{c} long" for c in COUNTS)]))
+    exact = materialize(exact.groupBy("x", "p").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+    by_step = materialize(step_ratios(exact))
+    steps = map_arrow(counted.select("word"), _steps, "w long, x long")
+    told = steps.join(by_step, "x").groupBy("w").agg(*[F.sum(r).cast("float").alias(r) for r in RATIOS])
+    return materialize(told.where(" or ".join(f"{r} <> 0" for r in RATIOS)))
+
+
 class Model:
-    """Folded counts: of a prefix by class, and of what discounting leaves below it."""
+    """Ratios of words by their hashes; other words have none."""
 
-    def __init__(self, n: np.ndarray, k: np.ndarray):
-        self.n, self.k = n, k
-        self.cold = not (n[0].any() and n[1].any())
+    def __init__(self, w: np.ndarray, r: np.ndarray):
+        order = np.argsort(w)
+        self.w, self.r = w[order], np.ascontiguousarray(r[..., order])
 
-    def ratio(self, found: list[str]) -> np.ndarray:
+    def ratio(self, found: list[str], which: int = 0) -> np.ndarray:
         """Log-likelihood of each word as toxic less that as ordinary."""
-        if not found or self.cold:
+        if not found or not len(self.w):
             return np.zeros(len(found))
-        x, size = spell(found)
-        slot = (x % np.uint64(SLOTS)).astype(np.int64)
-        n0, n1 = self.n[0][slot].astype(np.float64), self.n[1][slot].astype(np.float64)
-        both = n0 + n1
-        shared = both[:, 1:] / np.maximum(both[:, :-1], 1)
-        p = []
-        for n, k in ((n0, self.k[0][slot]), (n1, self.k[1][slot])):
-            above = n[:, :-1]
-            p.append(np.where(above > 0, (np.maximum(n[:, 1:] - DISCOUNT, 0) + k[:, :-1] * shared) / np.maximum(above, 1), shared))
-        on = (np.arange(1, DEPTH + 2) < size[:, None]) & (p[0] > 0) & (p[1] > 0)
-        return np.where(on, np.log(np.where(on, p[1], 1) / np.where(on, p[0], 1)), 0).sum(1)
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: mean ratio, best stretches' means, and the log of its length."""
+        h = word_hashes(found)
+        at = np.minimum(np.searchsorted(self.w, h), len(self.w) - 1)
+        return np.where(self.w[at] == h, self.r[which][at], 0.0)
+
+    def features(self, texts: list[str | None], which: int = 0) -> np.ndarray:
         number: defaultdict = defaultdict(count().__next__)
-        which = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in map(words, texts)]
-        ratio = self.ratio(list(number))
-        out = np.zeros((len(texts), len(STRETCHES) + 2))
-        for row, at in zip(out, which, strict=True):
-            if len(at):
-                sums = np.concatenate([[0], np.cumsum(ratio[at])])
-                row[0] = sums[-1] / len(at)
-                for i, n in enumerate(STRETCHES):
-                    row[i + 1] = (sums[n:] - sums[:-n]).max() / n if len(at) > n else row[0]
-                row[-1] = np.log(1 + len(at))
-        return out
+        rows = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in map(words, texts)]
+        return features(rows, self.ratio(list(number), which))
+
+
+def features(rows: list[np.ndarray], ratio: np.ndarray) -> np.ndarray:
+    """For each text, given as its words' numbers: mean ratio, best stretches' means, and
+    the log of its length."""
+    out = np.zeros((len(rows), len(STRETCHES) + 2))
+    for row, at in zip(out, rows, strict=True):
+        if len(at):
+            sums = np.concatenate([[0], np.cumsum(ratio[at])])
+            row[0] = sums[-1] / len(at)
+            for i, n in enumerate(STRETCHES):
+                row[i + 1] = (sums[n:] - sums[:-n]).max() / n if len(at) > n else row[0]
+            row[-1] = np.log(1 + len(at))
+    return out
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Rows (i, text, toxic, fold) of labelled documents that may be learnt from."""
+    """Rows (i, text, toxic, fold) of all documents; toxic is null where there is nothing to
+    learn, for want of a label or because the row's remainder is 2."""
     fold = F.crc32(col(id_col).cast("string")) % 4
-    rows = docs.where(fold != 2).select(col(id_col).cast("long").alias("i"), col(text_col).alias("text"), fold.alias("fold"))
-    marks = labels.select(col(id_col).cast("long").alias("i"), col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("i").agg(F.max("toxic").alias("toxic"))
-    if labels.count() <= BROADCAST_LABELS:
+    rows = docs.select(col(id_col).cast("long").alias("i"), col(text_col).alias("text"), fold.alias("fold"))
+    marks = labels.select(col(id_col).cast("long").alias("j"), col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and j is not null")
+    marks = materialize(marks.groupBy("j").agg(F.max("toxic").alias("toxic")))
+    if marks.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
-    return rows.join(marks, "i")
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, np.ndarray]:
-    """Counts of folds 0 and 1, and the logistic function's weights from fold 3."""
-    rows = labelled(docs, labels, id_col, text_col, label_col)
-    counted = map_arrow(rows.where("fold < 2").select("text", "toxic"), _count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    exact = map_arrow(counted, _expand, "x long, p long, n0 long, n1 long").groupBy("x", "p").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    least = lambda n: F.least(F.col(n).cast("double"), F.lit(DISCOUNT))
-    roles = F.array(
-        F.struct(F.col("x").alias("at"), *(F.col(n).cast("double").alias(n) for n in ("n0", "n1")), F.lit(0.0).alias("k0"), F.lit(0.0).alias("k1")),
-        F.struct(F.col("p").alias("at"), *(F.when(F.col("p") == 0, F.col(n)).otherwise(0).cast("double").alias(n) for n in ("n0", "n1")), least("n0").alias("k0"), least("n1").alias("k1")),
-    )
-    slot = F.col("r.at").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
-    folded = exact.select(F.explode(roles).alias("r")).groupBy(slot).agg(*(F.sum(f"r.{c}").cast("float").alias(c) for c in ("n0", "n1", "k0", "k1")))
-    tables = folded.toArrow()
-    at = tables["slot"].to_numpy()
-    n, k = np.zeros((2, SLOTS), np.float32), np.zeros((2, SLOTS), np.float32)
-    for c in (0, 1):
-        n[c][at] = tables[f"n{c}"].to_numpy()
-        k[c][at] = tables[f"k{c}"].to_numpy()
-    model = Model(n, k)
-    # about as many rows as are wanted, drawn by a hash of the id before they are scored
-    known = labels.where(F.crc32(col(id_col).cast("string")) % 4 == 3).count()
-    share = int(min(1.0, FIT_ROWS / max(1, known)) * (1 << 30))
-    drawn = rows.where((F.col("fold") == 3) & (F.xxhash64("i").bitwiseAND(F.lit((1 << 30) - 1)) < share))
-    seen = features(drawn, model, "i", "text", keep="toxic").toArrow()
-    x = np.array(seen["x"].to_pylist(), np.float64).reshape(-1, len(STRETCHES) + 2)
-    return model, fit(x, seen["keep"].to_numpy().astype(np.float64))
+    return rows.join(marks, (F.col("i") == F.col("j")) & (F.col("fold") != 2), "left").select("i", "text", "toxic", "fold")
 
 
-def features(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: str | None = None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _texts_features(rows: DataFrame, ratios: DataFrame, model: Model | None, which: int) -> DataFrame:
+    """Rows (i, toxic, t, x): features of texts by ratios that are broadcast or joined."""
+    if model is not None:
+        shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            for a in range(0, len(batch["id"]), 512):
-                texts = batch["text"].slice(a, 512).to_pylist()
-                for i, j in slices(texts):
-                    yield {"id": batch["id"].slice(a + i, j - i), "keep": batch["keep"].slice(a + i, j - i), "x": shared.value.features(texts[i:j]).tolist()}
+        def run(batches: Iterator[dict]) -> Iterator[dict]:
+            for batch in batches:
+                for a in range(0, len(batch["i"]), 512):
+                    texts = batch["text"].slice(a, 512).to_pylist()
+                    for i, j in slices(texts):
+                        yield {c: batch[c].slice(a + i, j - i) for c in ("i", "toxic", "t")} | {"x": shared.value.features(texts[i:j], which).tolist()}
+
+        return map_arrow(rows.select("i", "toxic", "t", "text"), run, "i long, toxic int, t long, x array<double>")
 
-    kept = col(keep).cast("int") if keep else F.lit(0)
-    return map_arrow(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"), kept.alias("keep")), run, "id long, keep int, x array<double>")
+    def split(batches: Iterator[dict]) -> Iterator[dict]:
+        """Words of each text with their places; a row without w holds the text's length."""
+        for batch in batches:
+            for t, text in zip(batch["t"].to_pylist(), batch["text"], strict=True):
+                found = words(text.as_py())
+                places: defaultdict = defaultdict(list)
+                for k, w in enumerate(found):
+                    places[w].append(k)
+                hashes = [*word_hashes(list(places)).tolist(), None]
+                yield {"t": [t] * len(hashes), "w": hashes, "places": [*places.values(), [len(found)]]}
+
+    def join(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            x = []
+            for found in batch["found"].to_pylist():
+                ratio = np.zeros(max((f["places"][0] for f in found if f["r"] is None), default=0))
+                for f in found:
+                    if f["r"] is not None:
+                        ratio[f["places"]] = f["r"]
+                x.append(features([np.arange(len(ratio))], ratio)[0].tolist())
+            yield {"t": batch["t"], "x": x}
+
+    texts = rows.groupBy("t").agg(F.first("text").alias("text"))
+    found = map_arrow(texts, split, "t long, w long, places array<int>")
+    told = found.join(ratios.select("w", F.col(RATIOS[which]).alias("r")), "w").select("t", "places", "r")
+    told = told.unionByName(found.where("w is null").select("t", "places", F.lit(None).cast("float").alias("r")))
+    whole = map_arrow(told.groupBy("t").agg(F.collect_list(F.struct("places", "r")).alias("found")), join, "t long, x array<double>")
+    return rows.select("i", "toxic", "t").join(materialize(whole), "t").select("i", "toxic", "t", "x")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_words: int = BROADCAST_WORDS) -> tuple[DataFrame, Model | None, np.ndarray]:
+    """Words' ratios, as a table and, if they can be broadcast, as a model, and the weights
+    of the logistic function."""
+    ratios = word_ratios(docs, labels, id_col, text_col, label_col)
+    model = None
+    if ratios.count() <= broadcast_words:
+        held = ratios.toArrow()
+        model = Model(held["w"].to_numpy(), np.stack([held[r].to_numpy() for r in RATIOS]))
+    rows = labelled(docs, labels, id_col, text_col, label_col).where("toxic is not null").withColumn("t", F.xxhash64("text"))
+    # about as many rows as are wanted, drawn by a hash of the id before they are scored
+    known = labels.where(F.crc32(col(id_col).cast("string")) % 4 != 2).count()
+    share = int(min(1.0, FIT_ROWS / max(1, known)) * (1 << 30))
+    drawn = rows.where(F.xxhash64("i").bitwiseAND(F.lit((1 << 30) - 1)) < share)
+    x, y = [np.empty((0, len(STRETCHES) + 2))], [np.empty(0)]
+    for which, fold in enumerate(FOLDS, 1):
+        only = None if model is None else Model(model.w, model.r[which : which + 1])
+        seen = _texts_features(drawn.where(F.col("fold") == fold), ratios, only, 0 if only else which)
+        seen = seen.orderBy(F.xxhash64("i"), "i", "t").limit(2 * FIT_ROWS).select("toxic", "x").toArrow()
+        x.append(np.array(seen["x"].to_pylist(), np.float64).reshape(-1, len(STRETCHES) + 2))
+        y.append(seen["toxic"].to_numpy().astype(np.float64))
+    return ratios, None if model is None else Model(model.w, model.r[:1]), fit(np.concatenate(x), np.concatenate(y))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> np.ndarray:
@@ -229,27 +321,42 @@ def apply(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z @ weights[2, :-1] + weights[2, -1], -30, 30)))
 
 
-def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
-    """A function from a text column to scores, fitted on the labelled rows of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
-
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        model, weights = shared.value
-        found = texts.tolist()
-        return pd.Series(np.concatenate([apply(model.features(found[i:j]), weights) for i, j in slices(found)]) if found else np.empty(0))
-
-    return scored
-
-
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Rows (id, score) for every row of ``docs``.
+def with_score(docs: DataFrame, labels: DataFrame, name: str = "score", id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """``docs`` with a column ``name``; one of that name is replaced, all others are kept.
 
-    Null and empty texts have no words and get the score of that; rows that repeat get
-    equal scores; a document that is labelled more than once counts as toxic if one
-    label says so; labels other than 0 and 1 are left out.  Without labels of both
-    classes every score is the rate of toxic labels (zero without any).  An empty table
-    gives no rows.  Only ids' remainders decide what is learnt; scores read texts alone.
+    Null and empty texts have no words and get the score of that; texts of any length are
+    read whole; rows that repeat get equal scores; a document that is labelled more than
+    once counts as toxic if one label says so; labels other than 0 and 1 are left out, and
+    so are rows without an id.  Without labels of both classes every score is the rate of
+    toxic labels (zero without any).  An empty table gives no rows.  Only ids' remainders
+    decide what is learnt; scores read texts alone.
     """
-    scored = scorer(docs, labels, id_col, text_col, label_col)
-    return docs.select(col(id_col).cast("long").alias("id"), scored(col(text_col)).alias("score"))
+    ratios, model, weights = train(docs, labels, id_col, text_col, label_col, broadcast_words)
+    if model is not None:
+        shared = docs.sparkSession.sparkContext.broadcast((model, weights))
+
+        @F.pandas_udf("double")
+        def scored(texts: pd.Series) -> pd.Series:
+            model, weights = shared.value
+            found = texts.tolist()
+            return pd.Series(np.concatenate([apply(model.features(found[i:j]), weights) for i, j in slices(found)]) if found else np.empty(0))
+
+        return docs.withColumn(name, scored(col(text_col)))
+    keyed = docs.withColumn("__ink_t", F.xxhash64(col(text_col)))
+    texts = keyed.select(col("__ink_t").alias("t"), col(text_col).alias("text")).withColumns({"i": F.lit(0).cast("long"), "toxic": F.lit(0)})
+    found = _texts_features(texts, ratios, None, 0).dropDuplicates(["t"])
+    return keyed.join(found.select(F.col("t").alias("__ink_t"), _logistic("x", weights).alias("__ink_s")), "__ink_t").withColumn(name, F.col("__ink_s")).select(*[col(c) for c in docs.columns if c != name], col(name))
+
+
+def _logistic(x: str, weights: np.ndarray) -> Column:
+    z = F.lit(float(weights[2, -1]))
+    for k in range(weights.shape[1] - 1):
+        z = z + (F.col(x)[k] - float(weights[0, k])) / float(weights[1, k]) * float(weights[2, k])
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **named) -> DataFrame:
+    """Rows (id, score) for every row of ``docs``; see ``with_score``."""
+    slim = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
+    marks = labels.select(col(id_col).cast("long").alias("id"), col(label_col).alias("toxic"))
+    return with_score(slim, marks, "score", "id", "text", "toxic", **named).select("id", "score")

@@ -62,14 +62,58 @@ def test_toxicity_without_labels(marked):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def brute_ratio(word, counts, discount=2.0):
+    """By the formula, over a list of (word, class, documents) with hand-made prefixes."""
+    path = lambda w: [w[:k] for k in range(min(len(w), toxicity.DEPTH) + 1)] + [w + "$"]
+    n = [{}, {}]
+    below = {}
+    for w, c, k in counts:
+        for a, b in zip(path(w), path(w)[1:], strict=False):
+            n[c][b] = n[c].get(b, 0) + k
+            below.setdefault(a, set()).add(b)
+    total = 0.0
+    for a, b in zip(path(word), path(word)[1:], strict=False):
+        if b not in below.get(a, ()):
+            continue
+        get = lambda c, y: n[c].get(y, 0)
+        above = [sum(get(c, y) for y in below[a]) for c in (0, 1)]
+        shared = (get(0, b) + get(1, b)) / sum(above)
+        p = []
+        for c in (0, 1):
+            freed = sum(min(get(c, y), discount) for y in below[a])
+            p.append((max(get(c, b) - discount, 0) + freed * shared) / above[c] if above[c] else shared)
+        total += float(np.log(p[1] / p[0])) if min(p) > 0 else 0.0
+    return total
+
+
+def test_ratios_are_those_of_the_formula(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    learnt = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    for i in learnt:
+        rows.append((i, " ".join(rng.choice(["bad", "badly", "be", "bee", "hello", "extraordinarily", "rare" * (i % 17 == 0) or "x"]) for _ in range(6))))
+        labels.append((i, int("bad" in rows[-1][1] and i % 3 > 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    mark = dict(labels)
+    found = {r["w"]: r for r in toxicity.word_ratios(docs, marks, "doc_id", "text", "toxic").collect()}
+    for name, out in zip(toxicity.RATIOS, (None, *toxicity.FOLDS), strict=True):
+        counts = [(w, mark[i], 1) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != out for w in set(t.split())]
+        for word in ("bad", "badly", "be", "bee", "hello", "extraordinarily", "rare"):
+            h = int(toxicity.word_hashes([word])[0])
+            assert (found[h][name] if h in found else 0.0) == pytest.approx(brute_ratio(word, counts), abs=1e-4), (name, word)
+
+
 def test_rare_words_speak_for_neither():
-    n, k = np.zeros((2, toxicity.SLOTS), np.float32), np.zeros((2, toxicity.SLOTS), np.float32)
-    n[:, 0] = 100
-    found, size = toxicity.spell(["rare"])
-    slots = (found[0, 1 : size[0]] % np.uint64(toxicity.SLOTS)).astype(int)
-    n[1, slots] = 1
-    k[0, 0], k[1, [0, *slots]] = 100, [100, *[1] * len(slots)]
-    assert abs(toxicity.Model(n, k).ratio(["rare"])[0]) < 1.5
+    counts = [("common", 0, 100), ("common", 1, 100), ("rare", 1, 1)]
+    assert abs(brute_ratio("rare", counts)) < 1.5 and brute_ratio("toxic", [*counts, ("toxic", 1, 60)]) > 1.5
+
+
+def test_joined_ratios_give_equal_scores(marked):
+    docs, labels = marked
+    a = {r["id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    b = {r["id"]: r["score"] for r in toxicity.score(docs, labels, broadcast_words=3).collect()}
+    assert a == pytest.approx(b, abs=1e-5)
+    assert toxicity.score(docs, labels, broadcast_words=3).count() == docs.count()
 
 
 # --- embeddings
