@@ -67,7 +67,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.concat("base", "terms")).alias("spans"))
+    digests = [F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.concat("base", "terms")).alias("spans")]
+    more = [F.size("terms").cast("long").alias("n_term"), (F.size("base") + F.size("terms")).cast("long").alias("n_found"), F.sha2("clean", 256).alias("clean_sha256")]
+    return found.select(F.col("id").alias("doc_id"), *counts, *digests, *more)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

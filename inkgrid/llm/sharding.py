@@ -1,13 +1,15 @@
 """Sharding by sampled splitters.
 
 Records are ordered by (hash of the text, id).  A size-weighted priority sample of the
-keys gives quantile boundaries of many ranges; the exact bytes of each range are then
-counted, overfull ranges get boundaries of their own from another sample, and records
-are range-partitioned.  Inside a range a running sum places each record at its exact
-byte in the whole order, so that shards differ by about one record.
+keys gives quantile boundaries of many ranges, about as many as the records need; the
+exact bytes of each range are then counted, overfull ranges get boundaries of their own
+from another sample, and keys are range-partitioned.  Inside a range running sums over
+the keys alone, each with its size and how many rows have it, place every record at its
+exact byte in the whole order, so that shards differ by about one record.  Texts are
+never sorted; they get their places by a join.
 
 Equal texts are neighbours in this order.  A hot text is cut by the id, so no group of
-copies has to fit into one range.
+copies has to fit into one range; rows that repeat a text with its id count as one key.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from .common import col, materialize
 
 #: Bytes that a record takes besides its text.
 OVERHEAD = 16
+#: Keys of a range that are aimed at.
+RANGE_KEYS = 1 << 18
+_KEYS = ["__ink_k", "__ink_u", "__ink_i"]
 
 
 def text_bytes(text: Column) -> Column:
@@ -35,18 +40,22 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
 
     All columns of ``docs`` are kept; if one of them has such a name, the new one
     replaces it.  A null text counts as no bytes, a null id sorts first, repeated rows
-    get slots of their own, and an empty table gives no rows.  The driver holds
-    about ``n_shards * ranges_per_shard * samples_per_range`` sampled keys.
+    get slots of their own, and an empty table gives no rows; texts of any length are
+    measured whole.  The driver holds about ``ranges * samples_per_range`` sampled keys, of
+    ``ranges`` the more of ``n_shards * ranges_per_shard`` and one for ``RANGE_KEYS`` rows.
     """
-    n_ranges = n_shards * ranges_per_shard
-    keys = {"__ink_k": F.xxhash64(col(text_col)), "__ink_i": F.coalesce(col(id_col).cast("long"), F.lit(-(2**63))), "__ink_size": text_bytes(col(text_col)) + OVERHEAD}
-    slim = materialize(docs.select(*[e.alias(n) for n, e in keys.items()]))
-    total = slim.agg(F.sum("__ink_size")).first()[0] or 0
+    text = col(text_col)
+    keys = {"__ink_k": F.xxhash64(text), "__ink_u": F.xxhash64(F.lit(1), text), "__ink_i": F.coalesce(col(id_col).cast("long"), F.lit(-(2**63))), "__ink_size": text_bytes(text) + OVERHEAD}
+    slim = docs.select(*[e.alias(n) for n, e in keys.items()])
+    slim = materialize(slim.groupBy(*_KEYS).agg(F.count("*").alias("__ink_m"), F.max("__ink_size").alias("__ink_one")).withColumn("__ink_size", F.col("__ink_m") * F.col("__ink_one")))
+    totals = slim.agg(F.sum("__ink_size").alias("s"), F.count("*").alias("n")).first()
+    total = totals["s"] or 0
+    n_ranges = max(n_shards * ranges_per_shard, -(-totals["n"] // RANGE_KEYS))
     cuts = _quantiles(_sample(slim, total, n_ranges * samples_per_range, seed), n_ranges)
     target = max(1, total // n_ranges)
     for turn in range(1, 4):
         sizes = _sizes(slim, cuts)
-        over = {r: s for r, (s, n) in sizes.items() if s > 2 * target and n > 1}
+        over = {r: s for r, (s, _, n) in sizes.items() if s > 2 * target and n > 1}
         if not over:
             break
         inside = slim.where(_range_of(cuts)("__ink_k", "__ink_i").isin(list(over)))
@@ -57,25 +66,33 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
         cuts = sorted({*cuts, *(x for r, rows in share.items() for x in _quantiles(rows, -(-over[r] // target) * 2))})
     else:
         sizes = _sizes(slim, cuts)
-    before, rows = [], []
-    at = n = 0
+    starts, at, n = [], 0, 0
     for r in range(len(cuts) + 1):
-        before.append(at)
-        rows.append(n)
-        at, n = at + sizes.get(r, (0, 0))[0], n + sizes.get(r, (0, 0))[1]
-    placed = _place(slim, cuts, before, rows, total, n_shards)
-    # only ranges that hold the first byte of a shard decide where its slots begin
-    starts = {int(s * total // n_shards) for s in range(n_shards)}
-    edge = sorted({max(0, bisect_right(before, x) - 1) for x in starts} | {max(0, bisect_right(before, x)) for x in starts})
-    first = {r[0]: r[1] for r in placed.where(F.col("__ink_r").isin([x for x in edge if x <= len(cuts)])).groupBy("__ink_shard").agg(F.min("__ink_row")).collect()}
+        starts.append((r, at, n))
+        at, n = at + sizes.get(r, (0, 0, 0))[0], n + sizes.get(r, (0, 0, 0))[1]
+    spark = docs.sparkSession
+    before = F.broadcast(spark.createDataFrame(starts, "__ink_r int, __ink_at long, __ink_n long"))  # a row for each range
+    w = Window.partitionBy("__ink_r").orderBy(*_KEYS).rowsBetween(Window.unboundedPreceding, 0)
+    placed = slim.withColumn("__ink_r", _range_of(cuts)("__ink_k", "__ink_i"))
+    placed = placed.withColumns({"__ink_sum": F.sum("__ink_size").over(w) - F.col("__ink_size"), "__ink_row": F.sum("__ink_m").over(w) - F.col("__ink_m")}).join(before, "__ink_r")
+    placed = materialize(placed.select(*_KEYS, "__ink_m", "__ink_one", (F.col("__ink_sum") + F.col("__ink_at")).alias("__ink_at"), (F.col("__ink_row") + F.col("__ink_n")).alias("__ink_row")))
+    number = lambda at: F.least(F.lit(n_shards - 1), F.floor(at.cast("decimal(38,0)") * n_shards / F.lit(max(1, total)))).cast("int")
+    # the first row of each shard: of a key with many rows a later one may be it
+    edges = F.sequence(number(F.col("__ink_at")), number(F.col("__ink_at") + (F.col("__ink_m") - 1) * F.col("__ink_one")))
+    edge = placed.select("*", F.explode(edges).alias("s"))
+    skip = F.ceil((F.ceil(F.col("s").cast("decimal(38,0)") * F.lit(max(1, total)) / n_shards) - F.col("__ink_at")) / F.col("__ink_one"))
+    first = {r["s"]: r["n"] for r in edge.groupBy("s").agg(F.min(F.col("__ink_row") + F.greatest(F.lit(0), skip)).cast("long").alias("n")).collect()}
     firsts, last = [], n
     for s in reversed(range(n_shards)):
         last = min(last, first.get(s, last))
         firsts.append(last)
     firsts.reverse()
+    # rows that share a key take its places in turn
+    rows = docs.withColumns({k: keys[k] for k in _KEYS}).join(placed, _KEYS)
+    turn = F.row_number().over(Window.partitionBy(*_KEYS).orderBy("__ink_row")) - 1
+    out = rows.withColumn("__ink_turn", turn).withColumn("__ink_shard", number(F.col("__ink_at") + F.col("__ink_turn") * F.col("__ink_one")))
     new = {"shard_size", "shard", "shard_slot"}
-    out = _place(docs.withColumns(keys), cuts, before, rows, total, n_shards)
-    return out.select(*[col(c) for c in docs.columns if c not in new], F.col("__ink_size").alias("shard_size"), F.col("__ink_shard").alias("shard"), (F.col("__ink_row") - _item(firsts, "__ink_shard")).alias("shard_slot"))
+    return out.select(*[col(c) for c in docs.columns if c not in new], F.col("__ink_one").alias("shard_size"), F.col("__ink_shard").alias("shard"), (F.col("__ink_row") + F.col("__ink_turn") - _item(firsts, "__ink_shard")).alias("shard_slot"))
 
 
 def _sample(slim: DataFrame, total: int, m: int, seed: int) -> list[tuple[int, int, float]]:
@@ -110,9 +127,10 @@ def _range_of(cuts: list[tuple[int, int]]):
     return number
 
 
-def _sizes(slim: DataFrame, cuts: list) -> dict[int, tuple[int, int]]:
-    rows = slim.groupBy(_range_of(cuts)("__ink_k", "__ink_i").alias("r")).agg(F.sum("__ink_size").alias("s"), F.count("*").alias("n")).collect()
-    return {r["r"]: (r["s"], r["n"]) for r in rows}
+def _sizes(slim: DataFrame, cuts: list) -> dict[int, tuple[int, int, int]]:
+    """Bytes, rows and keys of each range."""
+    rows = slim.groupBy(_range_of(cuts)("__ink_k", "__ink_i").alias("r")).agg(F.sum("__ink_size").alias("s"), F.sum("__ink_m").alias("n"), F.count("*").alias("k")).collect()
+    return {r["r"]: (r["s"], r["n"], r["k"]) for r in rows}
 
 
 def _item(xs: list[int], number: str) -> Column:
@@ -120,14 +138,4 @@ def _item(xs: list[int], number: str) -> Column:
     return F.element_at(F.expr(f"array({', '.join(f'{int(x)}L' for x in xs)})"), F.col(number) + 1)
 
 
-def _place(df: DataFrame, cuts: list, before: list[int], rows: list[int], total: int, n_shards: int) -> DataFrame:
-    """Adds the shard and the record's number in the whole order."""
-    w = Window.partitionBy("__ink_r").orderBy("__ink_k", "__ink_i")
-    df = df.withColumn("__ink_r", _range_of(cuts)("__ink_k", "__ink_i"))
-    df = df.withColumns({"__ink_sum": F.sum("__ink_size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__ink_size"), "__ink_row": F.row_number().over(w) - 1})
-    at = F.col("__ink_sum") + _item(before, "__ink_r")
-    number = F.least(F.lit(n_shards - 1), F.floor(at.cast("decimal(38,0)") * n_shards / F.lit(max(1, total)))).cast("int")
-    return df.withColumns({"__ink_shard": number, "__ink_row": F.col("__ink_row") + _item(rows, "__ink_r")})
-
-
 __all__ = ["shard", "text_bytes"]

@@ -57,6 +57,17 @@ def test_shards_of_one_hot_text(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 1
 
 
+def test_shards_of_one_repeated_row(spark):
+    rows = [(7, "same text")] * 300 + [(i, f"text {i}") for i in range(50)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8, ranges_per_shard=4, samples_per_range=4).collect()
+    slots, size = defaultdict(list), defaultdict(int)
+    for r in found:
+        slots[r["shard"]].append(r["shard_slot"])
+        size[r["shard"]] += r["shard_size"]
+    assert len(found) == 350 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size.values()) - min(size.values()) <= 60
+
+
 def test_shards_of_nothing(none):
     assert sharding.shard(none, 4).count() == 0
 
@@ -363,6 +374,77 @@ def test_revealing_terms(spark):
     assert found.where("id = 0").count() == 2
 
 
+def brute_told(rows, min_texts=3, min_reveal=0.5, min_bits=6.0):
+    """Terms beyond the threshold, by counting."""
+    term = lambda t: set(re.findall(r"[^\W_]{4,}", t.lower()))
+    near, holds_e, texts = defaultdict(int), defaultdict(int), defaultdict(set)
+    n_t = defaultdict(int)
+    for text in rows:
+        for w in term(text):
+            n_t[w] += 1
+        pairs, mine = set(), set()
+        for kind, a, b in brute_spans(text):
+            value = text[a:b].lower()
+            digits = re.sub("[^0-9]", "", value)
+            wide = value.split("@", 1)[1] if kind == "email" else ".".join(value.split(".")[:2]) if kind == "ip" else digits[:6]
+            own = value.split("@")[0] if kind == "email" else ""
+            company = term(" ".join([text[max(0, a - 80) : a], text[b : b + 80], own]))
+            for e in ((1, kind, value), (2, kind, wide)):
+                mine.add(e)
+                pairs |= {(w, e) for w in company}
+        for e in mine:
+            holds_e[e] += 1
+        for p in pairs:
+            near[p] += 1
+            texts[p].add(text)
+    out = set()
+    for (w, e), n in near.items():
+        if not n_t[w]:  # part of a word, where the context ends
+            continue
+        reveal, own = min(1.0, n / n_t[w]), np.log2(len(rows) / holds_e[e])
+        if len(texts[w, e]) >= min_texts and reveal >= min_reveal and own >= 0.5 and np.log2(reveal) + own >= min(min_bits, 0.9 * own):
+            out.add(w)
+    return out
+
+
+def test_disclosure_against_counting(spark):
+    rng = random.Random(6)
+    names = ["Ada", "Zarkon", "Velt", "Mirelle", "Quorra9", "agent47"]
+    rows = []
+    for i in range(240):
+        w = [rng.choice(["alpha", "beta", "gamma", "delta", "river", "stone", f"u{i}x{rng.randrange(9)}yy"]) for _ in range(25)]
+        if i % 4 == 0:
+            k = rng.randrange(len(names))
+            w[rng.randrange(25)] = f"{names[k].lower()}.{k}@mail{k % 2}.example.org"
+            w[rng.randrange(25)] = names[k]
+        if i % 9 == 0:
+            w[rng.randrange(25)] = f"10.{i % 3}.{i % 200}.7"
+            w[rng.randrange(25)] = f"subnet{i % 3}"
+        if i % 3 == 0:  # an entity in a third of all rows
+            w[3], w[5] = "+49 (30) 555-1234", "hotline"
+        rows.append(" ".join(w))
+    rows += ["", "Quorra9 without an address"]
+    want = brute_told(rows)
+    d = spark.createDataFrame([*enumerate(rows), (999, None)], "doc_id long, text string")
+    told = {r["term"] for r in pii.revealing(d.where("text is not null")).collect()}
+    assert told == want and {"zarkon", "quorra9", "agent47", "hotline"} <= told and "alpha" not in told
+    found = [by_id(pii.find(d, in_place=k), "terms", "clean") for k in (4096, 2)]
+    assert found[0] == found[1]
+    assert found[0][241][1] == "[TERM] without an address" and found[0][999] == ([], "")
+    for i, t in enumerate(rows):
+        base = brute_spans(t)
+        hits = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in told and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        assert [(s["start"], s["end"]) for s in found[0][i][0]] == hits
+    clean = by_id(pii.sanitise(d, pii.find(d)), "text")
+    assert clean == {i: c for i, (_, c) in found[0].items()}
+
+
+def test_many_matches_in_one_text(spark):
+    text = "x " + "a@b.cc 1.2.3.4 " * 3000
+    got = by_id(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")), "base")[1]
+    assert [(s["kind"], s["start"], s["end"]) for s in got] == [(k, a, b) for k in ("email", "ip") for j, a, b in brute_spans(text) if j == k]
+
+
 # --- passages
 
 
