@@ -8,13 +8,16 @@ vectors at the far ends of edges included: greedily from the shard's medoid and
 own node, then expanding everything within a range around the threshold.  What is found
 is verified by cosine in double precision.
 
-Equal vectors are one node that counts as many.  Only a spanning forest of the links
-leaves a shard; the number of links of each vector is counted where it is searched.
+Equal vectors are one node that counts as many; vectors of different widths are never in
+one shard.  Only a spanning forest of the links leaves a shard; the number of links of each
+vector is counted where it is searched.  The links found for some vectors are audited
+against all; where the recall is too low, a wider search takes the place of the first.
 """
 
 from __future__ import annotations
 
 import heapq
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,12 @@ THRESHOLD = 0.95
 SHARD = 1024
 #: Shards that a vector is put into.
 OVERLAP = 2
-#: Most vectors that centres are fitted on, and most centres.
+#: Most vectors that centres are fitted on (about), and most centres of a width.
 SAMPLE, CENTRES = 20_000, 4096
+#: Vectors whose links are audited against all (about), and the recall that is asked for.
+AUDIT, RECALL = 1000, 0.9
+#: Takes the widths and centres of a shard apart.
+_WIDTH = 1 << 20
 #: Candidates of a node, edges that pruning keeps, and how much closer it must be.
 CANDIDATES, DEGREE, ALPHA = 48, 24, 1.2
 #: Best nodes that the greedy search keeps open; cosine below the threshold that is
@@ -43,14 +50,6 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: finite(x)) & F.exists(vector, lambda x: x != 0)
 
 
-def _comparable(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Valid vectors of the most common width, and that width."""
-    good = rows.where(_valid(F.col("vector")))
-    widths = good.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
-    width = widths[0]["w"] if widths else 0
-    return good.where(F.size("vector") == width), width
-
-
 def _unit(rows) -> np.ndarray:
     x = np.array([np.asarray(r, np.float64) for r in rows])
     x = x / np.abs(x).max(1, keepdims=True)  # tiny and huge vectors keep their direction
@@ -154,7 +153,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
 
 
-def _search(threshold: float):
+def _search(threshold: float, beam: int, slack: float):
     def run(members: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
         if not len(members):
@@ -167,7 +166,7 @@ def _search(threshold: float):
         medoid = int((x[: len(members)] @ x[: len(members)].mean(0)).argmax())
         counts, a, b = [], [], []
         for query in np.flatnonzero(home).tolist():
-            near = range_search(x, edges, query, medoid, threshold)
+            near = range_search(x, edges, query, medoid, threshold, beam, slack)
             near = near[near != query]
             near = near[(x[near] * x[query]).sum(1) >= threshold]
             counts.append((ids[query], int(copies[near].sum() + copies[query] - 1)))
@@ -183,76 +182,133 @@ def _search(threshold: float):
     return run
 
 
-def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (id, n_links, component), one for every row.
+def _fitted(nodes: DataFrame) -> dict[int, np.ndarray]:
+    """Centres of each width that has more vectors than a shard, on a sample of them."""
+    sizes = {r["w"]: r["n"] for r in nodes.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > SHARD).collect()}
+    if not sizes:
+        return {}
+    share = int(min(1.0, SAMPLE / sum(sizes.values())) * (1 << 30))
+    drawn = nodes.where(F.size("vector").isin(list(sizes)) & (F.xxhash64("id").bitwiseAND(F.lit((1 << 30) - 1)) <= share))
+    sample: dict[int, list] = {}
+    for row in drawn.select("vector").toArrow()["vector"].to_pylist():
+        sample.setdefault(len(row), []).append(row)
+    return {w: centres(_unit(rows), min(len(rows), CENTRES, -(-sizes[w] // SHARD))) for w, rows in sample.items()}
 
-    Vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing and are components of their own.  Equal vectors link with each other.
-    Vectors of another width than the most common one link with nothing.  Rows that
-    repeat an id count as vectors of their own but share the id's result.  An empty table
-    gives no rows.  Other columns are not read.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("vector"))
-    good, width = _comparable(rows)
-    nodes = materialize(good.groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("n")).select(F.col("node").alias("id"), "vector", "n"))
-    total = nodes.count()
-    k = max(1, min(CENTRES, -(-total // SHARD)))
-    if k > 1:
-        sample = nodes.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, 64 * k)).select("vector").toArrow()["vector"].to_pylist()
-        shared = spark.sparkContext.broadcast(centres(_unit(sample), k))
-    else:
-        shared = spark.sparkContext.broadcast(np.zeros((1, width)))
 
-    def assign(batches: Iterator[dict]) -> Iterator[dict]:
-        c = shared.value
+def _assign(fitted: dict[int, np.ndarray], overlap: int):
+    """The nearest centres of each vector, among those of its width."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             for i in range(0, len(batch["id"]), 1024):
                 part = batch["vector"].slice(i, 1024).to_pylist()
-                near = np.argsort(-(_unit(part) @ c.T), 1, kind="stable")[:, :OVERLAP]
-                yield {"id": batch["id"].slice(i, 1024), "shards": near.tolist()}
+                width = np.fromiter(map(len, part), np.int64, len(part))
+                out: list = [None] * len(part)
+                for w in np.unique(width).tolist():
+                    rows = np.flatnonzero(width == w)
+                    c = fitted.get(w, np.zeros((1, w)))
+                    near = np.argsort(-(_unit([part[k] for k in rows]) @ c.T), 1, kind="stable")[:, :overlap] + w * _WIDTH
+                    for k, x in zip(rows.tolist(), near.tolist(), strict=True):
+                        out[k] = x
+                yield {"id": batch["id"].slice(i, 1024), "vector": batch["vector"].slice(i, 1024), "n": batch["n"].slice(i, 1024), "shards": out}
+
+    return run
+
 
-    shards = map_arrow(nodes.select("id", "vector"), assign, "id long, shards array<int>")
-    placed = materialize(nodes.join(shards, "id").select("id", "vector", "n", F.posexplode("shards").alias("turn", "shard")))
+def _found(nodes: DataFrame, fitted: dict[int, np.ndarray], threshold: float, wider: int) -> DataFrame:
+    """Rows (a, b, n): how many vectors are linked to node a (b < 0), and a forest of links
+    (n < 0).  Each turn of ``wider`` doubles beam, overlap and slack."""
+    schema = "id long, vector array<double>, n long, shards array<long>"
+    shards = map_arrow(nodes.select("id", "vector", "n"), _assign(fitted, OVERLAP << wider), schema)
+    placed = materialize(shards.select("id", "vector", "n", F.posexplode("shards").alias("turn", "shard")))
     edges = placed.groupBy("shard").applyInPandas(_build, "src long, dst long")
     lists = materialize(edges.groupBy("src").agg(F.collect_set("dst").alias("edges")))
     members = placed.join(lists, placed["id"] == lists["src"], "left").select("shard", "id", "vector", "n", (F.col("turn") == 0).alias("home"), "edges")
     ends = members.select("shard", F.explode("edges").alias("id")).distinct().join(placed.where("turn = 0").select("id", "vector", "n"), "id")
     ends = ends.select(F.col("shard").alias("beside"), "id", "vector", "n", F.lit(False).alias("home"), F.lit(None).cast("array<long>").alias("edges"))
-    found = materialize(members.groupBy("shard").cogroup(ends.groupBy("beside")).applyInPandas(_search(threshold), "a long, b long, n long"))
-    roots = components(found.where("b >= 0 or n < 0").select("a", "b"))
-    counts = found.where("n >= 0").select(F.col("a").alias("node"), F.col("n").alias("links"))
-    known = counts.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "links", F.coalesce("root", "node").alias("root"))
-    known = nodes.join(known, F.col("id") == F.col("node")).select(F.col("vector").alias("v"), "links", "root")
-    out = rows.join(known, F.col("vector") == F.col("v"), "left")
-    return out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component"))
+    searched = members.groupBy("shard").cogroup(ends.groupBy("beside")).applyInPandas(_search(threshold, BEAM << wider, SLACK * (1 + wider)), "a long, b long, n long")
+    return materialize(searched)
 
 
-def true_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, modulus: int = 20, block: int = 4096) -> DataFrame:
-    """Rows (id, n_true) for ids divisible by ``modulus``, by comparing them with all rows
-    in blocks; the recall of ``dedup`` is measured against this."""
-    rows, _ = _comparable(vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("vector")))
-    queries, out = rows.where(F.col("id") % modulus == 0), None
-    held: list = []
+def _against_all(rows: DataFrame, queries: list, threshold: float) -> DataFrame:
+    """Rows (id, n): how many vectors of ``rows(id, vector, n)`` other than itself each of the
+    ``queries`` (id, vector) links with, by comparing it with all of its width."""
+    by_width: dict[int, tuple] = {}
+    for r in queries:
+        by_width.setdefault(len(r["vector"]), ([], []))[0].append(r["id"])
+        by_width[len(r["vector"])][1].append(r["vector"])
+    shared = rows.sparkSession.sparkContext.broadcast({w: (np.array(ids), _unit(v)) for w, (ids, v) in by_width.items()})
 
-    def one(block_rows: list) -> DataFrame:
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in block_rows]), _unit([r["vector"] for r in block_rows])))
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        total = {w: np.zeros(len(ids), np.int64) for w, (ids, _) in shared.value.items()}
+        for batch in batches:
+            for i in range(0, len(batch["id"]), 1024):
+                part = batch["vector"].slice(i, 1024).to_pylist()
+                of, copies = batch["id"].slice(i, 1024).to_numpy(), batch["n"].slice(i, 1024).to_numpy()
+                width = np.fromiter(map(len, part), np.int64, len(part))
+                for w, (ids, q) in shared.value.items():
+                    own = np.flatnonzero(width == w)
+                    if len(own):
+                        x = _unit([part[k] for k in own])
+                        total[w] += (((q @ x.T >= threshold) & (ids[:, None] != of[own])) * copies[own]).sum(1)
+        for w, (ids, _) in shared.value.items():
+            yield {"id": ids, "n": total[w]}
+
+    return map_arrow(rows.select("id", "vector", "n"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _recall(nodes: DataFrame, found: DataFrame, threshold: float, audit: int) -> float:
+    """The share of the links of some nodes that the search has found."""
+    share = int(min(1.0, audit / max(1, nodes.count())) * (1 << 30))
+    queries = nodes.where(F.xxhash64(F.lit(3), "id").bitwiseAND(F.lit((1 << 30) - 1)) <= share).select("id", "vector", "n").collect()
+    if not queries:
+        return 1.0
+    true = _against_all(nodes, queries, threshold)
+    counted = found.where("n >= 0").select(F.col("a").alias("id"), F.col("n").alias("links"))
+    own = nodes.select("id", (F.col("n") - 1).alias("own"))
+    sums = true.join(counted, "id", "left").join(own, "id").agg(F.sum("n").alias("t"), F.sum(F.least(F.coalesce("links", F.lit(0)) - F.col("own"), F.col("n"))).alias("f")).first()
+    return (sums["f"] or 0) / sums["t"] if sums["t"] else 1.0
+
+
+def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, audit: int = AUDIT) -> DataFrame:
+    """Rows (id, n_links, component), one for every row.
 
-        def run(batches: Iterator[dict]) -> Iterator[dict]:
-            ids, q = shared.value
-            total = np.zeros(len(ids), np.int64)
-            for batch in batches:
-                for i in range(0, len(batch["id"]), 1024):
-                    x = _unit(batch["vector"].slice(i, 1024).to_pylist())
-                    total += ((q @ x.T >= threshold) & (ids[:, None] != batch["id"].slice(i, 1024).to_numpy())).sum(1)
-            yield {"id": ids, "n": total}
+    Vectors that are null, empty, zero, or hold null or non-finite components link with
+    nothing and are components of their own; so are vectors of different widths to each
+    other.  Equal vectors link with each other.  Rows that repeat an id are vectors of
+    their own.  A null id is named as component only where no other is reached.  An empty
+    table gives no rows.  Other columns are not read, whatever their names.
+    """
+    rows = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("vector"))
+    nodes = rows.where(_valid(F.col("vector"))).groupBy("vector").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("id"), "vector", "first", "n"))  # written, so names stay
+    fitted = _fitted(nodes)
+    for wider in range(3):
+        found = _found(nodes, fitted, threshold, wider)
+        recall = _recall(nodes, found, threshold, audit) if audit else 1.0
+        if recall >= RECALL:
+            break
+    else:
+        warnings.warn(f"only {recall:.2f} of the audited links were found", stacklevel=2)
+    stars = components(found.where("b >= 0 or n < 0").select("a", "b"))
+    roots = materialize(nodes.select("id", "first").join(stars, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root")))
+    least = materialize(roots.groupBy("root").agg(F.min("first").alias("component")))
+    counts = found.where("n >= 0").select(F.col("a").alias("id"), F.col("n").alias("links"))
+    named = roots.join(least, "root").select("id", "component").join(counts, "id", "left")
+    known = nodes.select("id", F.col("vector").alias("v")).join(named, "id").select("v", "links", "component")
+    out = rows.join(known, F.col("vector") == F.col("v"), "left")
+    return out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
 
-        return map_arrow(rows, run, "id long, n long")
 
-    for row in queries.toLocalIterator():
+def true_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, modulus: int = 20, block: int = 4096) -> DataFrame:
+    """Rows (id, n_true) for ids divisible by ``modulus``, by comparing them with all rows
+    in blocks; the recall of ``dedup`` is measured against this."""
+    rows = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("vector")).where(_valid(F.col("vector"))).withColumn("n", F.lit(1).cast("long"))
+    out, held = rows.select("id", "n").limit(0), []
+    for row in rows.where(F.col("id") % modulus == 0).toLocalIterator():
         held.append(row)
         if len(held) == block:
-            out, held = (one(held) if out is None else out.union(one(held))), []
-    if held or out is None:
-        out = (one(held) if out is None else out.union(one(held))) if held else rows.select("id", F.lit(0).cast("long").alias("n")).limit(0)
+            out, held = out.union(_against_all(rows, held, threshold)), []
+    if held:
+        out = out.union(_against_all(rows, held, threshold))
     return out.groupBy("id").agg(F.sum("n").alias("n_true"))

@@ -155,6 +155,31 @@ def test_embeddings(spark, monkeypatch):
     assert embed_dedup.dedup(d.limit(0)).count() == 0
 
 
+def test_embeddings_of_several_widths_and_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(40)]
+    rows += [(100, [1.0, 2.0]), (101, [1.0, 2.0]), (102, [2.0, 4.0]), (103, [2.0, -1.0])]
+    rows += [(2, rows[5][1]), (2, (np.array(rows[7][1]) * 3).tolist()), (None, rows[9][1]), rows[11], rows[11]]
+    rows += [(1000 + i, rows[3][1]) for i in range(30)]  # one hot vector
+    d = spark.createDataFrame([(k, i, v) for k, (i, v) in enumerate(rows)], "row int, vec_id long, embedding array<double>")
+    got = sorted(((r["id"] is None, r["id"] or 0, r["n_links"], -1 if r["component"] is None else r["component"]) for r in embed_dedup.dedup(d).collect()))
+    want = []
+    for k, (i, v) in enumerate(rows):
+        near = [j for j, (_, u) in enumerate(rows) if len(u) == len(v) and np.dot(u, v) >= 0.95 * np.linalg.norm(u) * np.linalg.norm(v)]
+        ids = [rows[j][0] for j in near if rows[j][0] is not None]
+        want.append((i is None, i or 0, len(near) - 1, min(ids) if ids else -1))
+    assert got == sorted(want)
+
+
+def test_audit_widens_a_poor_search(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(6, 12))
+    d = spark.createDataFrame([(i, (base[i % 6] + rng.normal(size=12) * 0.1).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    turns = []
+    monkeypatch.setattr(embed_dedup, "_recall", lambda *a: turns.append(1) or (0.5 if len(turns) < 2 else 1.0))
+    assert embed_dedup.dedup(d).count() == 300 and len(turns) == 2
+
+
 def test_pruning_keeps_the_nearest():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 8))
