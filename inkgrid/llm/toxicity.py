@@ -9,16 +9,18 @@ count plus the mass set free times a shared backoff, which counts both classes t
 
 Counts are continuation counts: not how often a word occurs, but in how many contexts,
 which are documents here, however often it is repeated in one.  Rare expressions have no
-count left after discounting, so both classes give them the shared probability and they
-speak for neither.
+count left after discounting, so both classes give them a share of the same probability:
+all rare or unknown continuations of p speak alike, by what discounting sets free there,
+and below a rare prefix nothing speaks for either class.
 
 The score compares the length-normalised log-likelihoods of both classes over the whole
 text and over its most toxic stretches of words.  A logistic function maps these to 0..1.
 
 Counts come from all labelled rows that may be learnt from.  The logistic function is
-fitted on rows scored by counts that leave out their own fold.  Counts are exact tables
-that grow with the corpus; the log-likelihood ratio of each word is worked out once, by
-joins, and only these ratios meet the texts.
+fitted on rows scored by counts that leave out their own fold.  Counts are exact and grow
+with the corpus.  Of the tree of prefixes the texts need but the part whose counts exceed
+the discount: for each such prefix the log-likelihood ratio of the step to it, and that of
+any rare step from it.
 """
 
 from __future__ import annotations
@@ -44,17 +46,20 @@ STRETCHES = (3, 10, 30)
 #: Labelled rows that the logistic function is fitted on, if there are more; rows beyond
 #: twice this number, as repeated ids can bring them, are left out in the order of a hash.
 FIT_ROWS = 20_000
-#: Most labels, and most words with their ratios (12 bytes each, 28 for the fit), that are
+#: Most labels, and most prefixes with their ratios (16 bytes each, 40 for the fit), that are
 #: broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
-BROADCAST_WORDS = 2_000_000
+BROADCAST_NODES = 2_000_000
 COUNTS_HELD = 200_000
 #: Folds that may be learnt from, of the remainders of a row's crc32 by four.
 FOLDS = (0, 1, 3)
 #: Counts of a word: of ordinary and toxic documents by fold.
 COUNTS = [f"n{c}_{f}" for f in FOLDS for c in (0, 1)]
-#: Ratios of a word: by all folds, and without each one.
-RATIOS = ["r", *(f"r_{f}" for f in FOLDS)]
+#: Folds that are counted: all, and all without each one.
+USES = [FOLDS, *(tuple(g for g in FOLDS if g != f) for f in FOLDS)]
+#: Ratios of the step to a prefix and of rare steps from it, by ``USES``; those of a word.
+STEPS, RARE = [f"r{i}" for i in range(len(USES))], [f"b{i}" for i in range(len(USES))]
+RATIOS = STEPS
 
 _WORD = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -84,8 +89,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[dict]) -> Iterator[dict]:
-    """In how many documents of each class and fold each word occurs; words of documents
-    that are not learnt from have no counts."""
+    """In how many documents of each class and fold each word occurs."""
     held: defaultdict = defaultdict(lambda: [0] * len(COUNTS))
 
     def rows() -> dict:
@@ -94,14 +98,9 @@ def _count(batches: Iterator[dict]) -> Iterator[dict]:
 
     for batch in batches:
         for text, toxic, fold in zip(batch["text"], batch["toxic"].to_pylist(), batch["fold"].to_pylist(), strict=True):
-            found = set(words(text.as_py()))
-            if toxic is None:
-                for w in found:
-                    held[w]  # noqa: B018  known, without counts
-            else:
-                k = 2 * FOLDS.index(fold) + toxic
-                for w in found:
-                    held[w][k] += 1
+            k = 2 * FOLDS.index(fold) + toxic
+            for w in set(words(text.as_py())):
+                held[w][k] += 1
             if len(held) > COUNTS_HELD:
                 yield rows()
                 held.clear()
@@ -119,85 +118,134 @@ def _expand(batches: Iterator[dict]) -> Iterator[dict]:
             out = {"x": keys[:, 0].copy().view(np.int64), "p": keys[:, 1].copy().view(np.int64)}
             for c in COUNTS:
                 weights = np.broadcast_to(batch[c].slice(a, 20_000).to_numpy()[:, None], on.shape)[on]
-                out[c] = np.bincount(at.ravel(), weights, len(keys)).astype(np.int64)
+                out[c] = np.bincount(at.ravel(), weights, len(keys)).astype(np.int32)
             yield out
 
 
+def _log_ratio(n: list[np.ndarray], k: list[np.ndarray], total: list[np.ndarray]) -> np.ndarray:
+    """Log of P_1 / P_0; a class that does not know p takes the shared probability.  n is
+    what is left of the counts, over the shared probability."""
+    p = [np.where(total[c] > 0, (n[c] + k[c]) / np.maximum(total[c], 1), 1.0) for c in (0, 1)]
+    return np.log(p[1] / p[0])
+
+
+def node_ratios(p: np.ndarray, x: np.ndarray, counts: np.ndarray) -> dict:
+    """Rows (node, r, b) from counts of steps, sorted by (p, x): r of prefixes whose count in
+    a class exceeds the discount, and b of the prefixes that those follow."""
+    starts = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (x[1:] != x[:-1])]))
+    counts, p, x = np.add.reduceat(counts.astype(np.int64), starts), p[starts], x[starts]
+    cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    sizes = np.diff(cuts, append=len(p))
+    of_class = lambda use: [sum(counts[:, 2 * FOLDS.index(f) + c] for f in use).astype(np.float64) for c in (0, 1)]
+    often = np.maximum(*of_class(FOLDS)) > DISCOUNT
+    above = np.logical_or.reduceat(often, cuts)
+    made = {"node": np.concatenate([x[often], p[cuts][above]])}
+    for i, use in enumerate(USES):
+        n = of_class(use)
+        k = [np.add.reduceat(np.minimum(v, DISCOUNT), cuts) for v in n]
+        total = [np.add.reduceat(v, cuts) for v in n]
+        each = lambda v: [np.repeat(u, sizes) for u in v]
+        both = n[0] + n[1]
+        shared = both / np.maximum(np.repeat(total[0] + total[1], sizes), 1)
+        left = [np.where(both > 0, np.maximum(v - DISCOUNT, 0) / np.where(both > 0, shared, 1), 0) for v in n]
+        none = [np.zeros(len(cuts))] * 2
+        made[STEPS[i]] = np.concatenate([_log_ratio(left, each(k), each(total))[often], np.zeros(int(above.sum()))])
+        made[RARE[i]] = np.concatenate([np.zeros(int(often.sum())), _log_ratio(none, k, total)[above]])
+    return made
+
+
+def _nodes(batches: Iterator[dict]) -> Iterator[dict]:
+    """``node_ratios`` of rows that come sorted by (p, x)."""
+    names = ["p", "x", *COUNTS]
+    held = {n: np.empty(0, np.int64) for n in names}
+    for batch in batches:
+        held = {n: np.concatenate([held[n], batch[n].to_numpy()]) for n in names}
+        last = int(np.searchsorted(held["p"], held["p"][-1])) if len(held["p"]) else 0  # its steps may go on
+        if last > 1 << 16:
+            yield node_ratios(held["p"][:last], held["x"][:last], np.stack([held[c][:last] for c in COUNTS], 1))
+            held = {n: v[last:].copy() for n, v in held.items()}
+    if len(held["p"]):
+        yield node_ratios(held["p"], held["x"], np.stack([held[c] for c in COUNTS], 1))
+
+
+def nodes(rows: DataFrame) -> DataFrame:
+    """Rows (node, r, b) of the prefixes that speak, by hashes of their paths, from labelled
+    ``rows(text, toxic, fold)``."""
+    counts = ", ".join(f"{c} int" for c in COUNTS)
+    # words that begin alike come together, so their prefixes are summed before the shuffle
+    counted = map_arrow(rows.select("text", "toxic", "fold"), _count, f"word string, {counts}")
+    counted = counted.repartition(F.substring("word", 1, 4)).sortWithinPartitions("word")
+    steps = map_arrow(counted, _expand, f"x long, p long, {counts}").repartition("p").sortWithinPartitions("p", "x")
+    told = map_arrow(steps, _nodes, ", ".join(["node long", *(f"{r} double" for r in STEPS + RARE)]))
+    return materialize(told.groupBy("node").agg(*[F.sum(r).cast("float").alias(r) for r in STEPS + RARE]))
+
+
 def word_hashes(found: list[str]) -> np.ndarray:
-    """Spark's xxhash64 of each word."""
     return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in found), np.uint64, len(found)).view(np.int64)
 
 
 def _steps(batches: Iterator[dict]) -> Iterator[dict]:
-    """The prefixes of each word, by its hash."""
-    for batch in batches:
-        for a in range(0, len(batch["word"]), 20_000):
-            part = batch["word"].slice(a, 20_000).to_pylist()
-            found, n = spell(part)
-            on = np.arange(1, DEPTH + 2) < n[:, None]
-            yield {"w": np.repeat(word_hashes(part), n - 1), "x": found[:, 1:][on].view(np.int64)}
+    """The steps of each word, by its hash."""
+    seen: set[str] = set()
 
+    def rows() -> dict:
+        part = list(seen)
+        found, n = spell(part)
+        on = np.arange(1, DEPTH + 2) < n[:, None]
+        return {"w": np.repeat(word_hashes(part), n - 1), "x": found[:, 1:][on].view(np.int64), "p": found[:, :-1][on].view(np.int64)}
+
+    for batch in batches:
+        for text in batch["text"]:
+            seen.update(words(text.as_py()))
+            if len(seen) > 20_000:
+                yield rows()
+                seen.clear()
+    if seen:
+        yield rows()
 
-def step_ratios(exact: DataFrame) -> DataFrame:
-    """Rows (x, r, ...): for each prefix that follows another, the log of its probability in
-    toxic words less that in ordinary ones, by all folds and without each one.
 
-    ``exact(x, p, counts)`` are counts of prefixes.  A step that neither class knows, or
-    whose shared backoff is empty, has no say.
-    """
-    every = [F.lit(1)] * len(FOLDS)
-    uses = [every, *([F.lit(int(g != f)) for g in FOLDS] for f in FOLDS)]
-    n = lambda c, use, at="": sum((F.col(f"{at}n{c}_{f}") * u for f, u in zip(FOLDS, use, strict=True)), F.lit(0)).cast("double")
-    freed = [F.sum(F.least(n(c, use), F.lit(DISCOUNT))).alias(f"k{c}_{i}") for i, use in enumerate(uses) for c in (0, 1)]
-    sums = [F.sum(c).alias(f"p{c}") for c in COUNTS]
-    # what goes on from a prefix is all of it: only the empty one and the ends differ
-    above = materialize(exact.groupBy(F.col("p").alias("at")).agg(*freed, *sums))
-    both = exact.join(above, exact["p"] == above["at"])
-    ratios = []
-    for i, (name, use) in enumerate(zip(RATIOS, uses, strict=True)):
-        shared = (n(0, use) + n(1, use)) / F.greatest(n(0, use, "p") + n(1, use, "p"), F.lit(1.0))
-        p = []
-        for c in (0, 1):
-            total = n(c, use, "p")
-            p.append(F.when(total > 0, (F.greatest(n(c, use) - DISCOUNT, F.lit(0.0)) + F.col(f"k{c}_{i}") * shared) / F.greatest(total, F.lit(1.0))).otherwise(shared))
-        ratios.append(F.when((p[0] > 0) & (p[1] > 0), F.log(p[1] / F.when(p[0] > 0, p[0]).otherwise(1.0))).otherwise(0.0).alias(name))
-    return both.select("x", *ratios)
-
-
-def word_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Rows (w, r, ...): the hash of each word of ``docs`` and its log-likelihood ratios;
-    words whose ratios are all zero have no row."""
-    marked = labelled(docs, labels, id_col, text_col, label_col)
-    counted = map_arrow(marked.select("text", "toxic", "fold"), _count, ", ".join(["word string", *(f"{c} int" for c in COUNTS)]))
-    counted = materialize(counted.groupBy("word").agg(*[F.sum(c).cast("int").alias(c) for c in COUNTS]))
-    learnt = counted.where(sum((F.col(c) for c in COUNTS), F.lit(0)) > 0)
-    exact = map_arrow(learnt, _expand, ", ".join(["x long, p long", *(f"{c} long" for c in COUNTS)]))
-    exact = materialize(exact.groupBy("x", "p").agg(*[F.sum(c).alias(c) for c in COUNTS]))
-    by_step = materialize(step_ratios(exact))
-    steps = map_arrow(counted.select("word"), _steps, "w long, x long")
-    told = steps.join(by_step, "x").groupBy("w").agg(*[F.sum(r).cast("float").alias(r) for r in RATIOS])
-    return materialize(told.where(" or ".join(f"{r} <> 0" for r in RATIOS)))
+def word_ratios(docs: DataFrame, held: DataFrame, text_col: str) -> DataFrame:
+    """Rows (w, r, ...): the hash of each word of ``docs`` and its log-likelihood ratios, by
+    joins of its steps with the prefixes that speak."""
+    steps = map_arrow(docs.select(col(text_col).alias("text")), _steps, "w long, x long, p long").distinct()
+    to = held.select(F.col("node").alias("x"), *STEPS)
+    at = held.select(F.col("node").alias("p"), *RARE)
+    told = materialize(steps.join(to, "x", "left")).join(at, "p", "left")
+    return materialize(told.groupBy("w").agg(*[F.sum(F.coalesce(r, b, F.lit(0.0))).cast("float").alias(r) for r, b in zip(STEPS, RARE, strict=True)]))
 
 
 class Model:
-    """Ratios of words by their hashes; other words have none."""
+    """The prefixes that speak, sorted by their hashes, with r and b."""
 
-    def __init__(self, w: np.ndarray, r: np.ndarray):
-        order = np.argsort(w)
-        self.w, self.r = w[order], np.ascontiguousarray(r[..., order])
+    def __init__(self, node: np.ndarray, r: np.ndarray, b: np.ndarray):
+        order = np.argsort(node)
+        self.node, self.r, self.b = node[order], r[order].astype(np.float64), b[order].astype(np.float64)
 
-    def ratio(self, found: list[str], which: int = 0) -> np.ndarray:
+    def ratio(self, found: list[str]) -> np.ndarray:
         """Log-likelihood of each word as toxic less that as ordinary."""
-        if not found or not len(self.w):
-            return np.zeros(len(found))
-        h = word_hashes(found)
-        at = np.minimum(np.searchsorted(self.w, h), len(self.w) - 1)
-        return np.where(self.w[at] == h, self.r[which][at], 0.0)
+        out = np.zeros(len(found))
+        if not found or not len(self.node):
+            return out
+        x, size = spell(found)
+        x = x.view(np.int64)
+        root = int(np.searchsorted(self.node, 0))
+        on = np.arange(len(found)) if root < len(self.node) and self.node[root] == 0 else np.empty(0, np.int64)
+        above = np.full(len(on), root)
+        for k in range(1, DEPTH + 2):  # down the tree, with the words that are still in it
+            inside = k < size[on]
+            on, above = on[inside], above[inside]
+            if not len(on):
+                break
+            at = np.minimum(np.searchsorted(self.node, x[on, k]), len(self.node) - 1)
+            hit = self.node[at] == x[on, k]
+            out[on] += np.where(hit, self.r[at], self.b[above])
+            on, above = on[hit], at[hit]
+        return out
 
-    def features(self, texts: list[str | None], which: int = 0) -> np.ndarray:
+    def features(self, texts: list[str | None]) -> np.ndarray:
         number: defaultdict = defaultdict(count().__next__)
         rows = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in map(words, texts)]
-        return features(rows, self.ratio(list(number), which))
+        return features(rows, self.ratio(list(number)))
 
 
 def features(rows: list[np.ndarray], ratio: np.ndarray) -> np.ndarray:
@@ -226,17 +274,17 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return rows.join(marks, (F.col("i") == F.col("j")) & (F.col("fold") != 2), "left").select("i", "text", "toxic", "fold")
 
 
-def _texts_features(rows: DataFrame, ratios: DataFrame, model: Model | None, which: int) -> DataFrame:
-    """Rows (i, toxic, t, x): features of texts by ratios that are broadcast or joined."""
-    if model is not None:
-        shared = rows.sparkSession.sparkContext.broadcast(model)
+def _texts_features(rows: DataFrame, ratios: DataFrame | Model, which: int) -> DataFrame:
+    """Rows (i, toxic, t, x): features of texts by a broadcast model, or by words' ratios."""
+    if isinstance(ratios, Model):
+        shared = rows.sparkSession.sparkContext.broadcast(ratios)
 
         def run(batches: Iterator[dict]) -> Iterator[dict]:
             for batch in batches:
                 for a in range(0, len(batch["i"]), 512):
                     texts = batch["text"].slice(a, 512).to_pylist()
                     for i, j in slices(texts):
-                        yield {c: batch[c].slice(a + i, j - i) for c in ("i", "toxic", "t")} | {"x": shared.value.features(texts[i:j], which).tolist()}
+                        yield {c: batch[c].slice(a + i, j - i) for c in ("i", "toxic", "t")} | {"x": shared.value.features(texts[i:j]).tolist()}
 
         return map_arrow(rows.select("i", "toxic", "t", "text"), run, "i long, toxic int, t long, x array<double>")
 
@@ -270,27 +318,28 @@ def _texts_features(rows: DataFrame, ratios: DataFrame, model: Model | None, whi
     return rows.select("i", "toxic", "t").join(materialize(whole), "t").select("i", "toxic", "t", "x")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_words: int = BROADCAST_WORDS) -> tuple[DataFrame, Model | None, np.ndarray]:
-    """Words' ratios, as a table and, if they can be broadcast, as a model, and the weights
-    of the logistic function."""
-    ratios = word_ratios(docs, labels, id_col, text_col, label_col)
-    model = None
-    if ratios.count() <= broadcast_words:
-        held = ratios.toArrow()
-        model = Model(held["w"].to_numpy(), np.stack([held[r].to_numpy() for r in RATIOS]))
-    rows = labelled(docs, labels, id_col, text_col, label_col).where("toxic is not null").withColumn("t", F.xxhash64("text"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_nodes: int = BROADCAST_NODES) -> tuple[DataFrame | Model, np.ndarray]:
+    """A model, or the ratios of all words if that is too large to be broadcast, and the
+    weights of the logistic function."""
+    rows = labelled(docs, labels, id_col, text_col, label_col).where("toxic is not null")
+    held = nodes(rows)
+    if held.count() <= broadcast_nodes:
+        table = held.toArrow()
+        models = [Model(table["node"].to_numpy(), table[r].to_numpy(), table[b].to_numpy()) for r, b in zip(STEPS, RARE, strict=True)]
+    else:
+        models = [word_ratios(docs, held, text_col)] * len(USES)
+    rows = rows.withColumn("t", F.xxhash64("text"))
     # about as many rows as are wanted, drawn by a hash of the id before they are scored
     known = labels.where(F.crc32(col(id_col).cast("string")) % 4 != 2).count()
     share = int(min(1.0, FIT_ROWS / max(1, known)) * (1 << 30))
     drawn = rows.where(F.xxhash64("i").bitwiseAND(F.lit((1 << 30) - 1)) < share)
     x, y = [np.empty((0, len(STRETCHES) + 2))], [np.empty(0)]
     for which, fold in enumerate(FOLDS, 1):
-        only = None if model is None else Model(model.w, model.r[which : which + 1])
-        seen = _texts_features(drawn.where(F.col("fold") == fold), ratios, only, 0 if only else which)
+        seen = _texts_features(drawn.where(F.col("fold") == fold), models[which], which)
         seen = seen.orderBy(F.xxhash64("i"), "i", "t").limit(2 * FIT_ROWS).select("toxic", "x").toArrow()
         x.append(np.array(seen["x"].to_pylist(), np.float64).reshape(-1, len(STRETCHES) + 2))
         y.append(seen["toxic"].to_numpy().astype(np.float64))
-    return ratios, None if model is None else Model(model.w, model.r[:1]), fit(np.concatenate(x), np.concatenate(y))
+    return models[0], fit(np.concatenate(x), np.concatenate(y))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> np.ndarray:
@@ -321,7 +370,7 @@ def apply(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z @ weights[2, :-1] + weights[2, -1], -30, 30)))
 
 
-def with_score(docs: DataFrame, labels: DataFrame, name: str = "score", id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def with_score(docs: DataFrame, labels: DataFrame, name: str = "score", id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """``docs`` with a column ``name``; one of that name is replaced, all others are kept.
 
     Null and empty texts have no words and get the score of that; texts of any length are
@@ -331,8 +380,8 @@ def with_score(docs: DataFrame, labels: DataFrame, name: str = "score", id_col:
     toxic labels (zero without any).  An empty table gives no rows.  Only ids' remainders
     decide what is learnt; scores read texts alone.
     """
-    ratios, model, weights = train(docs, labels, id_col, text_col, label_col, broadcast_words)
-    if model is not None:
+    model, weights = train(docs, labels, id_col, text_col, label_col, broadcast_nodes)
+    if isinstance(model, Model):
         shared = docs.sparkSession.sparkContext.broadcast((model, weights))
 
         @F.pandas_udf("double")
@@ -344,7 +393,7 @@ def with_score(docs: DataFrame, labels: DataFrame, name: str = "score", id_col:
         return docs.withColumn(name, scored(col(text_col)))
     keyed = docs.withColumn("__ink_t", F.xxhash64(col(text_col)))
     texts = keyed.select(col("__ink_t").alias("t"), col(text_col).alias("text")).withColumns({"i": F.lit(0).cast("long"), "toxic": F.lit(0)})
-    found = _texts_features(texts, ratios, None, 0).dropDuplicates(["t"])
+    found = _texts_features(texts, model, 0).dropDuplicates(["t"])
     return keyed.join(found.select(F.col("t").alias("__ink_t"), _logistic("x", weights).alias("__ink_s")), "__ink_t").withColumn(name, F.col("__ink_s")).select(*[col(c) for c in docs.columns if c != name], col(name))
 
 

@@ -73,16 +73,16 @@ def brute_ratio(word, counts, discount=2.0):
             below.setdefault(a, set()).add(b)
     total = 0.0
     for a, b in zip(path(word), path(word)[1:], strict=False):
-        if b not in below.get(a, ()):
-            continue
+        if a not in below:
+            break
         get = lambda c, y: n[c].get(y, 0)
         above = [sum(get(c, y) for y in below[a]) for c in (0, 1)]
-        shared = (get(0, b) + get(1, b)) / sum(above)
+        shared = (get(0, b) + get(1, b)) / sum(above) or 1e-12  # unknown ones are rarest of all
         p = []
         for c in (0, 1):
             freed = sum(min(get(c, y), discount) for y in below[a])
             p.append((max(get(c, b) - discount, 0) + freed * shared) / above[c] if above[c] else shared)
-        total += float(np.log(p[1] / p[0])) if min(p) > 0 else 0.0
+        total += float(np.log(p[1] / p[0]))
     return total
 
 
@@ -95,12 +95,16 @@ def test_ratios_are_those_of_the_formula(spark):
         labels.append((i, int("bad" in rows[-1][1] and i % 3 > 0)))
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     mark = dict(labels)
-    found = {r["w"]: r for r in toxicity.word_ratios(docs, marks, "doc_id", "text", "toxic").collect()}
-    for name, out in zip(toxicity.RATIOS, (None, *toxicity.FOLDS), strict=True):
+    known = ["bad", "badly", "be", "bee", "hello", "extraordinarily", "rare"]
+    held = toxicity.nodes(toxicity.labelled(docs, marks, "doc_id", "text", "toxic").where("toxic is not null"))
+    more = spark.createDataFrame([(" ".join([*known, "badness", "unknown"]),)], "text string")
+    found, table = {r["w"]: r for r in toxicity.word_ratios(more, held, "text").collect()}, held.toArrow()
+    for r, b, out in zip(toxicity.STEPS, toxicity.RARE, (None, *toxicity.FOLDS), strict=True):
+        model = toxicity.Model(table["node"].to_numpy(), table[r].to_numpy(), table[b].to_numpy())
         counts = [(w, mark[i], 1) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != out for w in set(t.split())]
-        for word in ("bad", "badly", "be", "bee", "hello", "extraordinarily", "rare"):
-            h = int(toxicity.word_hashes([word])[0])
-            assert (found[h][name] if h in found else 0.0) == pytest.approx(brute_ratio(word, counts), abs=1e-4), (name, word)
+        for word in (*known, "badness", "unknown"):
+            want = pytest.approx(brute_ratio(word, counts), abs=1e-4)
+            assert found[int(toxicity.word_hashes([word])[0])][r] == want == model.ratio([word])[0], (r, word)
 
 
 def test_rare_words_speak_for_neither():
@@ -111,9 +115,9 @@ def test_rare_words_speak_for_neither():
 def test_joined_ratios_give_equal_scores(marked):
     docs, labels = marked
     a = {r["id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
-    b = {r["id"]: r["score"] for r in toxicity.score(docs, labels, broadcast_words=3).collect()}
+    b = {r["id"]: r["score"] for r in toxicity.score(docs, labels, broadcast_nodes=3).collect()}
     assert a == pytest.approx(b, abs=1e-5)
-    assert toxicity.score(docs, labels, broadcast_words=3).count() == docs.count()
+    assert toxicity.score(docs, labels, broadcast_nodes=3).count() == docs.count()
 
 
 # --- embeddings
