@@ -29,13 +29,21 @@ def best_scores(scores: DataFrame, by: list[str]) -> DataFrame:
 
 
 def shifted_ncc(target: DataFrame, glyphs: DataFrame, shifts: int = 2, pad: float = 0.0) -> DataFrame:
-    """Best correlation of each (font, char) over sizes and shifts in both directions.
+    """Best correlation of each (font, char) over sizes and places, 0 at least.
 
     ``target(char, y, x, gray)`` and ``glyphs(font_ord, font, char, size, y, x, gray)``
-    have equal heights; where a shifted glyph has no pixel, ``pad`` stands."""
-    moves = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-shifts, shifts + 1) for dx in range(-shifts, shifts + 1)])
+    have equal heights.  A glyph that is narrower than its target is centred and shifted in
+    both directions; one as wide or wider slides over it sideways.  Where it has no pixel,
+    ``pad`` stands.
+    """
     keys = ["font_ord", "font", "char", "size"]
-    search = glyphs.select(*keys).distinct().withColumn("m", F.explode(moves)).select(*keys, "m.dy", "m.dx")
+    of_target = target.groupBy("char").agg((F.max("x") + 1).alias("tw"), (F.max("y") + 1).alias("th"))
+    of_glyph = glyphs.groupBy(*keys).agg((F.max("x") + 1).alias("gw"), (F.max("y") + 1).alias("gh")).join(of_target, "char")
+    wide = F.col("gw") >= F.col("tw")
+    shift = lambda middle: F.sequence((middle - shifts).cast("int"), (middle + shifts).cast("int"))
+    across = F.when(wide, F.sequence(F.col("tw") - F.col("gw"), F.lit(0))).otherwise(shift(F.floor((F.col("tw") - F.col("gw")) / 2)))
+    down = F.when(wide, F.array(F.lit(0))).otherwise(shift(F.floor((F.col("th") - F.col("gh")) / 2)))
+    search = of_glyph.withColumn("dx", F.explode(across)).withColumn("dy", F.explode(down)).select(*keys, "dy", "dx")
     cells = search.join(target.withColumnRenamed("gray", "a"), "char")
     moved = cells.withColumns({"gy": F.col("y") - F.col("dy"), "gx": F.col("x") - F.col("dx")})
     g = glyphs.select(*keys, F.col("y").alias("gy"), F.col("x").alias("gx"), F.col("gray").alias("b"))

@@ -7,6 +7,7 @@ and an equality join on (page, tile) is narrowed by the exact predicate.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from functools import reduce
 
@@ -17,8 +18,16 @@ from ..functions.colour import integer_gray
 from ..model import Box
 
 TILE = 64
-#: Neighbours that a 5 x 5 ellipse reaches: half widths by row.
-ELLIPSE_5 = {-2: 0, -1: 2, 0: 2, 1: 2, 2: 0}
+
+
+def ellipse(size: int) -> list[tuple[int, int]]:
+    """Neighbours (dy, dx) that an ellipse of ``size`` rows and columns reaches."""
+    half = size // 2
+    out = []
+    for dy in range(-half, size - half):
+        reach = round(half * math.sqrt(max(0, half * half - dy * dy)) / half) if half else 0
+        out += [(dy, dx) for dx in range(max(-half, -reach), min(size - half - 1, reach) + 1)]
+    return out
 
 
 def inside(box: Box, x: str = "x", y: str = "y") -> Column:
@@ -68,15 +77,13 @@ def ink_mask(pixels: DataFrame, boxes: Iterable[Box], threshold: int = 180, dila
     ink = select(pixels, boxes).where(integer_gray() < threshold).select("page_id", "y", "x")
     if dilation <= 1:
         return ink
-    if dilation != 5:
-        raise ValueError("the ellipse is known for a dilation of 5")
-    return dilate(ink).join(select(pixels, boxes).select("page_id", "y", "x"), ["page_id", "y", "x"], "left_semi")
+    return dilate(ink, dilation).join(select(pixels, boxes).select("page_id", "y", "x"), ["page_id", "y", "x"], "left_semi")
 
 
-def dilate(mask: DataFrame) -> DataFrame:
-    """The mask and its 5 x 5 elliptic neighbourhood, without a join: each pixel is
-    expanded in place and copies are removed by a pre-aggregated distinct."""
-    near = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, w in ELLIPSE_5.items() for dx in range(-w, w + 1)])
+def dilate(mask: DataFrame, size: int = 5) -> DataFrame:
+    """The mask and its elliptic neighbourhood, without a join: each pixel is expanded in
+    place and copies are removed by a pre-aggregated distinct."""
+    near = F.array(*[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx")) for dy, dx in ellipse(size)])
     return mask.withColumn("d", F.explode(near)).select("page_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct()
 
 

@@ -20,13 +20,27 @@ def dark_count(pixels: DataFrame, box: Box, threshold: float = 180) -> DataFrame
     return pixels.where(inside(box)).groupBy("page_id").agg(F.count_if(luma() < threshold).alias("dark"), F.count("*").alias("covered"))
 
 
-def _medians(where: Column, names: tuple[str, ...] = CHANNELS) -> list[Column]:
-    return [F.median(F.when(where, F.col(c))).alias(f"{c}_med") for c in names]
+def level_medians(pixels: DataFrame, where: Column) -> DataFrame:
+    """Exact medians of the channels of pixels that ``where`` holds for, from counts of their
+    256 levels, which are summed up before the shuffle; null for a page without any."""
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.when(where, F.col(c)).alias("v")) for k, c in enumerate(CHANNELS)]))
+    counts = pixels.select("page_id", levels.alias("l")).groupBy("page_id", "l.k", "l.v").agg(F.count("*").alias("n"))
+    held = counts.groupBy("page_id", "k").agg(F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "n")))).alias("h"))
+    total = F.aggregate("h", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+
+    def at(place: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("v"))
+        step = lambda acc, x: F.struct((acc["n"] + x["n"]).alias("n"), F.when(acc["v"].isNull() & (acc["n"] + x["n"] > place), x["v"]).otherwise(acc["v"]).alias("v"))
+        return F.aggregate("h", start, step, lambda acc: acc["v"])
+
+    median = (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / F.lit(2.0)
+    each = held.select("page_id", "k", F.when(total > 0, median).alias("m"))
+    return each.groupBy("page_id").agg(*[F.max(F.when(F.col("k") == k, F.col("m"))).alias(f"{c}_med") for k, c in enumerate(CHANNELS)])
 
 
 def dark_median(pixels: DataFrame, threshold: float = 180) -> DataFrame:
     """Median colour of dark pixels; null without any."""
-    return pixels.groupBy("page_id").agg(*_medians(luma() < threshold))
+    return level_medians(pixels, luma() < threshold)
 
 
 def background_median(pixels: DataFrame, threshold: float = 235) -> DataFrame:
@@ -63,6 +77,19 @@ def ink_bounds(gray: DataFrame, threshold: float = 160, least: int = 1) -> DataF
     return gray.groupBy("page_id").agg(at(F.min, "x").alias("x1"), at(F.min, "y").alias("y1"), (at(F.max, "x") + 1).alias("x2"), (at(F.max, "y") + 1).alias("y2"))
 
 
+def ink_crop(gray: DataFrame, threshold: float = 160) -> DataFrame:
+    """Each page cut to the box of its ink and counted from its corner; a page without ink
+    has no rows."""
+    boxes = ink_bounds(gray, threshold).where("x1 is not null")
+    cut = gray.join(boxes, "page_id").where((F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2")))
+    return cut.select("page_id", (F.col("y") - F.col("y1")).alias("y"), (F.col("x") - F.col("x1")).alias("x"), "gray")
+
+
+def rendered_fingerprint(glyphs: DataFrame, threshold: float = 160) -> DataFrame:
+    """The fingerprint of glyph canvases, each cut to its ink first."""
+    return fingerprint(ink_crop(glyphs, threshold), threshold)
+
+
 def ink_dims(gray: DataFrame, threshold: float = 160) -> DataFrame:
     """Height and width of the ink; null with fewer than five dark pixels."""
     return ink_bounds(gray, threshold, 5).select("page_id", (F.col("y2") - F.col("y1")).alias("ink_h"), (F.col("x2") - F.col("x1")).alias("ink_w"))

@@ -1,9 +1,10 @@
 """The engine's queries over rasters derived from the tables, each with its SQL.
 
 Documents become character rasters of 80 columns (before) and the same with digits
-painted white (after); embeddings become one gray page.  Edits that need a box to lie on
-the page run over all pages that are tall enough for it, as the validator asks.  Results
-of one row per pixel are reduced to exact checksums for each page.
+painted white (after); embeddings become one gray page.  Edits run over all pages; one that
+has too few rows for the boxes comes out as a row with an error.  In the diffs some pages
+have lost rows, so that their sizes differ.  Results of one row per pixel are reduced to
+exact checksums for each page.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.colour import feather, page_gray
-from ..functions.names import name_tokens
+from .. import model
+from ..functions.colour import close_size, colour_distance, feather, page_gray
+from ..functions.names import derived_seeds, first_colour, name_tokens, style_strength
 from ..model import BOX, Box, Move
-from ..operators import fill, kernels, match, overlay, regions, stats
+from ..operators import fill, kernels, match, overlay, regions, render, stats
 from ..sources import fonts, rasters
 from . import verify
 
@@ -24,7 +26,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 A, B, D = Box(0, 0, 40, 12), Box(20, 6, 60, 20), Box(10, 2, 50, 10)
 MOVE = Move((5, 45), (6, 11), 3)
-PAGE_ROWS = 13
 CHANNELS = stats.CHANNELS
 
 
@@ -36,8 +37,21 @@ def _before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.character_raster(_documents(spark, sf_dir))
 
 
-def _tall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rasters.character_raster(_documents(spark, sf_dir).where(F.length("text") >= 80 * PAGE_ROWS))
+def _tall(spark: SparkSession, sf_dir: str, rows: int) -> DataFrame:
+    """Pages with so many full rows; ``_with_errors`` tells of the others."""
+    return rasters.character_raster(_documents(spark, sf_dir).where(F.length("text") >= 80 * rows))
+
+
+def _with_errors(found: DataFrame, spark: SparkSession, sf_dir: str, rows: int) -> DataFrame:
+    short = _documents(spark, sf_dir).where(F.coalesce(F.length("text"), F.lit(0)) < 80 * rows)
+    short = short.select(F.col("doc_id").alias("page_id"), F.lit(f"the page has under {rows} rows").alias("error"))
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(short, allowMissingColumns=True)
+
+
+def _uneven(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Before and after, where every tenth page has lost all but two rows."""
+    before, after = _pair(spark, sf_dir)
+    return before, after.where("not (page_id % 10 = 3 and y >= 2)")
 
 
 def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -62,11 +76,14 @@ px AS (SELECT page_id, y, x, code, {r} AS r, {g} AS g, {b} AS b FROM code),
 af AS (SELECT page_id, y, x, {ar} AS r, {ag} AS g, {ab} AS b FROM px)"""
 
 
-def _with(more: str, tall: bool = False) -> str:
+def _with(more: str, rows: int = 0) -> str:
+    """SQL over the pages; with ``rows`` over those that have them, and errors of others."""
     ink = lambda k: f"CAST(CASE WHEN code IN (10, 32) THEN 245 ELSE 40 + (code * {k}) % 160 END AS INTEGER)"
     white = lambda c: f"CASE WHEN code BETWEEN 48 AND 57 THEN 255 ELSE {c} END"
-    where = f" WHERE length(text) >= {80 * PAGE_ROWS}" if tall else ""
-    return "WITH " + _PX.format(r=ink(37), g=ink(53), b=ink(71), ar=white("r"), ag=white("g"), ab=white("b"), where=where).strip() + more
+    where = f" WHERE length(text) >= {80 * rows}" if rows else ""
+    sql = "WITH " + _PX.format(r=ink(37), g=ink(53), b=ink(71), ar=white("r"), ag=white("g"), ab=white("b"), where=where).strip() + more
+    errors = f"SELECT doc_id AS page_id, 'the page has under {rows} rows' AS error FROM documents WHERE coalesce(length(text), 0) < {80 * rows}"
+    return f"SELECT * FROM ({sql}) UNION ALL BY NAME {errors}" if rows else sql
 
 
 def _in(box: Box, p: str = "") -> str:
@@ -100,14 +117,28 @@ def query(sql: str | None = None):
 # --- diff and audit
 
 
-@query(_with(f" SELECT page_id, count(*) FILTER ({CHANGED}) AS changed, min(x) FILTER ({CHANGED}) AS x1, min(y) FILTER ({CHANGED}) AS y1, max(x) FILTER ({CHANGED}) + 1 AS x2, max(y) FILTER ({CHANGED}) + 1 AS y2{JOINED} GROUP BY page_id"))
+_UNEVEN = " FROM px p FULL JOIN (SELECT * FROM af WHERE NOT (page_id % 10 = 3 AND y >= 2)) a USING (page_id, y, x) GROUP BY page_id"
+_MISFIT = "count(*) FILTER (p.r IS NULL OR a.r IS NULL) AS misfit"
+
+
+def _refused(metrics: dict[str, str], more: str = "") -> str:
+    """Metrics of pages, null where their sizes differ."""
+    inner = ", ".join(f"{v} AS {k}" for k, v in metrics.items())
+    outer = ", ".join(f"CASE WHEN misfit = 0 THEN {k} END AS {k}" for k in metrics)
+    return _with(f", m AS (SELECT page_id, {_MISFIT}, {inner}{_UNEVEN}), f AS (SELECT page_id, misfit, {outer} FROM m) SELECT *{more} FROM f")
+
+
+_BOX = {"changed": f"count(*) FILTER ({CHANGED})", "x1": f"min(x) FILTER ({CHANGED})", "y1": f"min(y) FILTER ({CHANGED})", "x2": f"max(x) FILTER ({CHANGED}) + 1", "y2": f"max(y) FILTER ({CHANGED}) + 1"}
+
+
+@query(_refused(_BOX))
 def diff_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.diff_report(*_pair(spark, sf_dir))
+    return verify.diff_report(*_uneven(spark, sf_dir))
 
 
-@query(_with(f" SELECT page_id, count(*) FILTER ({CHANGED} AND NOT ({_in(A)} OR {_in(B)})) AS outside{JOINED} GROUP BY page_id"))
+@query(_refused({"outside": f"count(*) FILTER ({CHANGED} AND NOT ({_in(A)} OR {_in(B)}))"}))
 def outside_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.outside_allowed(*_pair(spark, sf_dir), [A, B])
+    return verify.outside_allowed(*_uneven(spark, sf_dir), [A, B])
 
 
 @query(_with(f" SELECT page_id, count(*) FILTER ({LUMA} < 180) AS dark, count(*) AS covered FROM af WHERE {_in(D)} GROUP BY page_id"))
@@ -115,17 +146,17 @@ def dark_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.dark_count(_pair(spark, sf_dir)[1], D)
 
 
-@query(_with(f" SELECT page_id, count(*) FILTER ({CHANGED}) AS preserved{JOINED} WHERE {_in(B)} GROUP BY page_id"))
+@query(_refused({"preserved": f"count(*) FILTER ({_in(B)} AND {CHANGED})", "covered": f"count(*) FILTER ({_in(B)})"}))
 def preserved_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.preserved_changes(*_pair(spark, sf_dir), B)
+    return verify.preserved_changes(*_uneven(spark, sf_dir), B)
 
 
-_TOLERANCE = f"count(*) FILTER ({CHANGED}) AS changed, max(greatest(abs(p.r - a.r), abs(p.g - a.g), abs(p.b - a.b))) AS max_diff, sum(abs(p.r - a.r) + abs(p.g - a.g) + abs(p.b - a.b)) / CAST(3 * count(*) AS DOUBLE) AS mae"
+_TOLERANCE = {"changed": f"count(*) FILTER ({CHANGED})", "max_diff": "max(greatest(abs(p.r - a.r), abs(p.g - a.g), abs(p.b - a.b)))", "mae": "sum(abs(p.r - a.r) + abs(p.g - a.g) + abs(p.b - a.b)) / CAST(3 * count(*) AS DOUBLE)"}
 
 
-@query(_with(f" SELECT *, changed <= 10000 AND max_diff <= 4 AND mae <= 0.001 AS within FROM (SELECT page_id, {_TOLERANCE}{JOINED} GROUP BY page_id)"))
+@query(_refused(_TOLERANCE, ", coalesce(changed <= 10000 AND max_diff <= 4 AND mae <= 0.001, false) AS within"))
 def tolerance_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.tolerance_diff(*_pair(spark, sf_dir))
+    return verify.tolerance_diff(*_uneven(spark, sf_dir))
 
 
 @query(
@@ -175,7 +206,9 @@ def mask_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sums(regions.ink_mask(_before(spark, sf_dir), [A, B], threshold=90, dilation=1), ())
 
 
-_ELLIPSE = "(VALUES " + ", ".join(f"({dy}, {dx})" for dy, w in regions.ELLIPSE_5.items() for dx in range(-w, w + 1)) + ") o(dy, dx)"
+#: Neighbours within ellipses of five and three, spelled out.
+_ELLIPSE = "(VALUES " + ", ".join(f"({dy}, {dx})" for dy, w in ((-2, 0), (-1, 2), (0, 2), (1, 2), (2, 0)) for dx in range(-w, w + 1)) + ") o(dy, dx)"
+_CROSS = "(VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx)"
 
 
 @query(_with(f", k AS (SELECT DISTINCT page_id, y + dy AS y, x + dx AS x FROM px, {_ELLIPSE} WHERE {_in(D)} AND {INK} < 90) SELECT {PLACES} FROM k JOIN px USING (page_id, y, x) WHERE {_in(D)} GROUP BY page_id"))
@@ -183,6 +216,11 @@ def mask_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sums(regions.ink_mask(_before(spark, sf_dir), [D], threshold=90, dilation=5), ())
 
 
+@query(_with(f", k AS (SELECT DISTINCT page_id, y + dy AS y, x + dx AS x FROM px, {_CROSS} WHERE {_in(D)} AND {INK} < 90) SELECT {PLACES} FROM k JOIN px USING (page_id, y, x) WHERE {_in(D)} GROUP BY page_id"))
+def mask_dilate_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sums(regions.ink_mask(_before(spark, sf_dir), [D], threshold=90, dilation=3), ())
+
+
 _OWN_BOXES = "SELECT doc_id AS bp, CAST(doc_id % 7 + 9 * k AS INTEGER) AS x1, CAST(doc_id % 5 + 3 * k AS INTEGER) AS y1, CAST(doc_id % 7 + 9 * k + 21 AS INTEGER) AS x2, CAST(doc_id % 5 + 3 * k + 8 AS INTEGER) AS y2 FROM documents, range(0, 3) t(k)"
 
 
@@ -269,18 +307,38 @@ def ink_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _with(
-        f""", bc AS (SELECT page_id, 0 AS k, avg(y) AS c FROM px WHERE {_in(A)} AND {GRAY} < 160 GROUP BY page_id UNION ALL SELECT page_id, 1, avg(y) FROM px WHERE {_in(B)} AND NOT {_in(A)} AND {GRAY} < 160 GROUP BY page_id),
+        f""", bc AS (SELECT page_id, 0 AS k, avg(y) AS c FROM px WHERE {_in(A)} AND {GRAY} < 160 GROUP BY page_id UNION ALL SELECT page_id, 1, avg(y) FROM px WHERE {_in(Box(A.x2, B.y1, B.x2, B.y2))} AND {GRAY} < 160 GROUP BY page_id),
         t AS (SELECT page_id, avg(c) AS centre FROM bc GROUP BY page_id), o AS (SELECT page_id, avg(y) AS own FROM px WHERE {GRAY} < 160 GROUP BY page_id)
         SELECT page_id, CAST(round_even(centre - own, 0) AS INTEGER) AS delta FROM t JOIN o USING (page_id)"""
     )
 )
 def align_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gray = _gray(_before(spark, sf_dir))
-    apart = gray.where(F.col("gray") < 160)
-    first = stats.ink_centre(apart.where(regions.inside(A))).withColumn("k", F.lit(0))
-    second = stats.ink_centre(apart.where(regions.inside(B) & ~regions.inside(A))).withColumn("k", F.lit(1))
-    target = first.unionByName(second).groupBy("page_id").agg(F.avg("centre").alias("centre"))
-    return stats.align_delta(target, stats.ink_centre(gray))
+    gray = _gray(_before(spark, sf_dir)).where("gray < 160")
+    first, second = Box(A.x1, A.y1, A.x2, A.y2), Box(A.x2, B.y1, B.x2, B.y2)
+    return stats.align_delta(stats.boxes_centre(gray, [first, second]), stats.ink_centre(gray))
+
+
+@query(_with(f", k AS (SELECT page_id, x, y, {GRAY} AS gray FROM px), bx AS (SELECT page_id, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM k WHERE gray < 60 GROUP BY page_id), ct AS (SELECT page_id, y - y1 AS y, x - x1 AS x, gray FROM k JOIN bx USING (page_id) WHERE x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2), d AS (SELECT page_id, x, y, CAST(gray < 60 AS INTEGER) AS dark FROM ct), ro AS (SELECT page_id, max(n) AS rw, sum(n) AS dk, sum(w) AS area FROM (SELECT page_id, y, sum(dark) AS n, count(*) AS w FROM d GROUP BY ALL) GROUP BY page_id), co AS (SELECT page_id, max(n) AS cl FROM (SELECT page_id, x, sum(dark) AS n FROM d GROUP BY ALL) GROUP BY page_id) SELECT page_id, CAST(dk AS DOUBLE) / CAST(area AS DOUBLE) AS density, CASE WHEN cl > 0 THEN CAST(rw AS DOUBLE) / CAST(cl AS DOUBLE) ELSE 0 END AS ratio FROM ro JOIN co USING (page_id)"))
+def rendered_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.rendered_fingerprint(_gray(_before(spark, sf_dir)), 60)
+
+
+@query(_with(f", d AS (SELECT page_id, avg(CAST({GRAY} < 120 AS INTEGER)) AS f FROM px GROUP BY page_id), m AS (SELECT avg(f) FILTER (page_id % 2 = 0) / avg(f) FILTER (page_id % 2 = 1) AS q FROM d) SELECT round(q, 6) AS ratio, CASE WHEN q > 1.5 THEN 'too heavy' WHEN q < 0.67 THEN 'too light' ELSE 'plausible' END AS verdict FROM m"))
+def density_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.fingerprint(_gray(_before(spark, sf_dir)), 120)
+    return stats.density_ratio(found.where("page_id % 2 = 0"), found.where("page_id % 2 = 1")).select(F.round("ratio", 6).alias("ratio"), "verdict")
+
+
+@query(_with(f", k AS (SELECT page_id, {GRAY} AS gray FROM px), s AS (SELECT page_id, min(gray) AS lo, max(gray) AS hi FROM k GROUP BY page_id) SELECT page_id, round(sum(CASE WHEN hi > lo THEN (gray - lo) / CAST(hi - lo AS DOUBLE) ELSE 0 END), 4) AS total FROM k JOIN s USING (page_id) GROUP BY page_id"))
+def stretched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.normalised(_gray(_before(spark, sf_dir)), "gray").groupBy("page_id").agg(F.round(F.sum("gray"), 4).alias("total"))
+
+
+@query(_with(", h AS (SELECT page_id, max(y) + 1 AS h FROM px GROUP BY page_id), s AS (SELECT page_id, 'before' AS panel, y + 34 AS y, x FROM px UNION ALL SELECT page_id, 'after', y + h + 78, x FROM af JOIN h USING (page_id)) SELECT page_id, panel, count(*) AS n, CAST(sum(y * 80 + x + 1) AS BIGINT) AS places FROM s GROUP BY page_id, panel"))
+def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = _pair(spark, sf_dir)
+    found = regions.stack([("before", before), ("after", after)])
+    return found.groupBy("page_id", "panel").agg(F.count("*").alias("n"), F.sum((F.col("y") * 80 + F.col("x") + 1).cast("long")).alias("places"))
 
 
 # --- overlays
@@ -290,9 +348,9 @@ _MOVED = f"SELECT page_id, y - {MOVE.shift} AS y, x, r, g, b FROM px WHERE x >=
 _OVER = "SELECT q.page_id, q.y, q.x, coalesce(m.r, q.r) AS r, coalesce(m.g, q.g) AS g, coalesce(m.b, q.b) AS b FROM {0} q LEFT JOIN m ON m.page_id = q.page_id AND m.y = q.y AND m.x = q.x"
 
 
-@query(_with(f", m AS ({_MOVED}), o AS ({_OVER.format('px')}) SELECT {SUMS} FROM o GROUP BY page_id", tall=True))
+@query(_with(f", m AS ({_MOVED}), o AS ({_OVER.format('px')}) SELECT {SUMS} FROM o GROUP BY page_id", rows=11))
 def move_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sums(overlay.move_block(_tall(spark, sf_dir).drop("code"), MOVE.checked((80, PAGE_ROWS))))
+    return _with_errors(_sums(overlay.move_block(_tall(spark, sf_dir, 11).drop("code"), MOVE.checked((80, 11)))), spark, sf_dir, 11)
 
 
 @query("SELECT CAST(t.w AS INTEGER) AS w, CAST(t.h AS INTEGER) AS h, CAST(y.i AS INTEGER) AS y, CAST(x.i AS INTEGER) AS x, CASE WHEN t.w <= 2 OR t.h <= 2 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(x.i, t.w - 1 - x.i, y.i, t.h - 1 - y.i) / 4.0::DOUBLE)) END AS alpha FROM (VALUES (20, 20), (30, 12), (2, 9), (9, 7)) t(w, h), range(0, 30) x(i), range(0, 30) y(i) WHERE x.i < t.w AND y.i < t.h")
@@ -320,27 +378,27 @@ def _normal_sql(contrast: bool) -> str:
     return f"{parts}, st AS (SELECT page_id, {scale} AS sc, {', '.join(f'db.{c} AS d{c}, tb.{c} AS t{c}' for c in CHANNELS)} FROM db JOIN tb USING (page_id) {join}), k AS (SELECT d.page_id, d.y, d.x, {', '.join(map(value, CHANNELS))}, sc FROM px d JOIN st ON st.page_id = d.page_id WHERE {_in(A, 'd.')})"
 
 
-@query(_with(_normal_sql(True) + f" SELECT {SUMS}, round(max(sc), 6) AS scale FROM k GROUP BY page_id", tall=True))
+@query(_with(_normal_sql(True) + f" SELECT {SUMS}, round(max(sc), 6) AS scale FROM k GROUP BY page_id", rows=12))
 def normalize_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = _tall(spark, sf_dir)
+    px = _tall(spark, sf_dir, 12)
     found = overlay.normalise_contrast(regions.select(px, [A]), regions.select(px, [B]), regions.select(px, [D]))
     place = (F.col("y") * 80 + F.col("x") + 1).cast("long")
-    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(place).alias("places"), *[F.sum(F.col(c) * place).cast("long").alias(f"sum_{c}") for c in CHANNELS], F.round(F.max("scale"), 6).alias("scale"))
+    return _with_errors(found.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(place).alias("places"), *[F.sum(F.col(c) * place).cast("long").alias(f"sum_{c}") for c in CHANNELS], F.round(F.max("scale"), 6).alias("scale")), spark, sf_dir, 12)
 
 
-@query(_with(_normal_sql(False) + f" SELECT {SUMS} FROM k GROUP BY page_id", tall=True))
+@query(_with(_normal_sql(False) + f" SELECT {SUMS} FROM k GROUP BY page_id", rows=12))
 def normalize_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = _tall(spark, sf_dir)
-    return _sums(overlay.normalise_offset(regions.select(px, [A]), regions.select(px, [D])))
+    px = _tall(spark, sf_dir, 12)
+    return _with_errors(_sums(overlay.normalise_offset(regions.select(px, [A]), regions.select(px, [D]))), spark, sf_dir, 12)
 
 
 _ALPHA = f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, least(x - {D.x1}, {D.width - 1} - (x - {D.x1}), y - {D.y1}, {D.height - 1} - (y - {D.y1})) / 4.0::DOUBLE))"
 
 
-@query(_with(f", m AS (SELECT page_id, y + 2 AS y, x + 15 AS x, r, g, b, {_ALPHA} AS a FROM px WHERE {_in(D)}), o AS (SELECT q.page_id, q.y, q.x, " + ", ".join(f"CASE WHEN m.a IS NULL THEN q.{c} ELSE {BYTE.format(f'q.{c} * (1.0::DOUBLE - m.a) + m.{c} * m.a')} END AS {c}" for c in CHANNELS) + f" FROM px q LEFT JOIN m ON m.page_id = q.page_id AND m.y = q.y AND m.x = q.x) SELECT {SUMS} FROM o GROUP BY page_id", tall=True))
+@query(_with(f", m AS (SELECT page_id, y + 2 AS y, x + 15 AS x, r, g, b, {_ALPHA} AS a FROM px WHERE {_in(D)}), o AS (SELECT q.page_id, q.y, q.x, " + ", ".join(f"CASE WHEN m.a IS NULL THEN q.{c} ELSE {BYTE.format(f'q.{c} * (1.0::DOUBLE - m.a) + m.{c} * m.a')} END AS {c}" for c in CHANNELS) + f" FROM px q LEFT JOIN m ON m.page_id = q.page_id AND m.y = q.y AND m.x = q.x) SELECT {SUMS} FROM o GROUP BY page_id", rows=12))
 def paste_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = _tall(spark, sf_dir)
-    return _sums(overlay.paste(px, regions.crop(px, D), (D.x1 + 15, D.y1 + 2), (D.width, D.height)))
+    px = _tall(spark, sf_dir, 12)
+    return _with_errors(_sums(overlay.paste(px, regions.crop(px, D), (D.x1 + 15, D.y1 + 2), (D.width, D.height))), spark, sf_dir, 12)
 
 
 # --- fills
@@ -351,14 +409,14 @@ sm AS (SELECT rc.page_id, j, {", ".join(f"sum({c}) / 11.0::DOUBLE AS {c}" for c
 fl AS (SELECT q.page_id, q.y, q.x, {", ".join(f"CASE WHEN sm.j IS NULL THEN q.{c} ELSE {BYTE.format(f'sm.{c}')} END AS {c}" for c in CHANNELS)} FROM px q LEFT JOIN sm ON sm.page_id = q.page_id AND sm.j = q.y - {D.y1} AND q.x >= {D.x1} AND q.x < {D.x2})"""
 
 
-@query(_with(_FILL + f" SELECT {SUMS} FROM fl GROUP BY page_id", tall=True))
+@query(_with(_FILL + f" SELECT {SUMS} FROM fl GROUP BY page_id", rows=10))
 def fill_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sums(fill.interpolate(_tall(spark, sf_dir), [D], (80, PAGE_ROWS), sigma=0))
+    return _with_errors(_sums(fill.interpolate(_tall(spark, sf_dir, 10), [D], (80, 10), sigma=0)), spark, sf_dir, 10)
 
 
-@query(_with(_FILL + f", m AS ({_MOVED}), o AS ({_OVER.format('fl')}) SELECT {SUMS} FROM o GROUP BY page_id", tall=True))
+@query(_with(_FILL + f", m AS ({_MOVED}), o AS ({_OVER.format('fl')}) SELECT {SUMS} FROM o GROUP BY page_id", rows=11))
 def compound_move_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sums(kernels.move_and_clear(_tall(spark, sf_dir), MOVE, [D], (80, PAGE_ROWS), sigma=0))
+    return _with_errors(_sums(kernels.move_and_clear(_tall(spark, sf_dir, 11), MOVE, [D], (80, 11), sigma=0)), spark, sf_dir, 11)
 
 
 _VEC = "WITH v AS (SELECT CAST(vec_id AS BIGINT) AS y, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings), gr AS (SELECT y, x, CAST(floor(greatest(0, least(255, (CAST(v AS DOUBLE) + 1) * 127.5))) AS INTEGER) AS gray FROM v)"
@@ -493,25 +551,132 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+# --- new text: the capital letters of a box are its strokes
+
+
+def _strokes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    px = _before(spark, sf_dir)
+    return px.drop("code"), px.where(F.col("code").between(65, 90) & regions.inside(D)).select("page_id", "y", "x", (155 + F.col("code")).alias("m"))
+
+
+_MASK = f", mk AS (SELECT page_id, y, x, 155 + code AS m FROM px WHERE code BETWEEN 65 AND 90 AND {_in(D)})"
+_NEAR = "(SELECT a.v AS dy, b.v AS dx FROM range(-1, 2) a(v), range(-1, 2) b(v)) o"
+
+
+@query(_with(_MASK + f", g AS (SELECT page_id, y + dy AS y, x + dx AS x, max(m) AS most, coalesce(max(m) FILTER (dy = 0 AND dx = 0), 0) AS m FROM mk, {_NEAR} GROUP BY ALL) SELECT page_id, count(*) AS n, round(sum(m * 0.75::DOUBLE + most * 0.25::DOUBLE), 3) AS total, CAST(sum(y * 80 + x + 1) AS BIGINT) AS places FROM g GROUP BY page_id"))
+def text_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = render.text_mask(_strokes(spark, sf_dir)[1], 0.25)
+    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.round(F.sum("m"), 3).alias("total"), F.sum((F.col("y") * 80 + F.col("x") + 1).cast("long")).alias("places"))
+
+
+def _blur_sql(sigma: float) -> str:
+    values = ", ".join(f"({d}, {w!r}::DOUBLE)" for d, w in render.weights(sigma))
+    return f", bw AS (SELECT * FROM (VALUES {values}) t(d, w)), bl AS (SELECT mk.page_id, mk.y + u.d AS y, mk.x + v.d AS x, sum(m / 255.0::DOUBLE * u.w * v.w) AS a FROM mk, bw u, bw v GROUP BY ALL)"
+
+
+_INK = (60, 62, 70)
+
+
+@query(_with(_MASK + _blur_sql(0.6) + ", o AS (SELECT q.page_id, q.y, q.x, " + ", ".join(f"CAST(trunc(greatest(0, least(255, round(q.{c} * (1 - coalesce(a, 0) * 252 / 255.0::DOUBLE) + {v}.0::DOUBLE * (coalesce(a, 0) * 252 / 255.0::DOUBLE), 6)))) AS INTEGER) AS {c}" for c, v in zip(CHANNELS, _INK, strict=True)) + f" FROM px q LEFT JOIN bl ON bl.page_id = q.page_id AND bl.y = q.y AND bl.x = q.x) SELECT {SUMS} FROM o GROUP BY page_id"))
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sums(render.clean_text(*_strokes(spark, sf_dir), _INK, blur=0.6))
+
+
+@query()
+def fused_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sums(render.fused_text(*_strokes(spark, sf_dir), _INK, shoulder=0.25))
+
+
+@query()
+def halo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sums(render.halo(*_strokes(spark, sf_dir), (150, 160, 180)))
+
+
+# --- names, sizes, colours and input
+
+
+@query("SELECT doc_id, [doc_id * 100 + 2, doc_id * 100 + 13, doc_id * 100 + 25, doc_id * 100 + 17] AS seeds FROM documents")
+def noise_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", derived_seeds(F.col("doc_id")).alias("seeds"))
+
+
+@query("SELECT doc_id, abs(length(text) % 256 - 40) + abs(doc_id % 256 - 50) + abs(doc_id % 7 * 30 - 60) AS distance, abs(length(text) * 0.01::DOUBLE - 5.0::DOUBLE) <= 0.02 AND abs(doc_id * 0.01::DOUBLE - 1.0::DOUBLE) <= 0.02 AS close, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'explicit' END, CASE WHEN doc_id % 2 = 0 THEN 'sampled' END, 'default') AS choice, coalesce(CASE WHEN doc_id % 4 = 0 THEN 0.5::DOUBLE END, CASE doc_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1.5::DOUBLE END) AS strength FROM documents")
+def colour_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir).withColumn("n", F.length("text").cast("long"))
+    of = lambda a, b, c: (a, b, c)
+    distance = colour_distance(of(F.col("n") % 256, F.col("doc_id") % 256, F.col("doc_id") % 7 * 30), of(F.lit(40), F.lit(50), F.lit(60)))
+    close = close_size(F.col("n") * 0.01, F.col("doc_id") * 0.01, F.lit(5.0), F.lit(1.0))
+    choice = first_colour(F.when(F.col("doc_id") % 3 == 0, "explicit"), F.when(F.col("doc_id") % 2 == 0, "sampled"), F.lit("default"))
+    style = F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string"))
+    strength = style_strength(style, F.when(F.col("doc_id") % 4 == 0, F.lit(0.5)), {"s0": 1.0, "s1": 1.5})
+    return d.select("doc_id", distance.alias("distance"), close.alias("close"), choice.alias("choice"), strength.alias("strength"))
+
+
+#: What each parser makes of an input, or "refused"; spelled out for the SQL.
+_INPUTS = [
+    ("box", "1,2,3,4", "1,2,3,4"), ("box", "1,2,3", "refused"), ("box", "3,2,1,4", "refused"), ("box", "-1,0,5,5", "refused"), ("box", "a,b,c,d", "refused"), ("box in 8 x 20", "0,0,9,9", "refused"), ("box in 8 x 20", "0,0,8,20", "0,0,8,20"),
+    ("boxes", "0,0,2,2; 1,1,3,3", "0,0,2,2;1,1,3,3"), ("boxes", "", ""), ("point", "7,-3", "7,-3"), ("point", "7", "refused"), ("interval", "3,5", "3,5"), ("interval", "5,3", "refused"), ("interval", "5,5", "refused"),
+    ("reference", "a=0,0,1,1", "a:0,0,1,1"), ("reference", "=0,0,1,1", "refused"), ("reference", "a0,0,1,1", "refused"), ("reference in 4 x 4", "a=0,0,5,1", "refused"), ("colour", "1,2,3", "1,2,3"), ("colour", "1,2,300", "refused"),
+    ("strengths", "1, ,0.5", "1.0,0.5"), ("strengths", "nan", "refused"), ("strengths", "-1", "refused"), ("filter", " song,, noto ", "song,noto"), ("filter", "", ""), ("candidates", "a=b,,c=d", "a:b,c:d"), ("candidates", "ab", "refused"),
+    ("finite", "inf", "refused"), ("finite", "0.25", "0.25"), ("dpi of 600 x 300", "72", "600.0,300.0"), ("dpi of 600 x 300", "0", "refused"), ("page size", "595.2,841.68", "595.2,841.68"), ("page size", "0,5", "refused"), ("page size", "inf,5", "refused"),
+    ("move by 3 on 80 x 20", "5,45,6,11", "5,8,45,11"), ("move by 3 on 80 x 20", "5,81,6,11", "refused"), ("move by 3 on 80 x 20", "5,45,2,11", "refused"), ("move by 3 on 80 x 20", "5,45,11,6", "refused"), ("clip to 10 x 10", "-5,-5,4,4", "0,0,4,4"), ("clip to 10 x 10", "12,0,14,4", "nothing"), ("crop of abc at 20", "100,100", "40,50,360,198"),
+]
+
+
+def _parsed(kind: str, text: str) -> str:
+    box = lambda b: f"{b.x1},{b.y1},{b.x2},{b.y2}"
+    joined = lambda xs: ",".join(map(str, xs))
+    numbers = lambda: [float(p) for p in text.split(",")]
+    ints = lambda: [int(p) for p in text.split(",")]
+    read = {
+        "box": lambda: box(model.parse_box(text)),
+        "box in 8 x 20": lambda: box(model.parse_box(text, size=(8, 20))),
+        "boxes": lambda: ";".join(map(box, model.parse_boxes(text))),
+        "point": lambda: joined(model.parse_point(text)),
+        "interval": lambda: joined(model.parse_interval(text)),
+        "reference": lambda: "{}:{}".format((found := model.parse_reference(text))[0], box(found[1])),
+        "reference in 4 x 4": lambda: box(model.parse_reference(text, (4, 4))[1]),
+        "colour": lambda: joined(model.parse_colour(text)),
+        "strengths": lambda: joined(model.parse_strengths(text)),
+        "filter": lambda: joined(model.parse_filter(text)),
+        "candidates": lambda: ",".join(f"{a}:{b}" for a, b in model.parse_candidates(text)),
+        "finite": lambda: str(model.finite(float(text), "value")),
+        "dpi of 600 x 300": lambda: joined(model.page_points(600, 300, float(text))),
+        "page size": lambda: joined(model.check_page_size(*numbers())),
+        "move by 3 on 80 x 20": lambda: box(Move((ints()[0], ints()[1]), (ints()[2], ints()[3]), 3).checked((80, 20)).cleanup),
+        "clip to 10 x 10": lambda: box(found) if (found := Box(*ints()).clipped((10, 10))) else "nothing",
+        "crop of abc at 20": lambda: box(model.text_crop_box(tuple(ints()), (400, 300), "abc", 20)),
+    }
+    try:
+        return read[kind]()
+    except model.InvalidInput:
+        return "refused"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("({}, {}, {})".format(*(f"'{v}'" for v in row)) for row in _INPUTS) + ") t(kind, input, result)")
+def validators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k, t, _parsed(k, t)) for k, t, _ in _INPUTS], "kind string, input string, result string")
+
+
 # --- grouped maps: SQL has no counterpart, the tests hold them to invariants
 
 
 @query()
 def inpaint_telea(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = _tall(spark, sf_dir).drop("code")
-    return _sums(kernels.remove(px, [D], (80, PAGE_ROWS), threshold=90))
+    px = _tall(spark, sf_dir, 10).drop("code")
+    return _with_errors(_sums(kernels.remove(px, [D], (80, 10), threshold=90)), spark, sf_dir, 10)
 
 
 @query()
 def resize_height(spark: SparkSession, sf_dir: str) -> DataFrame:
-    glyphs = _gray(regions.crop(_tall(spark, sf_dir), D)).withColumn("gray", F.col("gray").cast("double"))
+    glyphs = _gray(regions.crop(_tall(spark, sf_dir, 10), D)).withColumn("gray", F.col("gray").cast("double"))
     found = kernels.normalise_height(glyphs)
-    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.round(F.avg("gray"), 3).alias("mean"))
+    return _with_errors(found.groupBy("page_id").agg(F.count("*").alias("n"), F.round(F.avg("gray"), 3).alias("mean")), spark, sf_dir, 10)
 
 
 @query()
 def replace_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = _tall(spark, sf_dir).drop("code")
-    return _sums(kernels.replace_with_donor(px, px, Box(0, 0, 20, 6), [Box(30, 4, 50, 10)], (30, 4), A, (80, PAGE_ROWS), mode="offset"))
+    px = _tall(spark, sf_dir, 12).drop("code")
+    return _with_errors(_sums(kernels.replace_with_donor(px, px, Box(0, 0, 20, 6), [Box(30, 4, 50, 10)], (30, 4), A, (80, 12), mode="offset")), spark, sf_dir, 12)
 
 

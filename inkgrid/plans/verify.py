@@ -54,24 +54,41 @@ def tolerance_columns() -> list[Column]:
     return [F.max(largest_difference()).alias("max_diff"), (F.sum(total) / (3 * F.count("*"))).alias("mae")]
 
 
+def misfit() -> Column:
+    """Pixels that one raster of a page has alone: the page has two sizes."""
+    return F.count_if(alone()).alias("misfit")
+
+
+def refused(found: DataFrame) -> DataFrame:
+    """Metrics of pages of two sizes are null: they can't be compared."""
+    keep = ("page_id", "misfit")
+    return found.select(*[F.col(c) if c in keep else F.when(F.col("misfit") == 0, F.col(c)).alias(c) for c in found.columns])
+
+
 def diff_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Changed pixels of each page and their box, null without any."""
-    return paired(before, after).groupBy("page_id").agg(*diff_columns())
+    """Changed pixels of each page and their box, null without any and for ``misfit``."""
+    return refused(paired(before, after).groupBy("page_id").agg(*diff_columns(), misfit()))
 
 
 def outside_allowed(before: DataFrame, after: DataFrame, boxes: list[Box]) -> DataFrame:
-    return paired(before, after).groupBy("page_id").agg(F.count_if(changed() & ~inside_any(boxes)).alias("outside"))
+    return refused(paired(before, after).groupBy("page_id").agg(F.count_if(changed() & ~inside_any(boxes)).alias("outside"), misfit()))
 
 
 def preserved_changes(before: DataFrame, after: DataFrame, box: Box) -> DataFrame:
-    """Changes in a box that had to stay; a page that the box misses has no row."""
-    return paired(before, after).where(inside(box)).groupBy("page_id").agg(F.count_if(changed()).alias("preserved"))
+    """Changes in a box that had to stay; a page that the box misses has none covered."""
+    found = paired(before, after).groupBy("page_id").agg(F.count_if(inside(box) & changed()).alias("preserved"), F.count_if(inside(box)).alias("covered"), misfit())
+    return refused(found)
 
 
 def tolerance_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    found = paired(before, after).groupBy("page_id").agg(F.count_if(changed()).alias("changed"), *tolerance_columns())
+    found = refused(paired(before, after).groupBy("page_id").agg(F.count_if(changed()).alias("changed"), *tolerance_columns(), misfit()))
     ok = (F.col("changed") <= MAX_CHANGED) & (F.col("max_diff") <= MAX_LEVEL) & (F.col("mae") <= MAX_MAE)
-    return found.withColumn("within", ok)
+    return found.withColumn("within", F.coalesce(ok, F.lit(False)))
+
+
+def report(results: DataFrame) -> DataFrame:
+    """One row over the cases of a batch: how many, how many with errors, the exit code."""
+    return results.agg(F.count("*").alias("cases"), F.count_if(F.size("errors") > 0).alias("failed")).withColumn("exit_code", (F.col("failed") > 0).cast("int"))
 
 
 def audit(before: DataFrame, after: DataFrame, allowed: list[Box], dark: Box | None = None, preserve: Box | None = None, dark_threshold: int = 180) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from inkgrid.functions.colour import feather, normal
 from inkgrid.functions.names import derived_seeds, name_tokens, style_strength
 from inkgrid.model import BOX, Box, InvalidInput, Move, page_points, parse_box, parse_boxes, parse_filter, parse_interval, parse_references, parse_strengths, text_crop_box
-from inkgrid.operators import fill, kernels, match, overlay, regions, stats
+from inkgrid.operators import fill, kernels, match, overlay, regions, render, stats
 from inkgrid.plans import verify
 from inkgrid.sources import fonts, rasters
 from inkgrid.streaming import audit
@@ -268,3 +268,93 @@ def test_empty_tables(spark):
     assert fill.interpolate(none, [Box(0, 0, 5, 5)], (9, 9)).count() == 0
     assert kernels.remove(none, [Box(0, 0, 5, 5)], (9, 9)).count() == 0
     assert BOX.fieldNames() == ["x1", "y1", "x2", "y2"]
+
+
+def test_pages_of_two_sizes_are_refused(spark):
+    image = np.full((8, 6), 200)
+    whole, half = page(spark, image), page(spark, image[:4])
+    for found in (verify.diff_report(whole, half), verify.outside_allowed(whole, half, []), verify.preserved_changes(whole, half, Box(0, 0, 6, 8)), verify.tolerance_diff(whole, half)):
+        row = found.first().asDict()
+        assert row.pop("misfit") == 24 and row.pop("page_id") == 1
+        assert row.pop("within", False) is False and set(row.values()) == {None}
+    assert verify.judged(verify.audit(whole, half, [])).first()["broken"] == "size"
+    assert verify.preserved_changes(whole, whole, Box(90, 90, 99, 99)).first()["covered"] == 0
+
+
+def test_ellipses():
+    assert regions.ellipse(1) == [(0, 0)]
+    assert sorted(regions.ellipse(3)) == [(-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)]
+    assert [sum(dy == k for dy, _ in regions.ellipse(5)) for k in range(-2, 3)] == [1, 5, 5, 5, 1]
+
+
+def test_exact_medians_of_levels(spark):
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 256, (11, 13, 3))
+    found = stats.dark_median(page(spark, image)).first()
+    dark = image[(image * [0.299, 0.587, 0.114]).sum(2) < 180]
+    assert [found[f"{c}_med"] for c in "rgb"] == np.median(dark, 0).tolist()
+    assert stats.dark_median(page(spark, np.full((3, 3), 250))).first()["r_med"] is None
+
+
+def test_ink_is_cut_out(spark):
+    gray = page(spark, band()).select("page_id", "y", "x", F.col("r").alias("gray"))
+    assert stats.ink_crop(gray).agg(F.count("*"), F.max("y"), F.max("x")).first() == (150, 4, 29)
+    assert stats.rendered_fingerprint(gray).first()["density"] == 1
+    assert stats.ink_crop(gray.withColumn("gray", F.lit(250))).count() == 0
+
+
+def test_a_glyph_slides_over_a_narrower_target(spark):
+    rng = np.random.default_rng(7)
+    target = rng.random((6, 5))
+    wide = np.concatenate([rng.random((6, 3)), target, rng.random((6, 2))], 1)
+    narrow = target[:, 1:4]
+    cells = lambda a, *keys: [(*keys, y, x, float(a[y, x])) for y in range(a.shape[0]) for x in range(a.shape[1])]
+    t = spark.createDataFrame(cells(target, "a"), "char string, y int, x int, gray double")
+    g = spark.createDataFrame(cells(wide, 0, "wide", "a", 9) + cells(narrow, 1, "narrow", "a", 9), "font_ord int, font string, char string, size int, y int, x int, gray double")
+    got = {r["font"]: r["score"] for r in match.shifted_ncc(t, g).collect()}
+    best = 0.0
+    for dy in range(-2, 3):
+        for dx in range(-1, 4):
+            moved = np.zeros((6, 5))
+            for y in range(6):
+                for x in range(5):
+                    if 0 <= y - dy < 6 and 0 <= x - dx < 3:
+                        moved[y, x] = narrow[y - dy, x - dx]
+            best = max(best, np.corrcoef(target.ravel(), moved.ravel())[0, 1])
+    assert got["wide"] == pytest.approx(1) and got["narrow"] == pytest.approx(best)
+
+
+def test_new_text(spark):
+    image = np.full((40, 60), 240)
+    px = page(spark, image)
+    strokes = [(1, y, x, 255) for y in range(15, 25) for x in range(20, 24)] + [(1, y, 40, 255) for y in range(15, 25)]
+    mask = spark.createDataFrame(strokes, "page_id long, y int, x int, m int")
+    at = np.zeros(image.shape, bool)
+    for _, y, x, _ in strokes:
+        at[y, x] = True
+    clean = array(render.clean_text(px, mask, (30, 40, 50)), image.shape)
+    assert clean[20, 21].tolist() == [32, 42, 52] and (clean[~at] >= 235).all()
+    one, two = (array(render.fused_text(px.repartition(n), mask, (30, 40, 50), seed=5), image.shape) for n in (1, 3))
+    assert (one == two).all() and one[at].mean() < 120 < one[~at].mean()
+    far = np.ones(image.shape, bool)
+    far[7:33, 12:49] = False
+    assert (one[far] == 240).all()
+    other = array(render.fused_text(px, mask, (30, 40, 50), seed=6), image.shape)
+    rough = array(render.fused_text(px, mask, (30, 40, 50), seed=5, strength=3.0), image.shape)
+    thick = array(render.fused_text(px, mask, (30, 40, 50), seed=5, shoulder=0.25), image.shape)
+    assert (other != one).any() and (rough != one).any() and thick.sum() < one.sum()
+    tinted = array(render.halo(px, mask, (150, 160, 180), seed=5), image.shape)
+    ring = (tinted != 240).any(2)
+    assert ring.any() and (tinted[far] == 240).all() and (240 - tinted).max() <= 0.2 * 110
+    assert (240 - tinted[:, :, 0])[at].mean() < (240 - tinted[:, :, 0])[ring & ~at].mean() + 1
+    both = array(render.rendered(px, mask, "all", None, (30, 40, 50), seed=5), image.shape)
+    assert both.sum() < one.sum()
+    flat = render.smooth_noise(px.where("y = 0 and x = 0"), 1, 1.0, 5.0, "n").first()["n"]
+    assert flat == 0
+    with pytest.raises(ValueError):
+        render.rendered(px, mask, "other", None)
+
+
+def test_report_of_a_batch(spark):
+    found = spark.createDataFrame([("a", []), ("b", ["size"])], "name string, errors array<string>")
+    assert verify.report(found).first() == (2, 1, 1) and verify.report(found.where("name = 'a'")).first()["exit_code"] == 0
