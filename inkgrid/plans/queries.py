@@ -318,9 +318,9 @@ def align_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.align_delta(stats.boxes_centre(gray, [first, second]), stats.ink_centre(gray))
 
 
-@query(_with(f", k AS (SELECT page_id, x, y, {GRAY} AS gray FROM px), bx AS (SELECT page_id, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM k WHERE gray < 60 GROUP BY page_id), ct AS (SELECT page_id, y - y1 AS y, x - x1 AS x, gray FROM k JOIN bx USING (page_id) WHERE x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2), d AS (SELECT page_id, x, y, CAST(gray < 60 AS INTEGER) AS dark FROM ct), ro AS (SELECT page_id, max(n) AS rw, sum(n) AS dk, sum(w) AS area FROM (SELECT page_id, y, sum(dark) AS n, count(*) AS w FROM d GROUP BY ALL) GROUP BY page_id), co AS (SELECT page_id, max(n) AS cl FROM (SELECT page_id, x, sum(dark) AS n FROM d GROUP BY ALL) GROUP BY page_id) SELECT page_id, CAST(dk AS DOUBLE) / CAST(area AS DOUBLE) AS density, CASE WHEN cl > 0 THEN CAST(rw AS DOUBLE) / CAST(cl AS DOUBLE) ELSE 0 END AS ratio FROM ro JOIN co USING (page_id)"))
+@query(_with(f", k AS (SELECT page_id, x, y, {GRAY} AS gray FROM px), bx AS (SELECT page_id, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM k WHERE gray < 120 GROUP BY page_id), ct AS (SELECT page_id, y - y1 AS y, x - x1 AS x, gray FROM k JOIN bx USING (page_id) WHERE x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2), d AS (SELECT page_id, x, y, CAST(gray < 120 AS INTEGER) AS dark FROM ct), ro AS (SELECT page_id, max(n) AS rw, sum(n) AS dk, sum(w) AS area FROM (SELECT page_id, y, sum(dark) AS n, count(*) AS w FROM d GROUP BY ALL) GROUP BY page_id), co AS (SELECT page_id, max(n) AS cl FROM (SELECT page_id, x, sum(dark) AS n FROM d GROUP BY ALL) GROUP BY page_id) SELECT page_id, CAST(dk AS DOUBLE) / CAST(area AS DOUBLE) AS density, CASE WHEN cl > 0 THEN CAST(rw AS DOUBLE) / CAST(cl AS DOUBLE) ELSE 0 END AS ratio FROM ro JOIN co USING (page_id)"))
 def rendered_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.rendered_fingerprint(_gray(_before(spark, sf_dir)), 60)
+    return stats.rendered_fingerprint(_gray(_before(spark, sf_dir)), 120)
 
 
 @query(_with(f", d AS (SELECT page_id, avg(CAST({GRAY} < 120 AS INTEGER)) AS f FROM px GROUP BY page_id), m AS (SELECT avg(f) FILTER (page_id % 2 = 0) / avg(f) FILTER (page_id % 2 = 1) AS q FROM d) SELECT round(q, 6) AS ratio, CASE WHEN q > 1.5 THEN 'too heavy' WHEN q < 0.67 THEN 'too light' ELSE 'plausible' END AS verdict FROM m"))
