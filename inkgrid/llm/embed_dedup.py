@@ -4,7 +4,7 @@ Vectors go to their nearest two of a sample's k-means centres, so shards overlap
 each shard every vector gets edges to near vectors, robustly pruned: an edge goes if a
 kept neighbour is closer to its end by the factor ``ALPHA``.  The adjacency lists of all
 shards are united.  Every vector is then searched for in the graph of its nearest shard,
-vectors at the far ends of edges included: greedily from the shard's medoid and from its
+vectors at the far ends of edges included that can be in range: greedily from the shard's medoid and from its
 own node, then expanding everything within a range around the threshold.  What is found
 is verified by cosine in double precision.
 
@@ -17,6 +17,7 @@ against all; where the recall is too low, a wider search takes the place of the
 from __future__ import annotations
 
 import heapq
+import math
 import warnings
 from collections.abc import Iterator
 
@@ -143,14 +144,26 @@ def range_search(x: np.ndarray, edges: list[np.ndarray], query: int, start: int,
     return np.unique(found)
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    x, ids = _unit(pdf["vector"]), pdf["id"].to_numpy()
-    src, dst = [], []
-    for rows in _cut(x, np.arange(len(x)), 4 * SHARD):
-        a, b = pruned_edges(x[rows])
-        src += [ids[rows[a]], ids[rows[b]]]
-        dst += [ids[rows[b]], ids[rows[a]]]
-    return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+def _build(least: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids = _unit(pdf["vector"]), pdf["id"].to_numpy()
+        src, dst, near = [], [], []
+        for rows in _cut(x, np.arange(len(x)), 4 * SHARD):
+            a, b = pruned_edges(x[rows])
+            a, b = rows[a], rows[b]
+            src += [ids[a], ids[b]]
+            dst += [ids[b], ids[a]]
+            near += [np.einsum("ij,ij->i", x[a], x[b]) >= least] * 2
+        return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "near": np.concatenate(near)})
+
+    return run
+
+
+def _least_edge(threshold: float, slack: float) -> float:
+    """The least cosine of an edge that leads from a node within the slack of a vector to
+    one within the threshold of it: the angles add up."""
+    angle = math.acos(max(-1.0, min(1.0, threshold - slack))) + math.acos(max(-1.0, min(1.0, threshold)))
+    return math.cos(min(math.pi, angle)) - 1e-9
 
 
 def _search(threshold: float, beam: int, slack: float):
@@ -158,7 +171,7 @@ def _search(threshold: float, beam: int, slack: float):
         none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
         if not len(members):
             return none
-        both = pd.concat([members, outside[~outside["id"].isin(members["id"])]], ignore_index=True)
+        both = pd.concat([members, outside], ignore_index=True)
         x, ids = _unit(both["vector"]), both["id"].to_numpy()
         copies, home = both["n"].to_numpy(), both["home"].fillna(False).to_numpy(bool)
         at = {v: i for i, v in enumerate(ids.tolist())}
@@ -221,12 +234,16 @@ def _found(nodes: DataFrame, fitted: dict[int, np.ndarray], threshold: float, wi
     schema = "id long, vector array<double>, n long, shards array<long>"
     shards = map_arrow(nodes.select("id", "vector", "n"), _assign(fitted, OVERLAP << wider), schema)
     placed = materialize(shards.select("id", "vector", "n", F.posexplode("shards").alias("turn", "shard")))
-    edges = placed.groupBy("shard").applyInPandas(_build, "src long, dst long")
-    lists = materialize(edges.groupBy("src").agg(F.collect_set("dst").alias("edges")))
+    slack = SLACK * (1 + wider)
+    edges = placed.groupBy("shard").applyInPandas(_build(_least_edge(threshold, slack)), "src long, dst long, near boolean")
+    lists = materialize(edges.groupBy("src").agg(F.collect_set("dst").alias("edges"), F.collect_set(F.when(F.col("near"), F.col("dst"))).alias("close")))
     members = placed.join(lists, placed["id"] == lists["src"], "left").select("shard", "id", "vector", "n", (F.col("turn") == 0).alias("home"), "edges")
-    ends = members.select("shard", F.explode("edges").alias("id")).distinct().join(placed.where("turn = 0").select("id", "vector", "n"), "id")
+    # ends elsewhere have no edges in a shard's search: only those that can be found there go
+    tips = placed.select("shard", "id").join(lists.select(F.col("src").alias("id"), "close"), "id").select("shard", F.explode("close").alias("id")).distinct()
+    tips = tips.join(placed.select("shard", "id"), ["shard", "id"], "left_anti")
+    ends = tips.join(placed.where("turn = 0").select("id", "vector", "n"), "id")
     ends = ends.select(F.col("shard").alias("beside"), "id", "vector", "n", F.lit(False).alias("home"), F.lit(None).cast("array<long>").alias("edges"))
-    searched = members.groupBy("shard").cogroup(ends.groupBy("beside")).applyInPandas(_search(threshold, BEAM << wider, SLACK * (1 + wider)), "a long, b long, n long")
+    searched = members.groupBy("shard").cogroup(ends.groupBy("beside")).applyInPandas(_search(threshold, BEAM << wider, slack), "a long, b long, n long")
     return materialize(searched)
 
 
