@@ -18,6 +18,7 @@ import heapq
 import itertools
 import json
 import mmap
+import re
 import tempfile
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -33,6 +34,9 @@ from .common import col, map_arrow, materialize, slices
 
 #: Splits a text into words: fixed by the vocabulary's training.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same for texts of ASCII alone, for the standard library's faster matcher; its own
+#: ``\s`` takes more characters, so white space is spelled out.
+ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: Most words of the lexicon; others are merged when met, so it bounds memory, not results.
 LEXICON_WORDS = 100_000
 #: Longer words are merged with a heap in place of steps over all words at once.
@@ -41,6 +45,10 @@ LONG_WORD = 48
 COUNTS_HELD = 300_000
 
 
+def split_words(text: str) -> list[str]:
+    return (ASCII_WORD if text.isascii() else WORD).findall(text)
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in vocabulary files: printable ones for
     themselves, the others for code points from 256 on."""
@@ -283,13 +291,13 @@ class Coder:
     def words(self, text: str) -> list[str]:
         """Words of a text; special tokens are words of their own."""
         if not self.split or not self.split.search(text):
-            return WORD.findall(text)
+            return split_words(text)
         out, at = [], 0
         for m in self.split.finditer(text):
-            out += WORD.findall(text[at : m.start()])
+            out += split_words(text[at : m.start()])
             out.append(m[0])
             at = m.end()
-        return out + WORD.findall(text[at:])
+        return out + split_words(text[at:])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's ids end."""
@@ -299,28 +307,28 @@ class Coder:
             words = self.words(text)
             flat.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
             ends.append(len(words))
-        coded = self._of_words(list(number))
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        pool, begin, size = self._of_words(list(number))
         which = np.concatenate(flat) if flat else np.empty(0, np.int64)
-        ids, at = gather(np.concatenate([*coded, np.empty(0, np.int64)]), np.cumsum(size) - size, size, which)
+        ids, at = gather(pool, begin, size, which)
         return ids, np.concatenate([[0], at])[np.cumsum(ends)] if ends else np.empty(0, np.int64)
 
-    def _of_words(self, words: list[str]) -> list[np.ndarray]:
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words: a pool of ids, and where those of each word begin and how many they are."""
         raw = [w.encode() for w in words]
         at = self.lexicon.index(raw)
-        out: list = [None] * len(words)
-        unseen = []
-        for i, (w, k) in enumerate(zip(words, at.tolist(), strict=True)):
-            if w in self.v.special:
-                out[i] = np.array([self.v.special[w]])
-            elif k >= 0:
-                b = self.lexicon.begin[k]
-                out[i] = self.lexicon.ids[b : b + self.lexicon.size[k]]
-            else:
-                unseen.append(i)
-        for i, ids in zip(unseen, self.v.merge([raw[i] for i in unseen]), strict=True):
-            out[i] = ids
-        return out
+        for i in [i for i, w in enumerate(words) if w in self.v.special]:
+            at[i] = -1
+        begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        seen, unseen = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        begin[seen], size[seen] = self.lexicon.begin[at[seen]], self.lexicon.size[at[seen]]
+        rest = unseen.tolist()
+        merged = self.v.merge([raw[i] for i in rest])
+        for k, i in enumerate(rest):
+            if words[i] in self.v.special:
+                merged[k] = np.array([self.v.special[words[i]]])
+        size[unseen] = np.fromiter(map(len, merged), np.int64, len(merged))
+        begin[unseen] = len(self.lexicon.ids) + np.cumsum(size[unseen]) - size[unseen]
+        return np.concatenate([self.lexicon.ids, *merged]), begin, size
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids, and where each id's bytes end."""
@@ -352,7 +360,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         held: defaultdict = defaultdict(int)
         for batch in batches:
             for text in batch["text"]:
-                for w in WORD.findall(text.as_py() or ""):
+                for w in split_words(text.as_py() or ""):
                     held[w] += 1
                 if len(held) > COUNTS_HELD:
                     yield {"word": list(held), "n": list(held.values())}
