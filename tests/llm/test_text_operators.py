@@ -114,6 +114,12 @@ def coder(_held=[]):  # noqa: B006
     return _held[0]
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from([chr(i) for i in range(128)] + list(" \t\n\x1c\x1f'strevmld") * 4)))
+def test_ascii_texts_split_alike(text):
+    assert bpe.split_words(text) == bpe.WORD.findall(text)
+
+
 def test_lexicon_shares_suffixes_and_long_words_merge():
     v = bpe.Vocabulary(PATH)
     words = sorted(f"{a}{b}ing".encode() for a in "abcdefg" for b in "xyz")
