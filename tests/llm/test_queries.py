@@ -153,3 +153,38 @@ def test_near_copies_in_one_large_group(spark):
     rows += [(1000 + i, " ".join(f"o{rng.randrange(9**9)}" for _ in range(80))) for i in range(20)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.without_near_copies(d).collect()) == [0, *range(1000, 1020)]
+
+
+def test_near_copies_against_brute_force(spark):
+    """Pairs at the threshold and a little above: whoever is as similar goes, others stay."""
+    rng = random.Random(33)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    common, rows = say(40), []
+    for k in range(160):
+        base = say(rng.randrange(60, 200)) + (common if k % 3 == 0 else [])
+        copy = list(base)
+        shingles = len(base) - 4
+        for i in rng.sample(range(0, len(base), 9), rng.choice([1, 2, 3, 4])):
+            copy[i] = f"e{rng.randrange(10**6)}"
+        if k % 2:  # one run of new words, just as long as may be, or one longer
+            cut = int(shingles * 0.2 / 1.8) - 4 + k // 2 % 2
+            copy = list(base)
+            copy[10 : 10 + cut] = [f"e{rng.randrange(10**6)}" for _ in range(cut)]
+        rows += [" ".join(base), " ".join(copy)]
+    rows += ["a b c", "A  b\nc", "a b d", " ".join(common), "", " "]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in rows)]
+    near = [(i, j) for j in range(len(rows)) for i in range(j) if (not sets[i] and not sets[j]) or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = list(range(len(rows)))
+    for _ in near:
+        before = list(want)
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+        if want == before:
+            break
+    want = dict(enumerate(want))
+    groups = defaultdict(set)
+    for r in simhash.near_copies(d).collect():
+        groups[r["root"]].add(r["id"])
+    assert {i: min(g) for g in groups.values() for i in g} == want
+    assert len(near) > 80 and {r["doc_id"] for r in simhash.without_near_copies(d).collect()} == set(want.values())
