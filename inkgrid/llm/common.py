@@ -18,6 +18,9 @@ from pyspark.sql.window import Window
 
 #: Bytes of text that a Python worker expands at a time.
 SLICE_BYTES = 2 << 20
+#: Whether Spark frees an execution's shuffle files at its end, not when the driver happens
+#: to collect garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Takes the place of a null id.
 NO_ID = -(2**63)
 #: Different texts with one 64-bit hash, of which the driver may hear; two are expected
@@ -53,11 +56,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
     This cuts the lineage: an executor that is lost later costs no recomputation of
-    what stands above.  The files go when the driver's Python ends.
+    what stands above, and the shuffles behind the table are freed as soon as it is
+    written.  The files go when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/inkgrid/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,7 +25,12 @@ any rare step from it.
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
+import shutil
+import tempfile
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -33,6 +38,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +52,14 @@ STRETCHES = (3, 10, 30)
 #: Labelled rows that the logistic function is fitted on, if there are more; rows beyond
 #: twice this number, as repeated ids can bring them, are left out in the order of a hash.
 FIT_ROWS = 20_000
-#: Most labels, and most prefixes with their ratios (16 bytes each, 40 for the fit), that are
-#: broadcast; more are joined by a shuffle.
+#: Most labels that are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
-BROADCAST_NODES = 2_000_000
+#: Most prefixes with their ratios that are broadcast; most that go to the executors as a
+#: file (40 bytes each) that workers map into memory; more are joined by a shuffle.
+BROADCAST_NODES = 200_000
+MAPPED_NODES = 64_000_000
+#: Prefixes that the driver holds at a time while it writes that file.
+PIECE = 250_000
 COUNTS_HELD = 200_000
 #: Folds that may be learnt from, of the remainders of a row's crc32 by four.
 FOLDS = (0, 1, 3)
@@ -221,6 +231,9 @@ class Model:
         order = np.argsort(node)
         self.node, self.r, self.b = node[order], r[order].astype(np.float64), b[order].astype(np.float64)
 
+    def loaded(self) -> Model:
+        return self
+
     def ratio(self, found: list[str]) -> np.ndarray:
         """Log-likelihood of each word as toxic less that as ordinary."""
         out = np.zeros(len(found))
@@ -248,6 +261,55 @@ class Model:
         return features(rows, self.ratio(list(number)))
 
 
+class MappedModel:
+    """A model in a file that Spark has brought to every executor: the sorted hashes, then
+    r and b of each use.  A worker maps it once."""
+
+    _held: dict[tuple[str, int], Model] = {}
+
+    def __init__(self, name: str, n: int, which: int):
+        self.name, self.n, self.which = name, n, which
+
+    def loaded(self) -> Model:
+        key = (self.name, self.which)
+        if key not in self._held:
+            if any(name != self.name for name, _ in self._held):
+                self._held.clear()
+            flat = np.memmap(SparkFiles.get(self.name), np.uint8, "r").view(np.ndarray)
+            column = lambda k: flat[8 * self.n + 4 * self.n * k :][: 4 * self.n].view(np.float32)
+            self._held[key] = model = Model.__new__(Model)
+            model.node, model.r, model.b = flat[: 8 * self.n].view(np.int64), column(2 * self.which), column(2 * self.which + 1)
+        return self._held[key]
+
+
+def mapped(held: DataFrame, n: int) -> list[MappedModel]:
+    """The models of all uses, from one file that is written range by range of the hashes."""
+    spark = held.sparkSession
+    folder = tempfile.mkdtemp(prefix="inkgrid-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"inkgrid-{uuid.uuid4().hex}.model"
+    path = os.path.join(folder, name)
+    file = np.memmap(path, np.uint8, "w+", shape=(8 + 8 * len(USES)) * n)
+    pieces = -(-n // PIECE)
+    edges = [-(2**63) + (2**64 * k) // pieces for k in range(1, pieces)]
+    ranged = materialize(held.repartitionByRange(pieces, "node").sortWithinPartitions("node"))
+    begin = 0
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = ranged if low is None else ranged.where(F.col("node") >= low)
+        part = part if high is None else part.where(F.col("node") < high)
+        found = part.toArrow()
+        order = np.argsort(found["node"].to_numpy())
+        end = begin + len(order)
+        file[: 8 * n].view(np.int64)[begin:end] = found["node"].to_numpy()[order]
+        for k, c in enumerate(c for both in zip(STEPS, RARE, strict=True) for c in both):
+            file[8 * n + 4 * n * k :][: 4 * n].view(np.float32)[begin:end] = found[c].to_numpy()[order]
+        begin = end
+    file.flush()
+    del file
+    spark.sparkContext.addFile(path)
+    return [MappedModel(name, n, k) for k in range(len(USES))]
+
+
 def features(rows: list[np.ndarray], ratio: np.ndarray) -> np.ndarray:
     """For each text, given as its words' numbers: mean ratio, best stretches' means, and
     the log of its length."""
@@ -274,9 +336,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return rows.join(marks, (F.col("i") == F.col("j")) & (F.col("fold") != 2), "left").select("i", "text", "toxic", "fold")
 
 
-def _texts_features(rows: DataFrame, ratios: DataFrame | Model, which: int) -> DataFrame:
-    """Rows (i, toxic, t, x): features of texts by a broadcast model, or by words' ratios."""
-    if isinstance(ratios, Model):
+def _texts_features(rows: DataFrame, ratios: DataFrame | Model | MappedModel, which: int) -> DataFrame:
+    """Rows (i, toxic, t, x): features of texts by a shared model, or by words' ratios."""
+    if isinstance(ratios, (Model, MappedModel)):
         shared = rows.sparkSession.sparkContext.broadcast(ratios)
 
         def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -284,7 +346,7 @@ def _texts_features(rows: DataFrame, ratios: DataFrame | Model, which: int) -> D
                 for a in range(0, len(batch["i"]), 512):
                     texts = batch["text"].slice(a, 512).to_pylist()
                     for i, j in slices(texts):
-                        yield {c: batch[c].slice(a + i, j - i) for c in ("i", "toxic", "t")} | {"x": shared.value.features(texts[i:j]).tolist()}
+                        yield {c: batch[c].slice(a + i, j - i) for c in ("i", "toxic", "t")} | {"x": shared.value.loaded().features(texts[i:j]).tolist()}
 
         return map_arrow(rows.select("i", "toxic", "t", "text"), run, "i long, toxic int, t long, x array<double>")
 
@@ -318,14 +380,17 @@ def _texts_features(rows: DataFrame, ratios: DataFrame | Model, which: int) -> D
     return rows.select("i", "toxic", "t").join(materialize(whole), "t").select("i", "toxic", "t", "x")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_nodes: int = BROADCAST_NODES) -> tuple[DataFrame | Model, np.ndarray]:
-    """A model, or the ratios of all words if that is too large to be broadcast, and the
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_nodes: int = BROADCAST_NODES, mapped_nodes: int = MAPPED_NODES) -> tuple[DataFrame | Model | MappedModel, np.ndarray]:
+    """A model, or the ratios of all words if that is too large to be shared, and the
     weights of the logistic function."""
     rows = labelled(docs, labels, id_col, text_col, label_col).where("toxic is not null")
     held = nodes(rows)
-    if held.count() <= broadcast_nodes:
+    n = held.count()
+    if n <= broadcast_nodes:
         table = held.toArrow()
         models = [Model(table["node"].to_numpy(), table[r].to_numpy(), table[b].to_numpy()) for r, b in zip(STEPS, RARE, strict=True)]
+    elif n <= mapped_nodes:
+        models = mapped(held, n)
     else:
         models = [word_ratios(docs, held, text_col)] * len(USES)
     rows = rows.withColumn("t", F.xxhash64("text"))
@@ -370,7 +435,7 @@ def apply(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z @ weights[2, :-1] + weights[2, -1], -30, 30)))
 
 
-def with_score(docs: DataFrame, labels: DataFrame, name: str = "score", id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+def with_score(docs: DataFrame, labels: DataFrame, name: str = "score", id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_nodes: int = BROADCAST_NODES, mapped_nodes: int = MAPPED_NODES) -> DataFrame:
     """``docs`` with a column ``name``; one of that name is replaced, all others are kept.
 
     Null and empty texts have no words and get the score of that; texts of any length are
@@ -380,13 +445,13 @@ def with_score(docs: DataFrame, labels: DataFrame, name: str = "score", id_col:
     toxic labels (zero without any).  An empty table gives no rows.  Only ids' remainders
     decide what is learnt; scores read texts alone.
     """
-    model, weights = train(docs, labels, id_col, text_col, label_col, broadcast_nodes)
-    if isinstance(model, Model):
+    model, weights = train(docs, labels, id_col, text_col, label_col, broadcast_nodes, mapped_nodes)
+    if isinstance(model, (Model, MappedModel)):
         shared = docs.sparkSession.sparkContext.broadcast((model, weights))
 
         @F.pandas_udf("double")
         def scored(texts: pd.Series) -> pd.Series:
-            model, weights = shared.value
+            model, weights = shared.value[0].loaded(), shared.value[1]
             found = texts.tolist()
             return pd.Series(np.concatenate([apply(model.features(found[i:j]), weights) for i, j in slices(found)]) if found else np.empty(0))
 

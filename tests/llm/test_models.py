@@ -120,6 +120,17 @@ def test_joined_ratios_give_equal_scores(marked):
     assert toxicity.score(docs, labels, broadcast_nodes=3).count() == docs.count()
 
 
+def test_mapped_ratios_give_equal_scores(marked, monkeypatch):
+    docs, labels = marked
+    monkeypatch.setattr(toxicity, "PIECE", 50)
+    a = {r["id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "word_ratios", None)  # no join of all words for a large model
+    b = {r["id"]: r["score"] for r in toxicity.score(docs, labels, broadcast_nodes=3).collect()}
+    monkeypatch.undo()
+    c = {r["id"]: r["score"] for r in toxicity.score(docs, labels, broadcast_nodes=3, mapped_nodes=3).collect()}
+    assert a == pytest.approx(b, abs=1e-5) and a == pytest.approx(c, abs=1e-5) and len(a) > 50
+
+
 # --- embeddings
 
 

@@ -540,3 +540,13 @@ def test_compact_windows_hold_every_stretch():
             for i in range(length - 7):
                 # one node for each stretch, by one of its places if the least hash repeats
                 assert len({(a, b) for c, a, b in mine if a <= i and i + 7 <= b and i <= c <= i + 7}) == 1
+
+
+def test_written_tables_free_their_shuffles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common.shared_dir, "own", str(tmp_path), raising=False)
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f.getName() for f in map(local.getAllFiles().apply, range(local.getAllFiles().size())) if f.getName().startswith("shuffle")}
+    before = held()
+    table = common.materialize(spark.range(1000).repartition(7, "id"))
+    assert not held() - before and table.count() == 1000
+    assert spark.conf.get(common.FREED, None) in (None, "false")
