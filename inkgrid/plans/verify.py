@@ -1,7 +1,9 @@
 """Change auditing: what changed, where, was it allowed, is it clean.
 
 All metrics of a page come from one join of both rasters on the pixel's key and one
-grouped aggregate; the rules are a projection over them.
+grouped aggregate; the rules are a projection over them.  Where an edit is a function of
+the page, ``edited`` pairs both colours in place and the functions ``*_of`` take that, so
+that no pixel is shuffled.
 """
 
 from __future__ import annotations
@@ -26,6 +28,13 @@ def paired(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, KEY, "full_outer")
 
 
+def edited(raster: DataFrame, after: dict[str, Column], kept: Column | None = None) -> DataFrame:
+    """The pairs of a raster and an edit of it, as ``paired`` has them, without a join; the
+    edit lacks pixels for which ``kept`` is not true.  A page must be there once."""
+    new = lambda c: after[c] if kept is None else F.when(kept, after[c])
+    return raster.select(*KEY, *[new(c).alias(f"{c}1") for c in CHANNELS], *[F.col(c).alias(f"{c}0") for c in CHANNELS])
+
+
 def changed() -> Column:
     return (F.col("r0") != F.col("r1")) | (F.col("g0") != F.col("g1")) | (F.col("b0") != F.col("b1"))
 
@@ -67,21 +76,37 @@ def refused(found: DataFrame) -> DataFrame:
 
 def diff_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """Changed pixels of each page and their box, null without any and for ``misfit``."""
-    return refused(paired(before, after).groupBy("page_id").agg(*diff_columns(), misfit()))
+    return diff_report_of(paired(before, after))
+
+
+def diff_report_of(pairs: DataFrame) -> DataFrame:
+    return refused(pairs.groupBy("page_id").agg(*diff_columns(), misfit()))
 
 
 def outside_allowed(before: DataFrame, after: DataFrame, boxes: list[Box]) -> DataFrame:
-    return refused(paired(before, after).groupBy("page_id").agg(F.count_if(changed() & ~inside_any(boxes)).alias("outside"), misfit()))
+    return outside_allowed_of(paired(before, after), boxes)
+
+
+def outside_allowed_of(pairs: DataFrame, boxes: list[Box]) -> DataFrame:
+    return refused(pairs.groupBy("page_id").agg(F.count_if(changed() & ~inside_any(boxes)).alias("outside"), misfit()))
 
 
 def preserved_changes(before: DataFrame, after: DataFrame, box: Box) -> DataFrame:
     """Changes in a box that had to stay; a page that the box misses has none covered."""
-    found = paired(before, after).groupBy("page_id").agg(F.count_if(inside(box) & changed()).alias("preserved"), F.count_if(inside(box)).alias("covered"), misfit())
+    return preserved_changes_of(paired(before, after), box)
+
+
+def preserved_changes_of(pairs: DataFrame, box: Box) -> DataFrame:
+    found = pairs.groupBy("page_id").agg(F.count_if(inside(box) & changed()).alias("preserved"), F.count_if(inside(box)).alias("covered"), misfit())
     return refused(found)
 
 
 def tolerance_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    found = refused(paired(before, after).groupBy("page_id").agg(F.count_if(changed()).alias("changed"), *tolerance_columns(), misfit()))
+    return tolerance_diff_of(paired(before, after))
+
+
+def tolerance_diff_of(pairs: DataFrame) -> DataFrame:
+    found = refused(pairs.groupBy("page_id").agg(F.count_if(changed()).alias("changed"), *tolerance_columns(), misfit()))
     ok = (F.col("changed") <= MAX_CHANGED) & (F.col("max_diff") <= MAX_LEVEL) & (F.col("mae") <= MAX_MAE)
     return found.withColumn("within", F.coalesce(ok, F.lit(False)))
 
@@ -93,9 +118,13 @@ def report(results: DataFrame) -> DataFrame:
 
 def audit(before: DataFrame, after: DataFrame, allowed: list[Box], dark: Box | None = None, preserve: Box | None = None, dark_threshold: int = 180) -> DataFrame:
     """All metrics of all pages in one aggregate."""
+    return audit_of(paired(before, after), allowed, dark, preserve, dark_threshold)
+
+
+def audit_of(pairs: DataFrame, allowed: list[Box], dark: Box | None = None, preserve: Box | None = None, dark_threshold: int = 180) -> DataFrame:
     of_dark = inside(dark) if dark else F.lit(False)
     of_kept = inside(preserve) if preserve else F.lit(False)
-    return paired(before, after).groupBy("page_id").agg(
+    return pairs.groupBy("page_id").agg(
         *diff_columns(),
         F.count_if(changed() & ~inside_any(allowed)).alias("outside"),
         F.count_if(of_dark & (luma("r1", "g1", "b1") < dark_threshold)).alias("dark"),
@@ -134,7 +163,12 @@ def verify_cases(cases: DataFrame, pixels: DataFrame, meta: DataFrame, digests:
     cells = pixels.join(wanted, "page_id").select("name", "role", "y", "x", colour("v"))
     pick = lambda r: F.max(F.when(F.col("role") == r, F.col("v")))
     wide = cells.groupBy("name", "y", "x").agg(pick("source").alias("s"), pick("final").alias("f"), pick("expected").alias("e"))
-    c = wide.join(cases, "name")
+    return cases_of(wide.join(cases, "name"), cases, meta, digests, strict_hash, reproduce)
+
+
+def cases_of(c: DataFrame, cases: DataFrame, meta: DataFrame, digests: DataFrame | None = None, strict_hash: bool = False, reproduce: bool = False) -> DataFrame:
+    """``verify_cases`` from cells (name, y, x, s, f, e) that hold the colours of the source,
+    final and expected page, and the columns of their case."""
     within = lambda b: F.col(b).isNotNull() & (F.col("x") >= F.col(f"{b}.x1")) & (F.col("x") < F.col(f"{b}.x2")) & (F.col("y") >= F.col(f"{b}.y1")) & (F.col("y") < F.col(f"{b}.y2"))
     allowed = F.exists(F.coalesce("allowed_boxes", F.array().cast(cases.schema["allowed_boxes"].dataType)), lambda b: (F.col("x") >= b["x1"]) & (F.col("x") < b["x2"]) & (F.col("y") >= b["y1"]) & (F.col("y") < b["y2"]))
     differ = lambda a, b: (F.col(f"{a}.r") != F.col(f"{b}.r")) | (F.col(f"{a}.g") != F.col(f"{b}.g")) | (F.col(f"{a}.b") != F.col(f"{b}.b"))

@@ -10,7 +10,7 @@ from inkgrid.functions.colour import feather, normal
 from inkgrid.functions.names import derived_seeds, name_tokens, style_strength
 from inkgrid.model import BOX, Box, InvalidInput, Move, page_points, parse_box, parse_boxes, parse_filter, parse_interval, parse_references, parse_strengths, text_crop_box
 from inkgrid.operators import fill, kernels, match, overlay, regions, render, stats
-from inkgrid.plans import verify
+from inkgrid.plans import queries, verify
 from inkgrid.sources import fonts, rasters
 from inkgrid.streaming import audit
 
@@ -358,3 +358,30 @@ def test_new_text(spark):
 def test_report_of_a_batch(spark):
     found = spark.createDataFrame([("a", []), ("b", ["size"])], "name string, errors array<string>")
     assert verify.report(found).first() == (2, 1, 1) and verify.report(found.where("name = 'a'")).first()["exit_code"] == 0
+
+
+#: Queries that pair pages in place.
+IN_PLACE = ["diff_report"]
+
+
+@pytest.mark.parametrize("name", IN_PLACE)
+def test_pages_are_paired_without_shuffling_pixels(spark, name):
+    """Under a byte of shuffle for a pixel, where a join writes both rasters."""
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    sf = "/root/testdata/sf0.01"
+    pixels = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("sum(length(text))").first()[0]
+    before = written()
+    assert queries.QUERIES[name](spark, sf).count() > 0
+    assert written() - before < pixels
+
+
+def test_pages_of_repeated_and_no_ids_are_joined(spark, tmp_path):
+    rows = [(1, "a1 b2 " * 60), (2, "c3"), (2, "d4 e5 f"), (3, "g6 " * 90), (3, "g7 " * 90), (None, "h8 i"), (13, "j9 " * 70), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = rasters.character_raster(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    after = rasters.edited_raster(before).where("not (page_id % 10 = 3 and y >= 2)")
+    want = verify.diff_report(before, after).collect()
+    assert sorted(map(repr, queries.QUERIES["diff_report"](spark, str(tmp_path)).collect())) == sorted(map(repr, want)) and len(want) == 5
