@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,11 +12,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from ..sources.shared import FREED, materialize, shared_dir  # noqa: F401
+
 #: Bytes of text that a Python worker expands at a time.
 SLICE_BYTES = 2 << 20
-#: Whether Spark frees an execution's shuffle files at its end, not when the driver happens
-#: to collect garbage.
-FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Takes the place of a null id.
 NO_ID = -(2**63)
 #: Different texts with one 64-bit hash, of which the driver may hear; two are expected
@@ -37,48 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and all run
-    on one machine (tests) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="inkgrid-")
-        shared_dir.own = found
-    return found
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back.
-
-    This cuts the lineage: an executor that is lost later costs no recomputation of
-    what stands above, and the shuffles behind the table are freed as soon as it is
-    written.  The files go when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/inkgrid/{uuid.uuid4().hex}"
-    before = spark.conf.get(FREED, None)
-    spark.conf.set(FREED, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session may have ended before; a left file is harmless
-        pass
-
-
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, text, t) of ``docs``, and rows (t, id, n) of its different texts with the
     smallest id and the number of rows that hold them.

@@ -385,3 +385,13 @@ def test_pages_of_repeated_and_no_ids_are_joined(spark, tmp_path):
     after = rasters.edited_raster(before).where("not (page_id % 10 = 3 and y >= 2)")
     want = verify.diff_report(before, after).collect()
     assert sorted(map(repr, queries.QUERIES["diff_report"](spark, str(tmp_path)).collect())) == sorted(map(repr, want)) and len(want) == 5
+
+
+@pytest.mark.parametrize("name", ["clean_text"])
+def test_pages_edited_in_slices_are_the_same(spark, tmp_path, monkeypatch, name):
+    rows = [(i, f"Ab 1 Cd{i} E " * 90) for i in range(9)] + [(3, "again Xy " * 120), (None, "No Id " * 160), (50, None), (51, "Z")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda: sorted(map(repr, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+    whole = found()
+    monkeypatch.setattr(queries, "PAGES", 6)
+    assert found() == whole and len(whole) > 8
