@@ -105,3 +105,69 @@ def test_exact_passages_of_periodic_texts_are_found(spark):
         total += len(want)
         missed += len(want - covered(got[i]))
     assert total > 500 and missed == 0, (missed, total)
+
+
+def test_crowds_are_compared_by_classes_with_equal_results(monkeypatch):
+    rng = random.Random(24)
+    reach = int(substring_dedup.REACH * WIDTH)
+    say = lambda n, kinds: [rng.randrange(1, kinds) | 1 for _ in range(n)]
+    groups = []
+    for k in range(12):
+        base = say(2 * reach - 1, 1 << 30)
+        base[reach - 1] = 7
+        around, members = {}, []
+        for t in range(90):
+            left, right = base[: reach - 1], base[reach:]
+            for half in (left, right):
+                for _ in range(rng.randrange(3 + k % 2)):
+                    at = rng.randrange(len(half))
+                    half[at : at + rng.randrange(3)] = say(rng.randrange(4), (1 << 30, 60)[k % 3 == 0])
+            m, n = (rng.choice((reach - 1, reach - 1, rng.randrange(reach))) for _ in range(2))
+            left, right = left[-m:] if m else [], right[:n]
+            row = np.array([*left, 7, *right][:reach - 1 + len(left)], np.uint32)
+            around.setdefault((min(len(left), reach - 1), row.tobytes()), (t // 2 if k % 4 == 1 else t, [t], t % 17 == 0))
+        members = list(around.values())
+        groups.append((list(around), members))
+    found, spans = [], substring_dedup._Crowd.spans
+    judged = []
+
+    def counted(self, rare):
+        judged.append(rare)
+        return spans(self, rare)
+
+    monkeypatch.setattr(substring_dedup._Crowd, "spans", counted)
+    for rare in (None, 0, 1, 2, 8, 64):
+        monkeypatch.setattr(substring_dedup._Crowd, "plan", lambda self, rare=rare: rare)
+        held = substring_dedup._Batch(WIDTH, reach, LEAST)
+        for rows, members in groups:
+            held.add(list(rows), list(members))
+        found.append([x.tolist() for x in held.compare()])
+    assert all(f == found[0] for f in found[1:])
+    assert len(judged) == 5 * len(groups) and sum(b >= 0 for b in found[0][1]) > 200
+
+
+def test_work_of_a_crowd_grows_with_its_size_not_its_square(monkeypatch):
+    """Near copies of one passage: pairs that are looked at, for each window."""
+    near, pairs = substring_dedup.near, []
+
+    def counted(at, *args):
+        pairs.append(len(at))
+        return near(at, *args)
+
+    monkeypatch.setattr(substring_dedup, "near", counted)
+    reach, rates = 69, []
+    for n in (200, 1600):
+        rng = random.Random(25)
+        base = [rng.randrange(1, 1 << 30) | 1 for _ in range(2 * reach - 1)]
+        held, pairs[:] = substring_dedup._Batch(46, reach, 0.8), []
+        rows = []
+        for _ in range(n):
+            row = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                at = rng.choice([x for x in range(2 * reach - 6) if not x <= reach - 1 < x + 5])
+                row[at : at + 5] = [rng.randrange(1, 1 << 30) | 1 for _ in range(5)]
+            rows.append((reach - 1, np.array(row, np.uint32).tobytes()))
+        held.add(rows, [(t, [t], False) for t in range(n)])
+        held.compare()
+        rates.append(sum(pairs) / n)
+    assert max(rates) < 20, rates  # in place of a part of all others
