@@ -22,6 +22,8 @@ from .stats import CHANNELS, normalised
 REACH = 8
 #: Widths of the blurs, by layer.
 SOFT, SHOULDER, INNER, OUTER, WIDE = 0.34, 0.72, 0.24, 1.55, 2.35
+#: Widths and amplitudes of the smooth noises.
+INK_NOISE, FRINGE_NOISE, LOW_NOISE = (1.15, 0.18), (0.50, 9.0), (0.95, 1.0)
 
 
 def weights(sigma: float) -> list[tuple[int, float]]:
@@ -97,7 +99,7 @@ def fused_text(pixels: DataFrame, mask: DataFrame, ink: tuple[int, int, int], se
     base = seed * 100
     strokes = text_mask(mask, shoulder)
     cells = _layered(around(pixels, mask), strokes, {"full": 0.0, "soft": SOFT, "fringe": SHOULDER})
-    for k, (sigma, amplitude) in enumerate(((1.15, 0.18), (0.50, 9.0 * strength))):
+    for k, (sigma, amplitude) in enumerate((INK_NOISE, (FRINGE_NOISE[0], FRINGE_NOISE[1] * strength))):
         cells = cells.join(smooth_noise(cells.select(*KEY), base + (13, 25)[k], sigma, amplitude, f"n{k}"), KEY)
     rough = lambda k: normal(base + 100 + 2 * k, *KEY)
     chance = lambda k: uniform(base + 200 + k, *KEY)
@@ -120,7 +122,7 @@ def halo(pixels: DataFrame, mask: DataFrame, colour: tuple[int, int, int], seed:
     """The page with a faint tint outside the strokes, never over a fifth of cover."""
     base = seed * 100 + 17
     cells = _layered(around(pixels, mask), text_mask(mask, shoulder), {"inner": INNER, "outer": OUTER, "wide": WIDE})
-    cells = cells.join(smooth_noise(cells.select(*KEY), base, 0.95, 1.0, "low"), KEY)
+    cells = cells.join(smooth_noise(cells.select(*KEY), base, *LOW_NOISE, "low"), KEY)
     unit = lambda v, a=0.0, b=1.0: F.greatest(F.lit(a), F.least(F.lit(b), v))
     ring = unit((F.col("outer") - F.col("inner") * 0.58) * 1.18 + F.col("wide") * 0.13) * unit(1 - F.col("inner") * 0.88)
     grain = unit(0.72 + (F.col("low") + 0.5) * 0.48 + normal(base + 100, *KEY) * 0.22, 0.28, 1.35)

@@ -400,6 +400,7 @@ def test_pages_edited_in_slices_are_the_same(spark, tmp_path, monkeypatch, name)
 #: Queries that edit pages in place, and the same by operators on tables of pixels.
 EDITED = {
     "inpaint_telea": (10, lambda px: kernels.remove(px.drop("code"), [queries.D], (80, 10), threshold=90)),
+    "fused_text": (0, lambda px: render.fused_text(*queries._strokes(px), queries._INK, shoulder=0.25)),
 }
 
 
@@ -442,7 +443,7 @@ def test_inpainting_many_pages_equals_one_at_a_time():
         assert (np.moveaxis(found[:, i, :h], 0, 2) == want).all(), i
 
 
-@pytest.mark.parametrize("name", ["inpaint_telea"])
+@pytest.mark.parametrize("name", ["fused_text", "inpaint_telea"])
 def test_pages_of_one_id_keep_their_pixels(spark, tmp_path, name):
     rows = [(1, "Ab Cd " * 200), (2, "Ab Cd " * 200), (2, "x Y zW " * 180), (2, "tT" * 500), (None, "Qq" * 500), (None, "Rr" * 500)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
