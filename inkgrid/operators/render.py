@@ -88,8 +88,8 @@ def _mixed(cells: DataFrame, alpha: Column, colour: list[Column]) -> DataFrame:
 
 def clean_text(pixels: DataFrame, mask: DataFrame, colour: tuple[int, int, int], alpha: int = 252, blur: float = 0.16) -> DataFrame:
     """The page with the strokes in one colour, only a little softened: shows the place."""
-    cells = _layered(around(pixels, mask), mask, {"a": blur})
-    return overlay(pixels, _mixed(cells, F.col("a") * alpha / 255, [F.lit(float(v)) for v in colour]))
+    cells = _layered(pixels, mask, {"a": blur})
+    return _mixed(cells, F.col("a") * alpha / 255, [F.lit(float(v)) for v in colour])
 
 
 def fused_text(pixels: DataFrame, mask: DataFrame, ink: tuple[int, int, int], seed: int = 20260701, strength: float = 1.0, shoulder: float = 0.0, core: float = 0.965) -> DataFrame:

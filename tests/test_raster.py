@@ -403,6 +403,7 @@ EDITED = {
     "replace_donor": (12, lambda px: kernels.replace_with_donor(px.drop("code"), px.drop("code"), Box(0, 0, 20, 6), [Box(30, 4, 50, 10)], (30, 4), queries.A, (80, 12), mode="offset")),
     "halo": (0, lambda px: render.halo(*queries._strokes(px), (150, 160, 180))),
     "fused_text": (0, lambda px: render.fused_text(*queries._strokes(px), queries._INK, shoulder=0.25)),
+    "clean_text": (0, lambda px: render.clean_text(*queries._strokes(px), queries._INK, blur=0.6)),
 }
 
 
@@ -445,7 +446,7 @@ def test_inpainting_many_pages_equals_one_at_a_time():
         assert (np.moveaxis(found[:, i, :h], 0, 2) == want).all(), i
 
 
-@pytest.mark.parametrize("name", ["halo", "fused_text", "inpaint_telea", "replace_donor"])
+@pytest.mark.parametrize("name", ["halo", "fused_text", "clean_text", "inpaint_telea", "replace_donor"])
 def test_pages_of_one_id_keep_their_pixels(spark, tmp_path, name):
     rows = [(1, "Ab Cd " * 200), (2, "Ab Cd " * 200), (2, "x Y zW " * 180), (2, "tT" * 500), (None, "Qq" * 500), (None, "Rr" * 500)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -453,6 +454,21 @@ def test_pages_of_one_id_keep_their_pixels(spark, tmp_path, name):
     assert found == {1: 1200, 2: 1200 + 1260 + 1000, None: 2000}
 
 
+def test_new_text_on_pages_of_one_id_equals_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "Ab Cd " * 90), (2, "Ab Cd " * 90), (2, "x Y zW " * 100), (3, "E"), (None, "Qq" * 300), (None, "Rr" * 300), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(queries.ORACLE_SQL["clean_text"]).fetchall()
+    found = [tuple(r) for r in queries.QUERIES["clean_text"](spark, str(tmp_path)).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    docs = rasters.character_raster(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    found = [tuple(r) for r in queries._sums(render.clean_text(*queries._strokes(docs), queries._INK, blur=0.6)).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
 def test_a_text_longer_than_a_piece_is_summed_whole(spark, tmp_path, monkeypatch):
     from inkgrid.operators import pages
 
